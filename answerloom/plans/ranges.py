@@ -37,7 +37,7 @@ _AGGREGATE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def range_count(df: DataFrame) -> int:
@@ -60,7 +60,7 @@ def cut_points(df: DataFrame, order: Sequence[str], ranges: int) -> list[tuple]:
     sample = keys.orderBy(F.xxhash64(*names), *names).limit(ranges * SAMPLES_PER_RANGE)
     rows = [tuple(r) for r in sample.orderBy(*names).collect()]
     step = max(1, len(rows) // ranges)
-    return sorted(set(rows[step::step]), key=rows.index)
+    return list(dict.fromkeys(rows[step::step]))
 
 
 def range_of(df: DataFrame, order: Sequence[str], points: list[tuple]) -> Column:
