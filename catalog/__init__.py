@@ -31,5 +31,10 @@ def load_all() -> None:
         flagship,
         q_aggregates,
         q_answers,
+        q_charts,
+        q_pages,
+        q_prepare,
         q_questions,
+        q_relational,
+        q_sessions,
     )

@@ -108,6 +108,35 @@ FROM supplier
 TOKENS = "SELECT event_id, user_id AS session, ts, cast(floor(value * 100) as bigint) AS tokens FROM events"
 
 
+_C = "cast(c_custkey as string)"
+
+TABLE_PAGES = f"""
+SELECT c_custkey AS page_id,
+  concat('https://h', cast(c_nationkey as string), '.example.com/a/b/', {_C}, '.html?x=1') AS url,
+  concat('<!DOCTYPE html><html><head><title>T ', {_C}, '</title><style>td{{color:red}}</style>',
+    '<script>var a = "<table><tr><td>no</td></tr></table>";</script></head><body>',
+    '<nav><table><tr><td>skip</td><td>me</td></tr></table><ul><li>skip</li></ul></nav>',
+    chr(10), '<h1>Customer: ', c_name, '</h1>', chr(10),
+    '<table><tr><th>Name</th><th colspan="2">Balance</th></tr>', chr(10),
+    '<tr><td rowspan="2">', c_name, '</td><td>', {_C}, '</td><td> a &amp;  <b>b</b> </td></tr>', chr(10),
+    '<tr><td>Segment</td><td>', c_mktsegment, '</td></tr></table>', chr(10),
+    '<table><tr><td>Key', cast(c_custkey % 3 as string), '</td><td>v', {_C},
+    '<tr><td>Segment<td>', c_mktsegment, '</table>', chr(10),
+    '<ul><li> one </li><li><b>two</b> ', {_C}, '<li></ul><ol><li>', c_mktsegment,
+    '<ul><li>inner</li></ul></li></ol><ul></ul>', chr(10),
+    '<dl><dt>Segment</dt><dd>dl-', c_mktsegment, '</dd><dt>Nation<dd>', cast(c_nationkey as string), '<dt>Lonely</dl>',
+    '<!-- <span id="cutoff">wrong</span> --><span id="cutoff">', cast(c_custkey % 100 as string), '</span>', chr(10),
+    '<div id="result">Total: <b>', {_C}, '</b> units.</div>', chr(10),
+    '<p>Price: $', {_C}, '.99 Owner: someone.</p>', chr(10), '<p>Price: 5</p>', chr(10),
+    '<audio src="/s/', {_C}, '.mp3"></audio><video><source src="v', {_C}, '.webm"></video>',
+    '<a href="../data/', {_C}, '.csv?y=2&amp;z=3">csv <i>file</i></a><a class="big data" href="/x/', {_C}, '.JSON">j</a>',
+    '<a name="n">no</a><a href="/x/', {_C}, '.JSON"> again </a><a href="page">p</a>',
+    '<a href="https://o.example.org/i.png#z">img</a>', CASE WHEN c_custkey % 2 = 0 THEN '</body></html>' ELSE '' END
+  ) AS html
+FROM customer
+"""
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the SELECTs above over the given tables."""
     for name in ("orders", "customer", "supplier", "part", "lineitem", "events"):

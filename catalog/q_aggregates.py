@@ -124,7 +124,7 @@ def a9(spark, sf_dir):
     "A10_group_aggregate",
     """
 SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-  round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 8) AS avg_disc,
+  round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc_price, round(avg(l_discount), 8) AS avg_disc,
   count(*) AS count_order
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus
 """,
@@ -137,7 +137,7 @@ def a10(spark, sf_dir):
         {
             "sum_qty": F.sum("l_quantity"),
             "sum_base_price": F.round(F.sum("l_extendedprice"), 2),
-            "sum_disc_price": F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2),
+            "sum_disc_price": F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4),
             "avg_disc": F.round(F.avg("l_discount"), 8),
             "count_order": F.count(F.lit(1)),
         },
@@ -147,7 +147,7 @@ def a10(spark, sf_dir):
 @query(
     "A11_filter_aggregate",
     """
-SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue, count(*) AS n FROM lineitem
+SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue, count(*) AS n FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate < TIMESTAMP '1995-01-01'
   AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24
 """,
@@ -161,7 +161,7 @@ def a11(spark, sf_dir):
         table(spark, sf_dir, "lineitem"),
         condition,
         {
-            "revenue": F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2),
+            "revenue": F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 4),
             "n": F.count(F.lit(1)),
         },
     )
