@@ -111,17 +111,28 @@ def fill_missing(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(_quoted(c), F.lit("")) for c in texts}) if texts else df
 
 
-_CSV_LINE = r'(?:[^"\n]++|"(?:[^"]++|"")*+")++'
-_CSV_CELL = r'(?:^|,)("(?:[^"]++|"")*+"|[^,]*)'
+# Stand-ins for a line end and a comma inside quotes.
+_QUOTED_NEWLINE, _QUOTED_COMMA = "\x01", "\x02"
+
+
+def _csv_lines(text: Column) -> Column:
+    """Non-empty lines; line ends and commas inside quotes are replaced by stand-ins."""
+    parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), '"')
+    guarded = F.transform(
+        parts,
+        lambda part, i: F.when(i % 2 == 1, F.translate(part, "\n,", _QUOTED_NEWLINE + _QUOTED_COMMA)).otherwise(part),
+    )
+    return F.filter(F.split(F.array_join(guarded, '"'), "\n"), lambda line: line != "")
 
 
 def _csv_cells(line: Column) -> Column:
-    cells = F.regexp_extract_all(line, F.lit(_CSV_CELL), F.lit(1))
     return F.transform(
-        cells,
+        F.split(F.translate(line, _QUOTED_NEWLINE, "\n"), ","),
         lambda c: F.when(
             c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
-            F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
+            F.translate(
+                F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')), _QUOTED_COMMA, ","
+            ),
         ).when(c != "", c),
     )
 
@@ -138,7 +149,7 @@ def coerce_payloads(df: DataFrame, column: str) -> DataFrame:
     is_json = F.try_parse_json(text).isNotNull()
     json_many = F.from_json(F.when(is_json & text.startswith("["), text), "array<map<string,string>>")
     json_one = F.from_json(F.when(is_json & text.startswith("{"), text), "map<string,string>")
-    lines = F.regexp_extract_all(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit(_CSV_LINE), F.lit(0))
+    lines = _csv_lines(text)
     csv = F.when(~is_json & (F.size(lines) > 1), lines)
     parsed = df.withColumns(
         {

@@ -32,6 +32,7 @@ def load_all() -> None:
         q_aggregates,
         q_answers,
         q_charts,
+        q_graph,
         q_pages,
         q_prepare,
         q_questions,
