@@ -38,4 +38,5 @@ def load_all() -> None:
         q_questions,
         q_relational,
         q_sessions,
+        q_sources,
     )

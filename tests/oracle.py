@@ -58,6 +58,8 @@ def differences(spark, con, name, run, sql, sf_dir: str = SF_DIR) -> str | None:
         return f"{len(a)} vs {len(b)} rows; spark only {sorted(left)[:3]}; sql only {sorted(right)[:3]}"
     if odd:
         return f"types {odd}"
+    if not a:
+        return "both sides are empty"
     return None
 
 
