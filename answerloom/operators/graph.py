@@ -1,9 +1,9 @@
 """Graphs as edge tables: degrees, shortest paths, closeness, pointer chains.
 
 Searches go level by level: one join of the newest nodes with the edges, with
-the candidates reduced to one per node before they are shuffled. Each level is
-checkpointed to the shared folder, so plans stay short and a lost executor
-does not undo earlier levels.
+the candidates reduced to one per node before they are shuffled. The edges
+and each level are written to the shared folder, so plans stay short and a lost
+executor does not undo earlier levels.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ def _levels(edges: DataFrame, sources: DataFrame, tree: bool, directed: bool, ma
 
     ``tree``: the edges are a search tree per source, so no node is met twice.
     """
+    edges = cut_lineage(edges)
     level = cut_lineage(
         sources.select(
             "source",
@@ -133,7 +134,7 @@ def shortest_paths(
     if weight is None:
         found = _levels(edges, sources, False, directed, max_rounds)
         return found.select("source", "node", F.col("hops").cast("double").alias("distance"), "path")
-    weighted = edges.select("src", "dst", F.col(weight).cast("double").alias("weight"))
+    weighted = cut_lineage(edges.select("src", "dst", F.col(weight).cast("double").alias("weight")))
     best = _distances(weighted, sources, max_rounds)
     start = best.select("source", F.col("node").alias("src"), F.col("distance").alias("d0"))
     end = best.select("source", F.col("node").alias("dst"), F.col("distance").alias("d1"))
@@ -144,7 +145,7 @@ def shortest_paths(
         .groupBy("source", "dst")
         .agg(F.min("src").alias("src"))
     )
-    paths = _levels(cut_lineage(tree), sources, True, directed, max_rounds)
+    paths = _levels(tree, sources, True, directed, max_rounds)
     return paths.join(best, ["source", "node"]).select("source", "node", "distance", "path")
 
 

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 RANGE_BYTES = 64 * 1024 * 1024
 MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 32
+_UNKNOWN_BYTES = 2**60  # what Catalyst says of data it knows nothing about
+_GUESSED_VALUE_BYTES = 16
 
 _COMBINE = {
     "sum": lambda before, here: F.coalesce(before + here, before, here),
@@ -39,11 +41,13 @@ def plan_bytes(df: DataFrame) -> int:
     """Size estimate of a result: Catalyst's, but no more than all it reads.
 
     Catalyst multiplies the sides of a join, which says little about a join on keys.
+    Where nothing is known (a micro-batch) the rows are counted.
     """
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
     read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return min(int(str(plan.stats().sizeInBytes())), read)
+    size = min(int(str(plan.stats().sizeInBytes())), read)
+    return size if size < _UNKNOWN_BYTES else df.count() * _GUESSED_VALUE_BYTES * len(df.columns)
 
 
 def range_count(df: DataFrame) -> int:
