@@ -7,8 +7,9 @@ everything that is read from a page stays within the page's row: no shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -63,143 +64,165 @@ _ENDS_P = frozenset(
     " section table ul".split()
 )
 _CELL_EDGE = frozenset({"td", "th", "table"})
+_TABLE_TAGS = frozenset("td th tr thead tbody tfoot table body html".split())
 _PRUNED = frozenset(V.PRUNED_TAGS)
-_MAX_SPAN = 1000  # as browsers limit colspan
+_MAX_SPAN = 1000  # as browsers limit spans
 
 
 def _span(value: str | None, limit: int) -> int:
     return max(1, min(int(value), limit)) if value and value.strip().isdigit() else 1
 
 
-class _Shredder(HTMLParser):
+# A comment, a tag with its attributes, or another declaration. A quote opens a value only after "=".
+_MARKUP = re.compile(
+    r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)(>|\Z)|<[!?/][^>]*+>?""",
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in ("script", "style", "textarea", "title")}
+_LITERAL = frozenset({"script", "style"})  # no entities inside
+
+
+def _attributes(source: str) -> dict[str, str]:
+    """Attributes by lower-case name; of a repeated one the first counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(source):
+        value = double or single or bare
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return found
+
+
+class _Shredder:
     """Collects the nodes of one page, tolerating unclosed and stray tags."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
-        self.open: list[int] = []
-        self.buffer: list[str] = []
+        self.open: list[list] = []
+        self.texts: list[str] = []
         self.breaks = False
         self.grids: dict[int, dict] = {}
 
+    def read(self, page: str) -> list[list]:
+        at = 0
+        end = len(page)
+        while at < end:
+            found = _MARKUP.search(page, at)
+            if found is None:
+                self.text(page[at:])
+                break
+            begin = found.start()
+            if begin > at:
+                self.text(page[at:begin])
+            at = found.end()
+            slash, name, attributes, closed = found.groups()
+            if name is None:
+                self._flush()
+            elif not closed:
+                break  # the page ends inside a tag
+            elif slash:
+                self.end_tag(name.lower())
+            else:
+                name = name.lower()
+                self.start_tag(name, attributes)
+                if name in _RAW and not attributes.endswith("/"):
+                    stop = _RAW[name].search(page, at)
+                    body_end = stop.start() if stop else end
+                    if body_end > at:
+                        self.text(page[at:body_end], literal=name in _LITERAL)
+                    at = body_end
+        self._flush()
+        self._close_to(0)
+        return self.nodes
+
+    def text(self, text: str, literal: bool = False) -> None:
+        self.texts.append(unescape(text) if "&" in text and not literal else text)
+
     def _flush(self) -> None:
-        if self.buffer:
-            text = "".join(self.buffer)
-            self.buffer = []
-            if text.isspace():
+        if self.texts:
+            text = self.texts[0] if len(self.texts) == 1 else "".join(self.texts)
+            self.texts = []
+            blank = text.isspace()
+            if blank:
                 text = "\n" if "\n" in text else " "
             self._add("#text", {}, text)
-            if not text.isspace():
+            if not blank:
                 self.breaks = False
 
-    def _add(self, tag: str, attrs: dict, text: str | None) -> int:
+    def _add(self, tag: str, attrs: dict, text: str | None) -> list:
         pre = len(self.nodes)
-        up = self.nodes[self.open[-1]] if self.open else None
-        owner = -1
-        if up is not None:
-            owner = up[0] if up[4] == "table" else up[10]
-        self.nodes.append(
-            [
-                pre,
-                pre,
-                len(self.open),
-                up[0] if up is not None else -1,
-                tag,
-                list(attrs.items()),
-                text,
-                tag in _PRUNED or (up is not None and up[7]),
-                tag not in _HIDDEN and (up is None or up[8]),
-                self.breaks,
-                owner,
-                -1,
-                -1,
-                1,
-                1,
-            ]
-        )
-        return pre
+        if self.open:
+            up = self.open[-1]
+            parent, pruned, shown = up[0], up[7], up[8]
+            owner = parent if up[4] == "table" else up[10]
+        else:
+            parent, pruned, shown, owner = -1, False, True, -1
+        node = [
+            pre, pre, len(self.open), parent, tag, list(attrs.items()), text,
+            pruned or tag in _PRUNED, shown and tag not in _HIDDEN, self.breaks, owner, -1, -1, 1, 1,
+        ]
+        self.nodes.append(node)
+        return node
 
     def _close_to(self, depth: int) -> None:
         last = len(self.nodes) - 1
         while len(self.open) > depth:
-            self.nodes[self.open.pop()][1] = last
+            self.open.pop()[1] = last
 
     def _end_implied(self, tags: Iterable[str], scope: Iterable[str]) -> None:
-        depth = len(self.open)
+        depth = None
         for i in range(len(self.open) - 1, -1, -1):
-            name = self.nodes[self.open[i]][4]
+            name = self.open[i][4]
             if name in scope:
                 break
             if name in tags:
                 depth = i
-        self._close_to(depth)
+        if depth is not None:
+            self._close_to(depth)
 
-    def _place_cell(self, node: list) -> None:
+    def _place_cell(self, node: list, attrs: dict) -> None:
         grid = self.grids.setdefault(node[10], {"row": 0, "taken": set()})
-        attrs = dict(node[5])
+        row = max(grid["row"], 0)
         col = 0
-        while (grid["row"], col) in grid["taken"]:
+        while (row, col) in grid["taken"]:
             col += 1
-        node[11], node[12] = max(grid["row"], 0), col
-        node[13], node[14] = _span(attrs.get("rowspan"), 65534), _span(attrs.get("colspan"), _MAX_SPAN)
-        for r in range(node[13]):
-            for c in range(node[14]):
-                grid["taken"].add((node[11] + r, col + c))
+        node[11], node[12] = row, col
+        node[13], node[14] = _span(attrs.get("rowspan"), _MAX_SPAN), _span(attrs.get("colspan"), _MAX_SPAN)
+        grid["taken"].update((row + r, col + c) for r in range(node[13]) for c in range(node[14]))
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def start_tag(self, tag: str, source: str) -> None:
         self._flush()
         self.breaks = self.breaks or tag in _BLOCK
         if tag in _ENDS:
             self._end_implied(*_ENDS[tag])
         if tag in _ENDS_P:
-            self._end_implied({"p"}, _CELL_EDGE)
-        first: dict = {}
-        for name, value in attrs:
-            first.setdefault(name, value or "")
-        pre = self._add(tag, first, None)
-        node = self.nodes[pre]
+            self._end_implied(("p",), _CELL_EDGE)
+        attrs = _attributes(source) if source else {}
+        node = self._add(tag, attrs, None)
         if tag == "tr":
             grid = self.grids.setdefault(node[10], {"row": -1, "taken": set()})
             grid["row"] += 1
             node[11] = grid["row"]
         elif tag in ("td", "th"):
-            self._place_cell(node)
-        if tag not in _VOID:
-            self.open.append(pre)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+            self._place_cell(node, attrs)
+        if tag not in _VOID and not source.endswith("/"):
+            self.open.append(node)
 
-    def handle_endtag(self, tag: str) -> None:
+    def end_tag(self, tag: str) -> None:
         self._flush()
         self.breaks = self.breaks or tag in _BLOCK
-        crosses = tag in _CELL_EDGE or tag in ("tr", "tbody", "thead", "tfoot", "body", "html")
+        crosses = tag in _TABLE_TAGS
         for i in range(len(self.open) - 1, -1, -1):
-            name = self.nodes[self.open[i]][4]
+            name = self.open[i][4]
             if name == tag:
                 self._close_to(i)
                 return
-            if name in _CELL_EDGE and not crosses:
+            if not crosses and name in _CELL_EDGE:
                 return
 
-    def handle_data(self, data: str) -> None:
-        self.buffer.append(data)
-
-    def handle_comment(self, data: str) -> None:
-        self._flush()
-
-    def finish(self) -> list[list]:
-        self.close()
-        self._flush()
-        self._close_to(0)
-        return self.nodes
-
 
 def shred(page: str) -> list[list]:
     """The nodes of one page, in document order."""
-    parser = _Shredder()
-    parser.feed(page)
-    return parser.finish()
+    return _Shredder().read(page)
 
 
 _ARROW_TYPES = [to_arrow_type(t) for t in _FIELDS.values()]

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from answerloom import fixed_values as V
-from answerloom.functions.text import UNICODE, all_matches, contains_any, first_match, has_word, strip
+from answerloom.functions.text import UNICODE, all_matches, contains_any, first_match, has_word, let, strip
 
 
 def question_id(text: Column) -> Column:
@@ -57,12 +57,12 @@ def instruction_snippets(text: Column) -> Column:
 
 
 def answer_format(text: Column) -> Column:
-    low = F.lower(text)
-    return (
-        F.when(contains_any(low, V.NUMBER_PHRASES), "number")
+    return let(
+        F.lower(text),
+        lambda low: F.when(contains_any(low, V.NUMBER_PHRASES), "number")
         .when(contains_any(low, V.IMAGE_WORDS), "base64_image")
         .when(low.contains("json") & low.contains("answer"), "json")
-        .otherwise("string")
+        .otherwise("string"),
     )
 
 
@@ -73,9 +73,12 @@ def description(text: Column) -> Column:
 
 def hint_tags(text: Column, hints: Mapping[str, Sequence[str]]) -> Column:
     """Names of the hint families with a word in the text, in family order."""
-    low = F.lower(text)
-    tags = [F.when(contains_any(low, [w.lower() for w in words]), F.lit(name)) for name, words in hints.items()]
-    return F.array_compact(F.array(*tags))
+
+    def tags(low: Column) -> Column:
+        found = [F.when(contains_any(low, [w.lower() for w in ws]), F.lit(name)) for name, ws in hints.items()]
+        return F.array_compact(F.array(*found))
+
+    return let(F.lower(text), tags)
 
 
 def strip_code_fence(text: Column) -> Column:

@@ -37,8 +37,8 @@ def ends_with_any(text: Column, suffixes: Iterable[str]) -> Column:
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match, null when nothing matches."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    """A group of the first match, null when nothing matches. The group must not match an empty text."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:

@@ -49,8 +49,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _levels(edges: DataFrame, sources: DataFrame, tree: bool, directed: bool, max_rounds: int | None) -> DataFrame:
-    """Breadth-first levels with one path per node, ties by the smallest predecessor.
+def _levels(
+    edges: DataFrame,
+    sources: DataFrame,
+    tree: bool = False,
+    directed: bool = False,
+    max_rounds: int | None = None,
+    paths: bool = True,
+) -> DataFrame:
+    """Breadth-first levels, with one path per node, ties by the smallest predecessor.
 
     ``tree``: the edges are a search tree per source, so no node is met twice.
     """
@@ -60,7 +67,7 @@ def _levels(edges: DataFrame, sources: DataFrame, tree: bool, directed: bool, ma
             "source",
             F.col("source").alias("node"),
             F.lit(0).cast("bigint").alias("hops"),
-            F.array("source").alias("path"),
+            *([F.array("source").alias("path")] if paths else []),
         )
     )
     levels = [level]
@@ -77,12 +84,11 @@ def _levels(edges: DataFrame, sources: DataFrame, tree: bool, directed: bool, ma
             # Without direction a neighbour is at most one level back.
             seen = levels if directed else levels[-2:]
             met = met.join(_union([s.select("source", "node") for s in seen]), ["source", "node"], "left_anti")
-        paths = level.select("source", F.col("node").alias("pred"), "hops", "path")
-        level = cut_lineage(
-            met.join(paths, ["source", "pred"]).select(
-                "source", "node", (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("node")).alias("path")
-            )
-        )
+        if paths:
+            so_far = level.select("source", F.col("node").alias("pred"), "path")
+            met = met.join(so_far, ["source", "pred"]).withColumn("path", F.concat("path", F.array("node")))
+        kept = ["path"] if paths else []
+        level = cut_lineage(met.select("source", "node", F.lit(rounds).cast("bigint").alias("hops"), *kept))
         if level.isEmpty():
             break
         levels.append(level)
@@ -132,7 +138,7 @@ def shortest_paths(
     """
     sources = sources.select("source").distinct()
     if weight is None:
-        found = _levels(edges, sources, False, directed, max_rounds)
+        found = _levels(edges, sources, directed=directed, max_rounds=max_rounds)
         return found.select("source", "node", F.col("hops").cast("double").alias("distance"), "path")
     weighted = cut_lineage(edges.select("src", "dst", F.col(weight).cast("double").alias("weight")))
     best = _distances(weighted, sources, max_rounds)
@@ -145,13 +151,13 @@ def shortest_paths(
         .groupBy("source", "dst")
         .agg(F.min("src").alias("src"))
     )
-    paths = _levels(tree, sources, True, directed, max_rounds)
+    paths = _levels(tree, sources, tree=True)
     return paths.join(best, ["source", "node"]).select("source", "node", "distance", "path")
 
 
 def closeness(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
     """Closeness of the sources: nodes reached over total distance, scaled by the share of nodes reached."""
-    reached = _levels(edges, sources.select("source").distinct(), False, directed, None)
+    reached = _levels(edges, sources.select("source").distinct(), directed=directed, paths=False)
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     others = ends.agg(F.count(F.lit(1)) - 1).scalar()
     sums = reached.groupBy("source").agg(

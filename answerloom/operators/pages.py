@@ -15,13 +15,14 @@ from answerloom import fixed_values as V
 from answerloom.functions import html_nodes as H
 from answerloom.functions.text import UNICODE, all_matches, strip
 from answerloom.functions.urls import host, is_data_link, resolve_url
+from answerloom.plans.ranges import spread
 
 NODES = "nodes"
 
 
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds the ``nodes`` of each page. Write the result to a table to use it often."""
-    return pages.withColumn(NODES, H.html_nodes(F.col(html)))
+    return spread(pages).withColumn(NODES, H.html_nodes(F.col(html)))
 
 
 def shred_html(parsed: DataFrame, page: str = "page_id") -> DataFrame:

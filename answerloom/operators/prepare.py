@@ -145,19 +145,21 @@ def coerce_payloads(df: DataFrame, column: str) -> DataFrame:
     to text, ``pos`` its place in the payload. A payload that gives no record
     keeps one row with a null record and ``kind`` ``rejected``.
     """
-    text = strip(F.col(column))
-    is_json = F.try_parse_json(text).isNotNull()
+    text, is_json = F.col("__text"), F.col("__is_json")
     json_many = F.from_json(F.when(is_json & text.startswith("["), text), "array<map<string,string>>")
     json_one = F.from_json(F.when(is_json & text.startswith("{"), text), "map<string,string>")
-    lines = _csv_lines(text)
-    csv = F.when(~is_json & (F.size(lines) > 1), lines)
-    parsed = df.withColumns(
+    told = df.withColumn("__text", strip(F.col(column)))
+    told = told.withColumn("__is_json", text.rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull())
+    split = told.withColumns(
         {
             "__json": F.coalesce(json_many, F.array_compact(F.array(json_one))),
-            "__head": _csv_cells(F.get(csv, F.lit(0))),
-            "__rows": F.transform(_after_first(csv), _csv_cells),
+            "__lines": F.when(~is_json, _csv_lines(text)),
         }
     )
+    csv = F.when(F.size("__lines") > 1, F.col("__lines"))
+    parsed = split.withColumns(
+        {"__head": _csv_cells(F.get(csv, F.lit(0))), "__rows": F.transform(_after_first(csv), _csv_cells)}
+    )
     ragged = F.exists("__rows", lambda r: F.size(r) > F.size("__head"))
     filled = F.transform(
         "__rows",

@@ -54,6 +54,19 @@ def range_count(df: DataFrame) -> int:
     return max(1, min(MAX_RANGES, math.ceil(plan_bytes(df) / RANGE_BYTES)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input for work that is heavy per row, on every core.
+
+    A table of many files comes in enough parts and is left alone. Only one
+    with fewer parts than there are cores, and small enough for a shuffle to
+    cost little, is dealt out again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan_bytes(df) > cores * RANGE_BYTES or df.rdd.getNumPartitions() > cores // 2:
+        return df
+    return df.repartition(cores)
+
+
 def _sort_key(df: DataFrame, name: str) -> Column:
     # A zoneless timestamp as text sorts the same and needs no zone to compare.
     if isinstance(df.schema[name].dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)):

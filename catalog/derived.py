@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog import table
+from catalog import wide_table
 
 _KEY = "cast(o_orderkey as string)"
 _CUT = "cast(o_orderkey % 50 as string)"
@@ -141,5 +141,5 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the SELECTs above over the given tables."""
     for name in ("orders", "customer", "supplier", "part", "lineitem", "events"):
         if f"FROM {name}" in sql:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
+            wide_table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(sql)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from answerloom.functions import answers as A
 from answerloom.functions import questions as Q
 from answerloom.operators import aggregates as G
-from catalog import query, table
+from catalog import query, table, wide_table
 from catalog.derived import QUESTIONS, derived
 
 _CUTS = rf"""
@@ -270,6 +270,6 @@ FROM documents
 )
 def a17(spark, sf_dir):
     md5, sha1, sha256, _ = G.hash_columns(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return wide_table(spark, sf_dir, "documents").select(
         "doc_id", md5, sha1, sha256, A.short_id(F.col("source"), F.col("doc_id")).alias("short_id")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions import answers as A
 from answerloom.operators.answers import grading_summary
-from catalog import query, table
+from catalog import query, table, wide_table
 from catalog.derived import ANSWERS, RESPONSES, derived
 from catalog.q_questions import _UNFENCED
 
@@ -87,7 +87,7 @@ FROM documents
 )
 def f6(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return wide_table(spark, sf_dir, "documents").select(
         "doc_id",
         F.octet_length(text).cast("bigint").alias("bytes"),
         A.size_check(text).alias("reason"),

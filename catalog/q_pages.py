@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from answerloom.functions.decode import decode_layers
 from answerloom.functions.urls import default_submit_url, resolve_url, source_kind
 from answerloom.operators import pages as P
-from catalog import query, table
+from catalog import query, table, wide_table
 from catalog.derived import TABLE_PAGES, derived
 
 
@@ -294,7 +294,7 @@ def h13(spark, sf_dir):
     encoded = F.concat("text", F.lit(_TAIL))
     for layer in range(1, 4):
         encoded = F.when(F.col("doc_id") % 4 >= layer, F.base64(encoded)).otherwise(encoded)
-    documents = table(spark, sf_dir, "documents").select("doc_id", encoded.alias("encoded"))
+    documents = wide_table(spark, sf_dir, "documents").select("doc_id", encoded.alias("encoded"))
     return decode_layers(documents, "encoded").select("doc_id", "layers", F.md5("text").alias("text_md5"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from answerloom.operators import prepare as P
 from answerloom.sources.sinks import to_json_records
-from catalog import query, table
+from catalog import query, table, wide_table
 from catalog.derived import TREE, derived
 
 _DIRTY = {
@@ -103,7 +103,7 @@ UNION ALL SELECT event_id, 'rejected', NULL, NULL, NULL, NULL FROM events WHERE
 """,
 )
 def c4(spark, sf_dir):
-    payloads = table(spark, sf_dir, "events").selectExpr("event_id", f"{_PAYLOAD} AS payload")
+    payloads = wide_table(spark, sf_dir, "events").selectExpr("event_id", f"{_PAYLOAD} AS payload")
     records = P.coerce_payloads(payloads, "payload")
     return records.select(
         "event_id",

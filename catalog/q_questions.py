@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from answerloom import fixed_values as V
 from answerloom.functions import questions as Q
-from catalog import query, table
+from catalog import query, wide_table
 from catalog.derived import ANSWERS, QUESTIONS, derived
 
 _FROM = f"FROM ({QUESTIONS})"
@@ -117,7 +117,7 @@ SELECT origin, answer_format, count(*) AS n FROM (
 )
 def p7(spark, sf_dir):
     texts = derived(spark, sf_dir, QUESTIONS).select(F.lit("questions").alias("origin"), "text")
-    talks = table(spark, sf_dir, "conversations").select(F.col("role").alias("origin"), "text")
+    talks = wide_table(spark, sf_dir, "conversations").select(F.col("role").alias("origin"), "text")
     return (
         texts.unionByName(talks)
         .groupBy("origin", Q.answer_format(F.col("text")).alias("answer_format"))
@@ -133,7 +133,7 @@ _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)"
     f"SELECT doc_id, substring(trim(regexp_extract(text, '^[^.!?]*'), {_WS}), 1, 200) AS description FROM documents",
 )
 def p8(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", Q.description(F.col("text")).alias("description"))
+    return wide_table(spark, sf_dir, "documents").select("doc_id", Q.description(F.col("text")).alias("description"))
 
 
 def _hint_sql(hints) -> str:
@@ -150,7 +150,7 @@ def _hint_sql(hints) -> str:
     f"UNION ALL SELECT qid + 1000000000, {_hint_sql(V.TASK_HINTS)}, {_hint_sql(V.FORMAT_HINTS)} {_FROM}",
 )
 def p9(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents = wide_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = derived(spark, sf_dir, QUESTIONS).select((F.col("qid") + 1000000000).alias("id"), "text")
     return documents.unionByName(asked).select(
         "id",
@@ -200,7 +200,7 @@ SELECT doc_id, md5(array_to_string(list_filter([
 """,
 )
 def p11(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = wide_table(spark, sf_dir, "documents")
     context = Q.build_context(
         {
             "audio_transcript": F.when(F.col("doc_id") % 3 == 0, F.col("lang")),
@@ -220,7 +220,7 @@ FROM documents GROUP BY source
 )
 def p12(spark, sf_dir):
     return (
-        table(spark, sf_dir, "documents")
+        wide_table(spark, sf_dir, "documents")
         .groupBy("source")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(Q.estimate_tokens(F.col("text"))).alias("tokens"))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from answerloom.operators import images as I
 from answerloom.plans.staging import stage_path
 from answerloom.sources import logs, manifest, readers, sinks
-from catalog import query, table
+from catalog import query, table, wide_table
 
 
 @query(
@@ -247,7 +247,7 @@ def _images(spark, sf_dir, shift: int):
     )
     byte = F.transform(pixel, lambda p: F.lpad(F.hex(p), 2, "0"))
     data = F.unhex(F.array_join(F.transform(byte, lambda b: F.concat(b, F.lit("10"), b)), ""))
-    return table(spark, sf_dir, "embeddings").select(
+    return wide_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("origin"),
         F.lit(8).alias("height"),
         F.lit(8).alias("width"),
