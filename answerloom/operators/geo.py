@@ -12,6 +12,10 @@ from answerloom.plans.staging import cut_lineage
 
 _HALF_ROUND_KM = math.pi * V.EARTH_RADIUS_KM
 _WIDEN = 4
+_FINER = 8  # cells per reach when places are counted cell by cell
+_CROWDED = 4096  # places per cell from which a search starts closer by
+_START_KM = 200.0
+_LEAST_KM = 0.05
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -85,26 +89,92 @@ def within_distance(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
     return _near(a.select("id", "lat", "lon"), other, km).select("id", "other_id", "km")
 
 
+class _Cells(_Grid):
+    """Cells as discs: a centre and the distance no point of the cell exceeds."""
+
+    ROUND = 8  # around the poles, with fewer cells to a band, a cell is not near to a disc
+
+    def put(self, places: DataFrame, lat: str, lon: str) -> DataFrame:
+        band = self.band(F.col(lat))
+        return places.withColumns({"band": band, "cell": self.cell(band, F.col(lon))})
+
+    def discs(self, cells: DataFrame, prefix: str) -> DataFrame:
+        in_band = self.cells_in(F.col("band"))
+        width = 360 / in_band
+        low = F.col("band") * self.side - 90
+        high = F.least(F.lit(90.0), low + self.side)
+        lat, lon = (low + high) / 2, (F.col("cell") + 0.5) * width - 180
+        edge = lon + width / 2
+        radius = F.greatest(haversine(lat, lon, low, edge), haversine(lat, lon, high, edge))
+        return cells.select(
+            F.col("band").alias(f"{prefix}band"),
+            F.col("cell").alias(f"{prefix}cell"),
+            *[c for c in cells.columns if c not in ("band", "cell")],
+            lat.alias(f"{prefix}lat"),
+            lon.alias(f"{prefix}lon"),
+            F.when(in_band >= self.ROUND, radius).alias(f"{prefix}radius"),
+        )
+
+
 def count_within(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
     """``(id, in_range)``: how many points of b are in range of each point of a, 0 included.
 
-    Works on distinct places, so crowded spots are compared once.
+    Points on one spot are one place. Places are put in cells smaller than the
+    reach; two cells that lie wholly within reach are counted as a whole, two
+    that lie wholly apart not at all, and only the places of the others are
+    compared one by one.
     """
-    spots = _places(a, "", F.count(F.lit(1)).alias("__points")).select("lat", "lon")
-    counts = _near(spots, _places(b, "b_", F.count(F.lit(1)).alias("__n")), km)
-    counts = counts.groupBy("lat", "lon").agg(F.sum("__n").alias("in_range"))
+    cells = _Cells(km / _FINER)
+    spots = cells.put(_places(a, "", F.count(F.lit(1)).alias("__points")).select("lat", "lon"), "lat", "lon")
+    others = cells.put(_places(b, "b_", F.count(F.lit(1)).alias("__n")), "b_lat", "b_lon")
+    spots, others = cut_lineage(spots), cut_lineage(others)
+    left = cells.discs(spots.select("band", "cell").distinct(), "")
+    right = cells.discs(others.groupBy("band", "cell").agg(F.sum("__n").alias("__in_cell")), "b_")
+    # Centres of cells with places in reach of each other are not farther apart than this.
+    pairs = _near(left, right, min(1.75 * km, _HALF_ROUND_KM * 1.001))
+    spread = F.col("radius") + F.col("b_radius")
+    whole = F.coalesce(F.col("km") + spread < km * (1 - 1e-9), F.lit(False))
+    apart = F.coalesce(F.col("km") - spread > km * (1 + 1e-9), F.lit(False))
+    pairs = cut_lineage(
+        pairs.where(~apart).select("band", "cell", "b_band", "b_cell", "__in_cell", whole.alias("whole"))
+    )
+    by_cell = pairs.where("whole").groupBy("band", "cell").agg(F.sum("__in_cell").alias("__whole"))
+    edge = pairs.where("NOT whole").select("band", "cell", "b_band", "b_cell")
+    near = spots.join(edge, ["band", "cell"]).join(
+        others.withColumnsRenamed({"band": "b_band", "cell": "b_cell"}), ["b_band", "b_cell"]
+    )
+    in_reach = haversine(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) <= km
+    by_place = near.where(in_reach).groupBy("lat", "lon").agg(F.sum("__n").alias("__single"))
+    counts = spots.join(by_cell, ["band", "cell"], "left").join(by_place, ["lat", "lon"], "left")
+    counts = counts.select(
+        "lat", "lon", (F.coalesce("__whole", F.lit(0)) + F.coalesce("__single", F.lit(0))).alias("in_range")
+    )
     return a.join(counts, ["lat", "lon"], "left").select("id", F.coalesce("in_range", F.lit(0)).alias("in_range"))
 
 
-def nearest(a: DataFrame, b: DataFrame, start_km: float = 200.0) -> DataFrame:
+def _first_reach(places: DataFrame) -> float:
+    """A reach at which no cell is crowded."""
+    reach = _START_KM
+    while reach > _LEAST_KM:
+        grid = _Grid(reach)
+        band = grid.band(F.col("b_lat"))
+        in_cell = places.groupBy(band.alias("band"), grid.cell(band, F.col("b_lon")).alias("cell")).count()
+        if (in_cell.agg(F.max("count")).first()[0] or 0) <= _CROWDED:
+            break
+        reach /= _WIDEN
+    return reach
+
+
+def nearest(a: DataFrame, b: DataFrame, start_km: float | None = None) -> DataFrame:
     """``(id, nearest_id, km)``: the nearest point of b, ties by the smallest id.
 
-    The search starts close by and widens only for places that found nothing,
-    until it spans the globe. Whatever is found within the reach is exact.
+    The search starts close by, the closer the more crowded b is, and widens
+    only for places that found nothing, until it spans the globe. Whatever is
+    found within the reach is exact.
     """
     spots = cut_lineage(_places(a, "", F.count(F.lit(1)).alias("__points")).select("lat", "lon"))
     others = cut_lineage(_places(b, "b_", F.min("id").alias("b_id")))
-    found, reach, open_spots = [], start_km, spots
+    found, reach, open_spots = [], start_km or _first_reach(others), spots
     while True:
         best = _near(open_spots, others, min(reach, _HALF_ROUND_KM * 1.001))
         best = best.groupBy("lat", "lon").agg(F.min(F.struct("km", "b_id")).alias("best"))

@@ -175,6 +175,7 @@ def closeness(edges: DataFrame, sources: DataFrame, directed: bool = False) -> D
 def follow_chain(links: DataFrame, start: str, following: str, max_steps: int = V.CHAIN_STEPS) -> DataFrame:
     """``(start, chain, steps, ended)``: the nodes met from each start, at most ``max_steps`` on.
 
+    ``ended`` is false where the chain was cut at that length.
     Chains of 1, 2, 4, ... steps are made by joining each with itself, and
     the wanted length is put together from those, so the number of joins
     grows with the logarithm of the length. ``start`` must be unique.
@@ -208,7 +209,7 @@ def follow_chain(links: DataFrame, start: str, following: str, max_steps: int =
         "start",
         F.concat(F.array("start"), "chain").alias("chain"),
         F.size("chain").alias("steps"),
-        F.col("at").isNull().alias("ended"),
+        (F.size("chain") < max_steps).alias("ended"),
     )
 
 

@@ -24,6 +24,20 @@ def h0(spark, sf_dir):
     return P.shred_html(_pages(spark, sf_dir)).select("page_id", "pre", "last", "level", "parent", "tag")
 
 
+@query(
+    "H0_tag_counts",
+    """
+SELECT tag, count(*) AS elements, count(DISTINCT page_id) AS pages FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag
+""",
+)
+def h0_tags(spark, sf_dir):
+    nodes = P.shred_html(_pages(spark, sf_dir)).where("tag != '#text'")
+    return nodes.groupBy("tag").agg(
+        F.count(F.lit(1)).alias("elements"), F.count_distinct("page_id").alias("pages")
+    )
+
+
 _ENTITIES = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 _DROPPED = "script|style|noscript|header|footer|nav|aside"
 _NO_BLOCKS = "regexp_replace(html, '<!--.*?-->', '', 'gs')"

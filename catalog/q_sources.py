@@ -72,12 +72,12 @@ def s4(spark, sf_dir):
 @query(
     "S5_read_text_files",
     "SELECT CAST(r AS VARCHAR) AS part, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY line)) AS text_md5 FROM "
-    "(SELECT c_nationkey AS r, c_name || ' ' || c_mktsegment AS line FROM customer) GROUP BY r",
+    "(SELECT c_custkey // 500 AS r, c_name || ' ' || c_mktsegment AS line FROM customer) GROUP BY r",
 )
 def s5(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     path = stage_path(spark, "notes")
-    lines = customer.select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("value"), F.col("c_nationkey").alias("part"))
+    lines = customer.select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("value"), F.floor(F.col("c_custkey") / 500).alias("part"))
     lines.repartition("part").write.partitionBy("part").text(path)
     files = readers.read_text_files(spark, path + "/*/*.txt")
     found = files.select(
