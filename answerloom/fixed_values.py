@@ -54,6 +54,7 @@ SENTENCE_END = r"[.!?]"
 DESCRIPTION_LENGTH = 200
 
 # Cutoff patterns.
+CUTOFF_WORD = "cutoff"
 CUTOFF = r"cutoff[:\s]+(\d+)"
 CUTOFF_VALUE = r"CUTOFF VALUE[^\d]*(\d+)"
 AT_LEAST_PHRASE = "greater than or equal"

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from answerloom import fixed_values as V
-from answerloom.functions.text import UNICODE, all_matches, contains_any, first_match, has_word, let, strip
+from answerloom.functions.text import UNICODE, all_matches, contains_any, first_match, let, strip
 
 
 def question_id(text: Column) -> Column:
@@ -117,11 +117,12 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def cutoff(text: Column) -> Column:
+    """The cutoff a question names. Texts without the word are not searched further."""
     found = F.coalesce(
         first_match(text, "(?iU)" + V.CUTOFF),
         first_match(text, UNICODE + V.CUTOFF_VALUE),
     )
-    return found.try_cast("bigint")
+    return F.when(F.lower(text).contains(V.CUTOFF_WORD), found.try_cast("bigint"))
 
 
 def cutoff_inclusive(text: Column) -> Column:
@@ -131,12 +132,21 @@ def cutoff_inclusive(text: Column) -> Column:
 
 def metric(text: Column) -> Column:
     """The metric a question asks for, by whole words in a fixed order."""
-    return (
-        F.when(has_word(text, V.SUM_WORDS) & cutoff(text).isNotNull(), "cutoff_sum")
-        .when(has_word(text, V.TOTAL_WORDS), "sum")
-        .when(has_word(text, V.COUNT_WORDS), "count")
-        .when(has_word(text, V.MEAN_WORDS), "mean")
-        .when(has_word(text, V.MAX_WORDS), "max")
-        .when(has_word(text, V.MIN_WORDS), "min")
-        .otherwise("first")
-    )
+    words = (V.SUM_WORDS, V.TOTAL_WORDS, V.COUNT_WORDS, V.MEAN_WORDS, V.MAX_WORDS, V.MIN_WORDS)
+    every = "|".join(dict.fromkeys(word for family in words for word in family))
+
+    def choose(found: Column) -> Column:
+        def any_of(family: Sequence[str]) -> Column:
+            return F.arrays_overlap(found, F.array(*map(F.lit, family)))
+
+        return (
+            F.when(any_of(V.SUM_WORDS) & cutoff(text).isNotNull(), "cutoff_sum")
+            .when(any_of(V.TOTAL_WORDS), "sum")
+            .when(any_of(V.COUNT_WORDS), "count")
+            .when(any_of(V.MEAN_WORDS), "mean")
+            .when(any_of(V.MAX_WORDS), "max")
+            .when(any_of(V.MIN_WORDS), "min")
+            .otherwise("first")
+        )
+
+    return let(all_matches(F.lower(text), UNICODE + rf"\b(?:{every})\b"), choose)

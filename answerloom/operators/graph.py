@@ -49,6 +49,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _nodes(edges: DataFrame, directed: bool) -> DataFrame:
+    """The nodes of an edge table; without direction every node is a ``src``."""
+    if directed:
+        return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return edges.select(F.col("src").alias("node")).distinct()
+
+
 def _levels(
     edges: DataFrame,
     sources: DataFrame,
@@ -60,8 +67,10 @@ def _levels(
     """Breadth-first levels, with one path per node, ties by the smallest predecessor.
 
     ``tree``: the edges are a search tree per source, so no node is met twice.
+    A source that has reached every node is not followed further: its last
+    level would be the widest, and find nothing.
     """
-    edges = cut_lineage(edges)
+    total = None if tree else _nodes(edges, directed).count()
     level = cut_lineage(
         sources.select(
             "source",
@@ -74,13 +83,17 @@ def _levels(
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
-        near = level.select("source", F.col("node").alias("pred"))
+        active = level
+        if not tree:
+            reached = _union([s.select("source") for s in levels]).groupBy("source").count()
+            active = level.join(reached.where(F.col("count") < total).select("source"), "source", "left_semi")
+        near = active.select("source", F.col("node").alias("pred"))
         if tree:
             met = near.join(edges.select("source", F.col("src").alias("pred"), F.col("dst").alias("node")),
                             ["source", "pred"])
         else:
-            reached = near.join(edges.select(F.col("src").alias("pred"), F.col("dst").alias("node")), "pred")
-            met = reached.groupBy("source", "node").agg(F.min("pred").alias("pred"))
+            ahead = near.join(edges.select(F.col("src").alias("pred"), F.col("dst").alias("node")), "pred")
+            met = ahead.groupBy("source", "node").agg(F.min("pred").alias("pred"))
             # Without direction a neighbour is at most one level back.
             seen = levels if directed else levels[-2:]
             met = met.join(_union([s.select("source", "node") for s in seen]), ["source", "node"], "left_anti")
@@ -138,7 +151,7 @@ def shortest_paths(
     """
     sources = sources.select("source").distinct()
     if weight is None:
-        found = _levels(edges, sources, directed=directed, max_rounds=max_rounds)
+        found = _levels(cut_lineage(edges), sources, directed=directed, max_rounds=max_rounds)
         return found.select("source", "node", F.col("hops").cast("double").alias("distance"), "path")
     weighted = cut_lineage(edges.select("src", "dst", F.col(weight).cast("double").alias("weight")))
     best = _distances(weighted, sources, max_rounds)
@@ -151,15 +164,15 @@ def shortest_paths(
         .groupBy("source", "dst")
         .agg(F.min("src").alias("src"))
     )
-    paths = _levels(tree, sources, tree=True)
+    paths = _levels(cut_lineage(tree), sources, tree=True)
     return paths.join(best, ["source", "node"]).select("source", "node", "distance", "path")
 
 
 def closeness(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
     """Closeness of the sources: nodes reached over total distance, scaled by the share of nodes reached."""
+    edges = cut_lineage(edges)
     reached = _levels(edges, sources.select("source").distinct(), directed=directed, paths=False)
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    others = ends.agg(F.count(F.lit(1)) - 1).scalar()
+    others = _nodes(edges, directed).agg(F.count(F.lit(1)) - 1).scalar()
     sums = reached.groupBy("source").agg(
         (F.count(F.lit(1)) - 1).alias("reached"), F.sum("hops").alias("total_distance")
     )

@@ -243,15 +243,8 @@ def _step(match, outer: Column | None, child: bool, pruned: bool):
     return test
 
 
-def css_select(
-    parsed: DataFrame,
-    selector: str,
-    attribute: str = "text",
-    multiple: bool = True,
-    pruned: bool = False,
-    page: str = "page_id",
-) -> DataFrame:
-    """Text or an attribute of the elements a selector picks.
+def css_values(selector: str, attribute: str = "text", pruned: bool = False) -> Column:
+    """Text or an attribute of the elements a selector picks, as an array column over parsed pages.
 
     Simple selectors joined by a blank (inside) or ``>`` (directly inside).
     Anything else raises ValueError.
@@ -269,9 +262,20 @@ def css_select(
     if found is None or direct:
         raise ValueError(f"selector not supported: {selector!r}")
     if attribute == "text":
-        values = F.transform(found, lambda n: H.stripped_text(H.subtree(nodes, n), pruned=pruned))
-    else:
-        values = F.transform(found, lambda n: n["attrs"][attribute])
+        return F.transform(found, lambda n: H.stripped_text(H.subtree(nodes, n), pruned=pruned))
+    return F.transform(found, lambda n: n["attrs"][attribute])
+
+
+def css_select(
+    parsed: DataFrame,
+    selector: str,
+    attribute: str = "text",
+    multiple: bool = True,
+    pruned: bool = False,
+    page: str = "page_id",
+) -> DataFrame:
+    """Rows of what a selector picks; with ``multiple`` false the first per page, or null."""
+    values = css_values(selector, attribute, pruned)
     if multiple:
         return parsed.select(page, F.posexplode(values).alias("pos", "value"))
     return parsed.select(page, F.get(values, F.lit(0)).alias("value"))

@@ -214,18 +214,16 @@ UNION ALL SELECT c_custkey, 'data', NULL, '/x/' || CAST(c_custkey AS VARCHAR) ||
 """,
 )
 def h9(spark, sf_dir):
-    pages, made = _pages(spark, sf_dir), _table_pages(spark, sf_dir)
-    parts = {
-        "nav": P.css_select(pages, "nav > ul li a[href]", "href"),
-        "ad": P.css_select(pages, "body div.ad"),
-        "dd": P.css_select(made, "dl > dd"),
-        "data": P.css_select(made, "a.data.big", "href", multiple=False).withColumn("pos", F.lit(None).cast("int")),
-    }
-    out = None
-    for name, part in parts.items():
-        part = part.select("page_id", F.lit(name).alias("part"), "pos", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    def rows(parsed, **selected):
+        parts = F.array(*[F.struct(F.lit(n).alias("part"), v.alias("values")) for n, v in selected.items()])
+        listed = parsed.select("page_id", F.explode(parts).alias("p"))
+        return listed.select("page_id", "p.part", F.posexplode("p.values").alias("pos", "value"))
+
+    given = rows(_pages(spark, sf_dir), nav=P.css_values("nav > ul li a[href]", "href"), ad=P.css_values("body div.ad"))
+    made = _table_pages(spark, sf_dir)
+    first = P.css_select(made, "a.data.big", "href", multiple=False)
+    first = first.select("page_id", F.lit("data").alias("part"), F.lit(None).cast("int").alias("pos"), "value")
+    return given.unionByName(rows(made, dd=P.css_values("dl > dd"))).unionByName(first)
 
 
 @query(
