@@ -100,6 +100,18 @@ def distinct_vectors(vectors: DataFrame, vector_id: str = "vec_id", vector: str
     )
 
 
+def _pair_type(id_type: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("vec_id", id_type),
+            T.StructField("other_id", id_type),
+            T.StructField("cosine", T.DoubleType()),
+            T.StructField("copies", T.LongType()),
+            T.StructField("other_copies", T.LongType()),
+        ]
+    )
+
+
 def similar_pairs(
     vectors: DataFrame, threshold: float, vector_id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -112,9 +124,14 @@ def similar_pairs(
     """
     single = cut_lineage(distinct_vectors(vectors, vector_id, vector))
     total = single.count()
+    if not total:
+        return vectors.sparkSession.createDataFrame([], _pair_type(vectors.schema[vector_id].dataType))
     count = max(1, min(MAX_PIVOTS, total // BLOCK_ROWS))
-    pivots = single.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()
-    matrix = _unit_rows([p["embedding"] for p in pivots]) if pivots else np.zeros((0, 1))
+    # Chosen by hash, out of a few times as many, so that no task sends on more than those.
+    some = single.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total))) < 8 * count + 16)
+    pivots = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()
+    count = len(pivots)
+    matrix = _unit_rows([p["embedding"] for p in pivots]) 
     reach = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
     region_type = T.StructType(
         [T.StructField("home", T.IntegerType()), T.StructField("others", T.ArrayType(T.IntegerType()))]
@@ -170,16 +187,7 @@ def similar_pairs(
     work = placed.select(
         "vec_id", "copies", "embedding", F.explode(F.concat(as_left, as_right, visiting)).alias("t")
     ).select("vec_id", "copies", "embedding", "t.*")
-    id_type = vectors.schema[vector_id].dataType
-    schema = T.StructType(
-        [
-            T.StructField("vec_id", id_type),
-            T.StructField("other_id", id_type),
-            T.StructField("cosine", T.DoubleType()),
-            T.StructField("copies", T.LongType()),
-            T.StructField("other_copies", T.LongType()),
-        ]
-    )
+    schema = _pair_type(vectors.schema[vector_id].dataType)
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["side"] == 0], part[part["side"] == 1]

@@ -22,9 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from answerloom.functions.text import let
+
 RANGE_BYTES = 64 * 1024 * 1024
-MAX_RANGES = 4096
-SAMPLES_PER_RANGE = 32
+MAX_RANGES = 16384
+SAMPLES_PER_RANGE = 16
+_FAN = 16  # cut points compared per level when a row's range is looked up
+_HASH_STEPS = 2**40
+_MANY_ROWS = 10_000_000
 _UNKNOWN_BYTES = 2**60  # what Catalyst says of data it knows nothing about
 _GUESSED_VALUE_BYTES = 16
 
@@ -61,8 +66,10 @@ def spread(df: DataFrame) -> DataFrame:
     with fewer parts than there are cores, and small enough for a shuffle to
     cost little, is dealt out again.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) > cores * RANGE_BYTES or df.rdd.getNumPartitions() > cores // 2:
+    if plan_bytes(df) > cores * RANGE_BYTES or len(df.inputFiles()) > cores // 2:
         return df
     return df.repartition(cores)
 
@@ -74,16 +81,23 @@ def _sort_key(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
+def _sample(df: DataFrame, order: Sequence[str], wanted: int) -> list[tuple]:
+    """About ``wanted`` of the order keys, sorted; the same ones each time, chosen by their hash."""
+    keys = df.select(*[_sort_key(df, c).alias(f"o{i}") for i, c in enumerate(order)])
+    names = keys.columns
+    total = df.count()
+    if total > wanted:
+        below = math.ceil(wanted / total * _HASH_STEPS)
+        keys = keys.where(F.pmod(F.xxhash64(*names), F.lit(_HASH_STEPS)) < below)
+    return [tuple(r) for r in keys.distinct().limit(4 * wanted).orderBy(*names).collect()]
+
+
 def cut_points(df: DataFrame, order: Sequence[str], ranges: int) -> list[tuple]:
     """At most ``ranges - 1`` order keys that split the rows about evenly."""
     if ranges <= 1:
         return []
-    keys = df.select(*[_sort_key(df, c).alias(f"o{i}") for i, c in enumerate(order)])
-    names = keys.columns
-    sample = keys.orderBy(F.xxhash64(*names), *names).limit(ranges * SAMPLES_PER_RANGE)
-    rows = [tuple(r) for r in sample.orderBy(*names).collect()]
-    step = max(1, len(rows) // ranges)
-    return list(dict.fromkeys(rows[step::step]))
+    rows = _sample(df, order, ranges * SAMPLES_PER_RANGE)
+    return list(dict.fromkeys(rows[len(rows) * i // ranges] for i in range(1, ranges) if len(rows) * i // ranges))
 
 
 def range_of(df: DataFrame, order: Sequence[str], points: list[tuple]) -> Column:
@@ -93,19 +107,43 @@ def range_of(df: DataFrame, order: Sequence[str], points: list[tuple]) -> Column
     here = F.struct(*[_sort_key(df, c).alias(f"o{i}") for i, c in enumerate(order)])
     types = [df.select(_sort_key(df, c)).schema[0].dataType for c in order]
 
-    def literal(point: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(point, types))])
+    def literals(some: list[tuple]) -> Column:
+        return F.array(
+            *[F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(p, types))]) for p in some]
+        )
 
     def at_or_before(array: Column) -> Column:
         return F.size(F.filter(array, lambda p: p <= here))
 
-    fan = math.ceil(math.sqrt(len(points)))
-    tops = F.array(*[literal(p) for p in points[::fan]])
-    if fan == 1:
-        return at_or_before(tops)
-    blocks = F.array(*[F.array(*[literal(p) for p in points[i : i + fan]]) for i in range(0, len(points), fan)])
-    top = at_or_before(tops)
-    return F.when(top == 0, F.lit(0)).otherwise((top - 1) * fan + at_or_before(F.get(blocks, top - 1)))
+    # Blocks of points, blocks of their first points, and so on up to a single block.
+    levels = [points]
+    while len(levels[-1]) > _FAN:
+        levels.append(levels[-1][::_FAN])
+    found = at_or_before(literals(levels.pop()))
+
+    def look_in(blocks: Column):
+        return lambda i: F.when(i == 0, 0).otherwise((i - 1) * _FAN + at_or_before(F.get(blocks, i - 1)))
+
+    while levels:
+        level = levels.pop()
+        blocks = F.array(*[literals(level[i : i + _FAN]) for i in range(0, len(level), _FAN)])
+        found = let(found, look_in(blocks))
+    return found
+
+
+def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The last n rows by a total order, in that order.
+
+    Every task offers n rows to the last step. Where that adds up to very many,
+    only rows from a late cut point on are looked at, if those are enough.
+    """
+    files = 0 if df.isStreaming else max(len(df.inputFiles()), plan_bytes(df) // (2 * RANGE_BYTES))
+    if files * n > _MANY_ROWS:
+        points = cut_points(df, order, max(2, min(MAX_RANGES, range_count(df))))
+        late = df.where(range_of(df, order, points[-1:]) == 1)
+        if late.count() >= n:
+            df = late
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
 def _with_range(df: DataFrame, order: Sequence[str], ranges: int | None) -> DataFrame | None:

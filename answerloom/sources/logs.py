@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom import fixed_values as V
+from answerloom.plans.ranges import last_rows
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -45,4 +46,4 @@ def log_tail(
     if not 1 <= n <= V.LOG_LINES_MAX:
         raise ValueError(f"n is between 1 and {V.LOG_LINES_MAX}")
     kept = parsed if level.lower() == "all" else parsed.where(F.col("level") == level.upper())
-    return kept.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
+    return last_rows(kept, order, n)

@@ -76,3 +76,36 @@ def test_time_order(spark, sf):
     m = {"s": ("sum", F.col("event_id"))}
     got = R.running(events, ["user_id"], ["ts", "event_id"], m, 6)
     assert as_set(got) == as_set(R.running(events, ["user_id"], ["ts", "event_id"], m, 1).select(*got.columns))
+
+
+@pytest.mark.parametrize("ranges", [2, 16, 17, 18, 300, 700])
+def test_range_lookup_counts_points(spark, ranges):
+    rows = spark.range(2000).select((F.col("id") * 7 % 2003).alias("a"), (F.col("id") % 3).alias("b"))
+    points = R.cut_points(rows, ["a", "b"], ranges)
+    assert len(points) == ranges - 1 and points == sorted(points)
+    got = rows.select("*", R.range_of(rows, ["a", "b"], points).alias("r")).collect()
+    assert all(r.r == sum(p <= (r.a, r.b) for p in points) for r in got)
+
+
+def test_sampled_points_are_the_same_each_time(spark, monkeypatch):
+    rows = spark.range(20000).select((F.col("id") * 31 % 20011).alias("v"))
+    first = R.cut_points(rows, ["v"], 8)
+    assert first == R.cut_points(rows.repartition(5), ["v"], 8) and len(first) == 7
+    sizes = [r["count"] for r in rows.groupBy(R.range_of(rows, ["v"], first).alias("r")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 20000 / 8 * 2.2
+
+
+def test_last_rows(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") * 7 % 5003).alias("v"))
+    want = [r.v for r in rows.orderBy(F.desc("v")).limit(40).collect()][::-1]
+    assert [r.v for r in R.last_rows(rows, ["v"], 40).collect()] == want
+    monkeypatch.setattr(R, "_MANY_ROWS", -1)
+    assert [r.v for r in R.last_rows(rows, ["v"], 40).collect()] == want
+    assert R.last_rows(rows, ["v"], 4990).count() == 4990
+
+
+def test_spread_leaves_large_input_alone(spark, sf, monkeypatch):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert R.spread(events).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(R, "RANGE_BYTES", 10)
+    assert R.spread(events).rdd.getNumPartitions() == events.rdd.getNumPartitions()
