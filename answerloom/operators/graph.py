@@ -59,18 +59,16 @@ def _nodes(edges: DataFrame, directed: bool) -> DataFrame:
 def _levels(
     edges: DataFrame,
     sources: DataFrame,
-    tree: bool = False,
     directed: bool = False,
     max_rounds: int | None = None,
     paths: bool = True,
 ) -> DataFrame:
     """Breadth-first levels, with one path per node, ties by the smallest predecessor.
 
-    ``tree``: the edges are a search tree per source, so no node is met twice.
     A source that has reached every node is not followed further: its last
     level would be the widest, and find nothing.
     """
-    total = None if tree else _nodes(edges, directed).count()
+    total = _nodes(edges, directed).count()
     level = cut_lineage(
         sources.select(
             "source",
@@ -83,20 +81,14 @@ def _levels(
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
-        active = level
-        if not tree:
-            reached = _union([s.select("source") for s in levels]).groupBy("source").count()
-            active = level.join(reached.where(F.col("count") < total).select("source"), "source", "left_semi")
+        reached = _union([s.select("source") for s in levels]).groupBy("source").count()
+        active = level.join(reached.where(F.col("count") < total).select("source"), "source", "left_semi")
         near = active.select("source", F.col("node").alias("pred"))
-        if tree:
-            met = near.join(edges.select("source", F.col("src").alias("pred"), F.col("dst").alias("node")),
-                            ["source", "pred"])
-        else:
-            ahead = near.join(edges.select(F.col("src").alias("pred"), F.col("dst").alias("node")), "pred")
-            met = ahead.groupBy("source", "node").agg(F.min("pred").alias("pred"))
-            # Without direction a neighbour is at most one level back.
-            seen = levels if directed else levels[-2:]
-            met = met.join(_union([s.select("source", "node") for s in seen]), ["source", "node"], "left_anti")
+        ahead = near.join(edges.select(F.col("src").alias("pred"), F.col("dst").alias("node")), "pred")
+        met = ahead.groupBy("source", "node").agg(F.min("pred").alias("pred"))
+        # Without direction a neighbour is at most one level back.
+        seen = levels if directed else levels[-2:]
+        met = met.join(_union([s.select("source", "node") for s in seen]), ["source", "node"], "left_anti")
         if paths:
             so_far = level.select("source", F.col("node").alias("pred"), "path")
             met = met.join(so_far, ["source", "pred"]).withColumn("path", F.concat("path", F.array("node")))
@@ -137,6 +129,25 @@ def _distances(edges: DataFrame, sources: DataFrame, max_rounds: int | None) ->
     return best
 
 
+def _climb(tree: DataFrame, sources: DataFrame) -> DataFrame:
+    """Paths in a search tree per source, given as ``(source, node, pred)``.
+
+    Each round joins the way up from a node with the way up from where it
+    ends, so ways double in length and the rounds are few.
+    """
+    ways = cut_lineage(tree.select("source", "node", F.array("pred").alias("way"), F.col("pred").alias("top")))
+    while not (moving := ways.where("top != source")).isEmpty():
+        on = ways.select("source", F.col("node").alias("top"), F.col("way").alias("on"), F.col("top").alias("next"))
+        longer = moving.join(on, ["source", "top"]).select(
+            "source", "node", F.concat("way", "on").alias("way"), F.col("next").alias("top")
+        )
+        ways = cut_lineage(longer.unionByName(ways.where("top = source")))
+    paths = ways.select("source", "node", F.concat(F.reverse("way"), F.array("node")).alias("path"))
+    return paths.unionByName(
+        sources.select("source", F.col("source").alias("node"), F.array("source").alias("path"))
+    )
+
+
 def shortest_paths(
     edges: DataFrame,
     sources: DataFrame,
@@ -161,10 +172,10 @@ def shortest_paths(
         start.join(weighted, "src")
         .join(end, ["source", "dst"])
         .where("d0 + weight = d1 AND dst != source")
-        .groupBy("source", "dst")
-        .agg(F.min("src").alias("src"))
+        .groupBy("source", F.col("dst").alias("node"))
+        .agg(F.min("src").alias("pred"))
     )
-    paths = _levels(cut_lineage(tree), sources, tree=True)
+    paths = _climb(tree, sources)
     return paths.join(best, ["source", "node"]).select("source", "node", "distance", "path")
 
 

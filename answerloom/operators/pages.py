@@ -281,6 +281,11 @@ def css_select(
     return parsed.select(page, F.get(values, F.lit(0)).alias("value"))
 
 
+def resolve_urls(df: DataFrame, base: str, ref: str, into: str = "resolved") -> DataFrame:
+    """Adds the references of a column made absolute against another column."""
+    return df.withColumn(into, resolve_url(F.col(base), F.col(ref)))
+
+
 def data_links(links: DataFrame, base: str = "url", page: str = "page_id") -> DataFrame:
     """Links to data files, absolute, each once per page."""
     files = links.where((F.col("href") != "") & is_data_link(F.col("href")))

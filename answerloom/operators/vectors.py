@@ -36,60 +36,77 @@ def _unit_rows(vectors) -> np.ndarray:
         return np.where(norms > 0, matrix / norms, np.nan)
 
 
+def _best(query_ids, matrix: np.ndarray, ids: np.ndarray, vectors, k: int) -> pd.DataFrame:
+    """The k best of some vectors for each query."""
+    scores = np.round(_unit_rows(vectors) @ matrix.T, DIGITS)
+    found = []
+    for q, query_id in enumerate(query_ids):
+        known = np.flatnonzero(~np.isnan(scores[:, q]))
+        order = known[np.lexsort((ids[known], -scores[known, q]))[:k]]
+        found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[order], "cosine": scores[order, q]}))
+    return pd.concat(found)
+
+
 def most_similar(
     vectors: DataFrame, queries: DataFrame, k: int, vector_id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """``(query_id, vec_id, cosine, place)``: the k vectors closest to each query, ties by id.
 
-    ``queries`` has ``query_id`` and ``query``. Queries are taken in batches of
-    a fixed size; per batch the vectors are read once, and each task passes on
-    at most k rows per query.
+    ``queries`` has ``query_id`` and ``query``. Up to a fixed number of queries
+    goes with the tasks, the vectors are read where they lie, and each task
+    passes on k rows per query. More queries than that are dealt out in
+    blocks, and blocks of queries meet blocks of vectors.
     """
-    ids = queries.schema["query_id"].dataType
     schema = T.StructType(
         [
-            T.StructField("query_id", ids),
-            T.StructField(vector_id, vectors.schema[vector_id].dataType),
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("vec_id", vectors.schema[vector_id].dataType),
             T.StructField("cosine", T.DoubleType()),
         ]
     )
-    results = None
-    batch: list = []
-
-    def search(batch: list) -> DataFrame:
-        names = [r["query_id"] for r in batch]
-        matrix = _unit_rows([r["query"] for r in batch])
-
-        def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    slim = vectors.select(F.col(vector_id).alias("vec_id"), F.col(vector).alias("embedding"))
+    asked = queries.select("query_id", "query")
+    few = asked.limit(QUERY_BATCH + 1).collect()
+    if len(few) <= QUERY_BATCH:
+        names = [r["query_id"] for r in few]
+        matrix = _unit_rows([r["query"] for r in few]) if few else None
+
+        def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept = None
             for part in parts:
-                if part.empty:
+                if part.empty or matrix is None:
                     continue
-                scores = np.round(_unit_rows(part[vector]) @ matrix.T, DIGITS)
-                ids_here = part[vector_id].to_numpy()
-                found = []
-                for q in range(len(names)):
-                    order = np.lexsort((ids_here, -scores[:, q]))[:k]
-                    found.append(pd.DataFrame({"q": q, vector_id: ids_here[order], "cosine": scores[order, q]}))
-                kept = pd.concat([f for f in ([kept] if kept is not None else []) + found])
-                kept = kept.dropna(subset=["cosine"]).sort_values(["q", "cosine", vector_id], ascending=[True, False, True])
-                kept = kept.groupby("q").head(k)
+                found = _best(names, matrix, part["vec_id"].to_numpy(), part["embedding"], k)
+                kept = found if kept is None else pd.concat([kept, found])
+                kept = kept.sort_values(["query_id", "cosine", "vec_id"], ascending=[True, False, True])
+                kept = kept.groupby("query_id").head(k)
             if kept is not None:
-                kept["query_id"] = [names[q] for q in kept["q"]]
-                yield kept[["query_id", vector_id, "cosine"]]
-
-        return vectors.select(vector_id, vector).mapInPandas(best, schema)
-
-    for row in queries.select("query_id", "query").toLocalIterator():
-        batch.append(row)
-        if len(batch) == QUERY_BATCH:
-            results = search(batch) if results is None else results.unionByName(search(batch))
-            batch = []
-    if batch or results is None:
-        if not batch:
-            return vectors.sparkSession.createDataFrame([], schema.add("place", T.IntegerType()))
-        results = search(batch) if results is None else results.unionByName(search(batch))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), vector_id))
+                yield kept
+
+        results = slim.mapInPandas(search, schema)
+    else:
+        query_blocks = math.ceil(queries.count() / QUERY_BATCH)
+        vector_blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
+
+        def blocks(column: str, count: int) -> Column:
+            return F.pmod(F.xxhash64(column), F.lit(count))
+
+        left = asked.select(
+            "*", blocks("query_id", query_blocks).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))).alias("v")
+        )
+        right = slim.select(
+            "*", blocks("vec_id", vector_blocks).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q")
+        )
+
+        def meet(some: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+            if some.empty or part.empty:
+                return pd.DataFrame(columns=schema.names)
+            return _best(some["query_id"], _unit_rows(some["query"]), part["vec_id"].to_numpy(), part["embedding"], k)
+
+        q, v = F.col("q").cast("bigint"), F.col("v").cast("bigint")
+        left, right = left.withColumns({"q": q, "v": v}), right.withColumns({"q": q, "v": v})
+        results = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(meet, schema)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return results.withColumn("place", place).where(F.col("place") <= k)
 
 

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from answerloom import fixed_values as V
+from answerloom.functions.urls import source_kind
 from answerloom.operators.images import dominant_colors, read_images
 from answerloom.sources import readers
 
@@ -15,6 +17,11 @@ STATUS = "source string, kind string, status string, rows bigint, error string"
 _AT_ONCE = 8
 
 
+def route_sources(df: DataFrame, url: str, into: str = "kind") -> DataFrame:
+    """Adds the kind of reader each URL needs."""
+    return df.withColumn(into, source_kind(F.col(url)))
+
+
 def kind_of(path: str) -> str:
     """The reader for a path; the same rules as ``source_kind``."""
     low = path.lower()

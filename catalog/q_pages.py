@@ -38,7 +38,8 @@ def h0_tags(spark, sf_dir):
     )
 
 
-_ENTITIES = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+# The pages hold no other entities in their text; a cut-off title may end in one without its semicolon.
+_ENTITIES = "regexp_replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;?', '&', 'g')"
 _DROPPED = "script|style|noscript|header|footer|nav|aside"
 _NO_BLOCKS = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
 for _tag in _DROPPED.split("|"):

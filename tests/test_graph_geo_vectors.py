@@ -132,8 +132,10 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").cache()
 
 
-def test_most_similar(spark, vectors, monkeypatch):
-    monkeypatch.setattr(E, "QUERY_BATCH", 2)
+@pytest.mark.parametrize("batch", [2, 1024])
+def test_most_similar(spark, vectors, monkeypatch, batch):
+    monkeypatch.setattr(E, "QUERY_BATCH", batch)
+    monkeypatch.setattr(E, "BLOCK_ROWS", 40)
     rows = vectors.collect()
     unit = {r.vec_id: np.array(r.embedding) / (np.linalg.norm(r.embedding) or 1) for r in rows}
     queries = vectors.where("vec_id < 5").selectExpr("vec_id AS query_id", "embedding AS query")

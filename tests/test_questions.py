@@ -115,3 +115,16 @@ def test_metric_looks_at_whole_words(spark):
     texts = ["sum above cutoff: 3", "Total discount", "how many discounts", "discount summary", "MEAN", "highest", "lowest max"]
     got = [r.m for r in ask(spark, texts, m=Q.metric)]
     assert got == ["cutoff_sum", "sum", "count", "first", "mean", "max", "max"]
+
+
+def test_all_components(spark):
+    from answerloom.operators.questions import format_answers, parse_questions
+
+    text = "Q7. How many? Scrape /d of https://a.org/x.csv. POST it to /submit now"
+    row = parse_questions(spark.createDataFrame([(text,)], "text string")).first()
+    assert (row.question_id, row.question_description, row.answer_format) == ("Q7", "Q7", "number")
+    assert (row.data_sources, row.relative_urls) == (["https://a.org/x.csv"], ["/d"])
+    assert (row.submit_url, row.relative_submit_url, row.instructions) == (None, "/submit", [])
+    answers = spark.createDataFrame([("1.239", "number"), ("no", "boolean"), ("x" * 1_000_001, "string")], "answer string, format string")
+    got = [(r.number, r.flag, r.rejected is not None) for r in format_answers(answers).collect()]
+    assert got == [(1.24, None, False), (None, False, False), (None, None, True)]
