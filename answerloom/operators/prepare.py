@@ -194,6 +194,14 @@ def promote_header(df: DataFrame, cells: str) -> DataFrame:
     return df.select(*kept, F.explode(listed).alias("c")).select(*kept, "c.*")
 
 
+def promote_cells(cells: DataFrame, keys: Sequence[str] = ("page_id", "table_idx")) -> DataFrame:
+    """The same for a table of single cells: each cell below row 0 with the name row 0 has in its column."""
+    place = [*keys, "col_idx"]
+    head = cells.where("row_idx = 0").select(*place, F.col("text").alias("name"))
+    body = cells.where("row_idx > 0").withColumnRenamed("text", "value")
+    return body.join(head, place, "left").select(*keys, (F.col("row_idx") - 1).alias("row"), "col_idx", "name", "value")
+
+
 def promoted_table(df: DataFrame, cells: str, names: Sequence[str]) -> DataFrame:
     """The same as columns, for tables known to have the header ``names``."""
     kept = [c for c in df.columns if c != cells]

@@ -146,21 +146,17 @@ def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
-def _with_range(df: DataFrame, order: Sequence[str], ranges: int | None) -> DataFrame | None:
-    points = cut_points(df, order, ranges or range_count(df.select(*order)))
-    return df.withColumn("__range", range_of(df, order, points)) if points else None
-
+def _with_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None) -> DataFrame | None:
+    """Adds ``__key`` and ``__range``, or gives None when one range is enough.
 
-def _join_ranges(rows: DataFrame, per_range: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right = per_range.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__range").alias("__r"),
-        *[c for c in per_range.columns if c not in (*keys, "__range")],
-    )
-    match = F.col("__range") == F.col("__r")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return rows.join(right, match, "left").drop("__r", *[f"__k{i}" for i in range(len(keys))])
+    The key is one struct, which equals itself also where it holds nulls, so
+    windows, totals and the join after them share one partitioning.
+    """
+    points = cut_points(df, order, ranges or range_count(df.select(*order)))
+    if not points:
+        return None
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    return df.withColumns({"__key": key, "__range": range_of(df, order, points)})
 
 
 def running(
@@ -175,23 +171,23 @@ def running(
     ``order`` is ascending and must be a total order inside a key. ``measures``
     maps an output name to (function, input column).
     """
-    ranged = _with_range(df, order, ranges)
+    ranged = _with_range(df, keys, order, ranges)
     if ranged is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[_AGGREGATE[f](c).over(frame).alias(n) for n, (f, c) in measures.items()])
-    frame = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    frame = Window.partitionBy("__key", "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = ranged.select("*", *[_AGGREGATE[f](c).over(frame).alias(f"__h_{n}") for n, (f, c) in measures.items()])
-    totals = ranged.groupBy(*keys, "__range").agg(
+    totals = ranged.groupBy("__key", "__range").agg(
         *[_AGGREGATE[f](c).alias(f"__t_{n}") for n, (f, c) in measures.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     before = totals.select(
-        *keys,
+        "__key",
         "__range",
         *[merge[f](F.col(f"__t_{n}")).over(earlier).alias(f"__b_{n}") for n, (f, _) in measures.items()],
     )
-    joined = _join_ranges(rows, before, keys)
+    joined = rows.join(before, ["__key", "__range"], "left")
     return joined.select(
         *df.columns,
         *[_COMBINE[f](F.col(f"__b_{n}"), F.col(f"__h_{n}")).alias(n) for n, (f, _) in measures.items()],
@@ -208,11 +204,11 @@ def neighbour(
 ) -> DataFrame:
     """Values of the previous (or next, ``ahead``) row of the same key."""
     shift = F.lead if ahead else F.lag
-    ranged = _with_range(df, order, ranges)
+    ranged = _with_range(df, keys, order, ranges)
     if ranged is None:
         frame = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[shift(F.col(c)).over(frame).alias(n) for n, c in columns.items()])
-    frame = Window.partitionBy(*keys, "__range").orderBy(*order)
+    frame = Window.partitionBy("__key", "__range").orderBy(*order)
     rows = ranged.select(
         "*",
         shift(F.lit(True)).over(frame).alias("__inside"),
@@ -220,10 +216,10 @@ def neighbour(
     )
     pick = F.min_by if ahead else F.max_by
     edge = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    edges = ranged.groupBy(*keys, "__range").agg(pick(edge, F.struct(*order)).alias("__edge"))
-    across = Window.partitionBy(*keys).orderBy("__range")
-    beyond = edges.select(*keys, "__range", shift(F.col("__edge")).over(across).alias("__beyond"))
-    joined = _join_ranges(rows, beyond, keys)
+    edges = ranged.groupBy("__key", "__range").agg(pick(edge, F.struct(*order)).alias("__edge"))
+    across = Window.partitionBy("__key").orderBy("__range")
+    beyond = edges.select("__key", "__range", shift(F.col("__edge")).over(across).alias("__beyond"))
+    joined = rows.join(beyond, ["__key", "__range"], "left")
     return joined.select(
         *df.columns,
         *[

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from answerloom import fixed_values as V
 from answerloom.plans.ranges import running
+from answerloom.plans.staging import cut_lineage
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -116,7 +117,7 @@ def run_token_budget(
             if batch_id > 0
             else spark.createDataFrame([], empty)
         )
-        slim = batch.select(session, *order, F.col(tokens).alias("tokens"))
+        slim = cut_lineage(batch.select(session, *order, F.col(tokens).alias("tokens")))
         sums = slim.groupBy(session).agg(F.sum("tokens").alias("more"))
         merged = before.join(sums, session, "full").select(
             session,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from answerloom.functions.decode import decode_layers
 from answerloom.functions.urls import default_submit_url, resolve_url, source_kind
 from answerloom.operators import pages as P
+from answerloom.operators.prepare import promote_cells
 from catalog import query, table, wide_table
 from catalog.derived import TABLE_PAGES, derived
 
@@ -88,6 +89,30 @@ def h2(spark, sf_dir):
     return P.page_tables(_table_pages(spark, sf_dir))
 
 
+def _named(*cells) -> str:
+    return " UNION ALL ".join(
+        f"SELECT c_custkey AS page_id, {t} AS table_idx, {r} AS \"row\", {c} AS col_idx, {n} AS name, {x} AS value FROM customer"
+        for t, r, c, n, x in cells
+    )
+
+
+@query(
+    "C5_promote_cells",
+    _named(
+        (0, 0, 0, "'Name'", "c_name"),
+        (0, 0, 1, "'Balance'", _ID),
+        (0, 0, 2, "'Balance'", "'a & b'"),
+        (0, 1, 0, "'Name'", "c_name"),
+        (0, 1, 1, "'Balance'", "'Segment'"),
+        (0, 1, 2, "'Balance'", "c_mktsegment"),
+        (1, 0, 0, "'Key' || CAST(c_custkey % 3 AS VARCHAR)", "'Segment'"),
+        (1, 0, 1, f"'v' || {_ID}", "c_mktsegment"),
+    ),
+)
+def c5_cells(spark, sf_dir):
+    return promote_cells(P.page_tables(_table_pages(spark, sf_dir)))
+
+
 @query(
     "H3_page_lists",
     f"""
