@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,13 +24,37 @@ def unescape_entities(text: pd.Series) -> pd.Series:
 _COMPLETE = "^(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)"
 
 
+_FOREIGN = "[^A-Za-z0-9+/=]+"
+_HEAD = 1024
+
+
+def _may_be_base64(text: Column) -> Column:
+    """False only where the beginning already decodes to bytes that no UTF-8 text starts with.
+
+    Then the whole cannot be UTF-8 either, and need not be decoded to know it.
+    A character may be cut at the end of the beginning, so up to three bytes are let off.
+    """
+
+    def fits(data: Column) -> Column:
+        cut = [F.substring(data, F.lit(1), F.octet_length(data) - n) for n in range(4)]
+        return reduce(or_, [F.is_valid_utf8(part.cast("string")) for part in cut])
+
+    return let(
+        F.regexp_replace(F.substring(text, 1, _HEAD), _FOREIGN, ""),
+        lambda head: head.contains("=")
+        | let(
+            F.try_to_binary(F.substring(head, F.lit(1), F.length(head) - F.length(head) % 4), F.lit("base64")), fits
+        ),
+    )
+
+
 def _base64_text(text: Column) -> Column:
     """The text a base64 text holds; null when it is none or not UTF-8.
 
     Characters outside the alphabet do not count; what is left must have
     complete padding, and what follows complete padding is not read.
     """
-    letters = F.regexp_replace(text, "[^A-Za-z0-9+/=]+", "")
+    letters = F.when(_may_be_base64(text), F.regexp_replace(text, _FOREIGN, ""))
     body = let(
         letters,
         lambda kept: F.when(~kept.contains("="), F.when(F.length(kept) % 4 == 0, kept)).otherwise(
