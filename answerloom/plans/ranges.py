@@ -16,6 +16,7 @@ fits one range the plan is the plain window.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerloom.functions.text import let
+from answerloom.plans.staging import cut_lineage
 
 RANGE_BYTES = 64 * 1024 * 1024
 MAX_RANGES = 16384
@@ -146,6 +148,19 @@ def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
+def settle(df: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The input of an ordered computation that may need several ranges.
+
+    Cutting ranges reads the input more than once. What comes out of an
+    aggregate or a join is therefore written first, unless it is small; then
+    its true size, often far less than what it was made from, is known too.
+    """
+    if (ranges or range_count(df)) == 1:
+        return df
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return cut_lineage(df) if re.search(r"\b(Aggregate|Join|Window|Generate)\b", plan) else df
+
+
 def _with_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None) -> DataFrame | None:
     """Adds ``__key`` and ``__range``, or gives None when one range is enough.
 
@@ -171,6 +186,7 @@ def running(
     ``order`` is ascending and must be a total order inside a key. ``measures``
     maps an output name to (function, input column).
     """
+    df = settle(df, ranges)
     ranged = _with_range(df, keys, order, ranges)
     if ranged is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -204,6 +220,7 @@ def neighbour(
 ) -> DataFrame:
     """Values of the previous (or next, ``ahead``) row of the same key."""
     shift = F.lead if ahead else F.lag
+    df = settle(df, ranges)
     ranged = _with_range(df, keys, order, ranges)
     if ranged is None:
         frame = Window.partitionBy(*keys).orderBy(*order)
@@ -288,6 +305,7 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles per key. Equal values are counted before any row moves."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = settle(counts, ranges)
     upto = running(counts, keys, [value], {"__upto": ("sum", F.col("__n"))}, ranges)
     sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     if keys:
