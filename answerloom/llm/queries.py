@@ -46,19 +46,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "op2_proportional_interleaving",
     """
-    WITH bits AS (  -- CRC-32 bit by bit, lowest bit first
-        SELECT doc_id, source, coalesce(text, '') AS t,
-            list_prepend(4294967295::BIGINT, flatten(list_transform(
-                range(1, 2 * octet_length(encode(coalesce(text, ''))), 2),
-                lambda i: list_transform(range(8), lambda b:
-                    (('0x' || substr(hex(encode(coalesce(text, ''))), i, 2))::BIGINT >> b::INTEGER) & 1)))) AS b
+    WITH tab AS (  -- CRC-32 by bytes, with its table made here
+        SELECT list_transform(range(256), lambda i:
+            list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+    ),
+    bytes AS (
+        SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+            list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda y: ('0x' || y)::BIGINT) AS b
         FROM documents
     ),
     sized AS (
-        SELECT doc_id, source, octet_length(encode(t)) + 16 AS size,
-            xor(list_reduce(b, lambda c, x: xor(c >> 1, 3988292384 * xor(c & 1, x))), 4294967295) AS text_crc32,
+        SELECT doc_id, source, size,
+            xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, tab.t[xor(c & 255, x) + 1])), 4294967295) AS text_crc32,
             coalesce('=' || source, '') AS stratum, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS k
-        FROM bits
+        FROM bytes, tab
     ),
     placed AS (
         SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY k, doc_id, size, text_crc32)
