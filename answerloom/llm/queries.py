@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import bpe, packing, quality, secrets, sharding, top_k, warc
+from answerloom.llm import bpe, jaccard, packing, quality, repeats, secrets, sharding, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +106,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query("op5_jaccard_t_occurrence")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), n=4, num=85)
+
+
 @_query("op6_pair_index_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -133,6 +138,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+@_query("op9_repeated_strings")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
 @_query("op10_tokeniser_fertility")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
