@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 16 << 20  # text of one block; a longer single text is a block of its own
 
@@ -33,19 +34,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Regroups record batches so that each holds about ``most`` bytes of text (null: none)."""
+    """Regroups rows so that each block holds at most ``most`` bytes of text (null: none), or one row.
+
+    Where blocks end depends on the rows alone, not on the batches they come in.
+    """
     held, size = [], 0
     for batch in batches:
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), np.int64)
-        begin = 0
-        while begin < len(lengths):
-            total = np.cumsum(lengths[begin:])
-            end = begin + max(1, int(np.searchsorted(total, most - size, "right"))) if size < most else begin
+        total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
+        begin, before = 0, 0
+        while begin < len(total):
+            end = int(np.searchsorted(total, before + most - size, "right"))
+            if not held and end <= begin:
+                end = begin + 1
             if end > begin:
                 held.append(batch.slice(begin, end - begin))
-                size += int(total[end - begin - 1])
-                begin = end
-            if size >= most or begin < len(lengths):
+                size += int(total[end - 1]) - before
+                begin, before = end, int(total[end - 1])
+            if begin < len(total):
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
     if held:
@@ -58,7 +63,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

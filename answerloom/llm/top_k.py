@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def _pack(size: int):
         ids = table["id"].to_numpy().astype(np.int64)
         lists = table["cells"].combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        lengths = np.asarray(pa.compute.list_value_length(lists), np.int64)
+        lengths = np.asarray(pc.list_value_length(lists), np.int64)
         width = int(lengths.max())
         grid = np.zeros((len(ids), width), np.int64)  # shorter vectors end in zeros
         flat = lists.flatten().to_numpy(zero_copy_only=False)
