@@ -87,7 +87,7 @@ def table_rows(df: DataFrame, text: str, most: int, answer: str = "answer") -> D
     return df.mapInArrow(run, f"block long, rows binary, {answer} binary")
 
 
-def back_to_blocks(df: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, list[bytes]], pa.Table], schema, text: str, most: int) -> DataFrame:
+def back_to_blocks(df: DataFrame, answers: DataFrame, finish: Callable[[int, pa.Table, list[bytes]], pa.Table], schema, text: str, most: int) -> DataFrame:
     """Brings the ``answers`` (block, answer) to the rows of their blocks: one exchange of compressed blocks."""
     sides = table_rows(df, text, most).unionByName(answers.select("block", F.lit(None).cast("binary").alias("rows"), "answer"))
 
@@ -95,6 +95,6 @@ def back_to_blocks(df: DataFrame, answers: DataFrame, finish: Callable[[pa.Table
         rows = [r for r in group["rows"].to_pylist() if r is not None]
         if len(rows) != 1:
             raise ValueError("blocks differ between two readings of the same rows; write the input to a table first")
-        return finish(from_ipc(rows[0]), [a for a in group["answer"].to_pylist() if a is not None])
+        return finish(group["block"][0].as_py(), from_ipc(rows[0]), [a for a in group["answer"].to_pylist() if a is not None])
 
     return sides.groupBy("block").applyInArrow(run, schema)

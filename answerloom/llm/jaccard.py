@@ -306,7 +306,7 @@ def join(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int =
         columns = [np.asarray(group[c], np.int64) for c in ("lead", "copies", "root", "slices", "slice")]
         return pa.table([group["block"].slice(0, 1), pa.array([press(np.stack(columns))], pa.binary())], names=["block", "answer"])
 
-    def sets_of(table: pa.Table, answers: list[bytes]) -> pa.Table:
+    def sets_of(_: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
         out = []
         if answers:
             lead, copies, root, slices, slice_ = unpress(answers[0], np.int64).reshape(5, -1)

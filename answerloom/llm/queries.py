@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import bpe, jaccard, packing, quality, repeats, secrets, sharding, top_k, warc
+from answerloom.llm import bpe, jaccard, katz, packing, quality, repeats, secrets, sharding, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,6 +116,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query("op7_katz_backoff")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
+
+
 @_query(
     "op8_norm_bucketed_top_k",
     """

@@ -274,7 +274,7 @@ def remove_repeats(
     held = [f for f in df.schema.fields if (columns is None or f.name in columns) and f.name not in names]
     need = list(dict.fromkeys([*(f.name for f in held), text]))
 
-    def finish(table: pa.Table, got: list[bytes]) -> pa.Table:
+    def finish(_: int, table: pa.Table, got: list[bytes]) -> pa.Table:
         data, offsets = flat(table[text])
         gone = _covered(got, data, offsets)
         edge = gone.copy()
