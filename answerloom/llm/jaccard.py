@@ -268,15 +268,8 @@ def _compare(num: int, den: int):
     return run
 
 
-def join(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, most: int = BLOCK, part: int = PART) -> DataFrame:
-    """Per row: its id, n_shingles, component_id and n_links.
-
-    A-Z are lower-cased and words are runs of bytes other than space and 0x09-0x0D. A document's set holds its distinct
-    ``n``-word shingles (fewer words: the whole sequence; none, or a null text: an empty set, linked with nothing).
-    Two documents link when den * |common| >= num * |either|; component_id is the smallest id reachable
-    by links (its own id included; null ids are passed over), n_links the number of other rows linked to.
-    Shingles are compared by 64-bit hash, sets by 128 bits. Repeated rows and equal texts are rows each and
-    link; other columns are not carried; an empty table gives none. ``df`` is read twice and must be a plain scan.
+def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int, most: int, part: int) -> DataFrame:
+    """Per row: node (block and place), id, size, root (a node of its component), component_id, n_links.
 
     1. Blocks send each distinct set's hashes to buckets, which return those that two sets or more
        have. A document with fewer of these than its least overlap has no partner.
@@ -337,11 +330,45 @@ def join(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int =
     known = classes.join(tied, "lead", "left").withColumn("root", F.coalesce("root", "lead"))
     known = known.withColumn("links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(least, "root").select(*key, "component_id", F.col("links").alias("n_links"))
+    known = known.join(least, "root").select(*key, "root", "component_id", F.col("links").alias("n_links"))
     rows = docs.join(known, key, "left")
-    kind = df.schema[id_column].dataType
     alone = F.col("size") == 0
     return rows.select(
-        F.col("id").cast(kind).alias(id_column), F.col("size").alias("n_shingles"),
+        "node", "id", "size", F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root"),
         F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
+
+
+def join(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, most: int = BLOCK, part: int = PART) -> DataFrame:
+    """Per row: its id, n_shingles, component_id and n_links.
+
+    A-Z are lower-cased and words are runs of bytes other than space and 0x09-0x0D. A document's set holds its distinct
+    ``n``-word shingles (fewer words: the whole sequence; none, or a null text: an empty set, linked with nothing).
+    Two documents link when den * |common| >= num * |either|; component_id is the smallest id reachable
+    by links (its own id included; null ids are passed over), n_links the number of other rows linked to.
+    Shingles are compared by 64-bit hash, sets by 128 bits. Repeated rows and equal texts are rows each and
+    link; other columns are not carried; an empty table gives none. ``df`` is read twice and must be a plain scan.
+    """
+    kind = df.schema[id_column].dataType
+    rows = _linked(df, id_column, text, n, num, den, most, part)
+    return rows.select(F.col("id").cast(kind).alias(id_column), F.col("size").alias("n_shingles"), "component_id", "n_links")
+
+
+def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, most: int = BLOCK, part: int = PART) -> DataFrame:
+    """The rows of ``df``, of every component of ``join`` the one with the smallest id (of equal ids the first).
+
+    All columns are kept as they are. Rows without words, or alone, all stay. A null id comes after all others.
+    """
+    rows = _linked(df, id_column, text, n, num, den, most, part)
+    order = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("node"))
+    kept = rows.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.node").alias("node"))
+
+    def ask(group: pa.Table) -> pa.Table:
+        return pa.table([group["block"].slice(0, 1), pa.array([press(np.sort(np.asarray(group["node"], np.int64)))], pa.binary())], names=["block", "answer"])
+
+    def pick(_: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
+        nodes = unpress(answers[0], np.int64) if answers else np.zeros(0, np.int64)
+        return table.take(pa.array(nodes & ((1 << 24) - 1)))
+
+    answers = kept.withColumn("block", F.shiftright("node", 24)).groupBy("block").applyInArrow(ask, "block long, answer binary")
+    return back_to_blocks(df, answers, pick, df.schema, text, most)
