@@ -66,11 +66,11 @@ _ENDS_P = frozenset(
 _CELL_EDGE = frozenset({"td", "th", "table"})
 _TABLE_TAGS = frozenset("td th tr thead tbody tfoot table body html".split())
 _PRUNED = frozenset(V.PRUNED_TAGS)
-_MAX_SPAN = 1000  # as browsers limit spans
+_MAX_COLSPAN = 1000  # fixed by the HTML standard; rows are limited by the table they are in
 
 
-def _span(value: str | None, limit: int) -> int:
-    return max(1, min(int(value), limit)) if value and value.strip().isdigit() else 1
+def _span(value: str | None) -> int:
+    return max(1, int(value)) if value and re.fullmatch(r"\s*[0-9]+\s*", value) else 1
 
 
 # A comment, a tag with its attributes, or another declaration. A quote opens a value only after "=".
@@ -132,6 +132,9 @@ class _Shredder:
                     at = body_end
         self._flush()
         self._close_to(0)
+        for grid in self.grids.values():  # no cell reaches beyond its table's last row
+            for cell in grid["cells"]:
+                cell[13] = min(cell[13], max(grid["row"], 0) + 1 - cell[11])
         return self.nodes
 
     def text(self, text: str, literal: bool = False) -> None:
@@ -180,14 +183,15 @@ class _Shredder:
             self._close_to(depth)
 
     def _place_cell(self, node: list, attrs: dict) -> None:
-        grid = self.grids.setdefault(node[10], {"row": 0, "taken": set()})
+        grid = self.grids.setdefault(node[10], {"row": 0, "taken": {}, "cells": []})
         row = max(grid["row"], 0)
         col = 0
-        while (row, col) in grid["taken"]:
+        while grid["taken"].get(col, -1) >= row:
             col += 1
         node[11], node[12] = row, col
-        node[13], node[14] = _span(attrs.get("rowspan"), _MAX_SPAN), _span(attrs.get("colspan"), _MAX_SPAN)
-        grid["taken"].update((row + r, col + c) for r in range(node[13]) for c in range(node[14]))
+        node[13], node[14] = _span(attrs.get("rowspan")), min(_span(attrs.get("colspan")), _MAX_COLSPAN)
+        grid["taken"].update((col + c, row + node[13] - 1) for c in range(node[14]))
+        grid["cells"].append(node)
 
     def start_tag(self, tag: str, source: str) -> None:
         self._flush()
@@ -199,7 +203,7 @@ class _Shredder:
         attrs = _attributes(source) if source else {}
         node = self._add(tag, attrs, None)
         if tag == "tr":
-            grid = self.grids.setdefault(node[10], {"row": -1, "taken": set()})
+            grid = self.grids.setdefault(node[10], {"row": -1, "taken": {}, "cells": []})
             grid["row"] += 1
             node[11] = grid["row"]
         elif tag in ("td", "th"):

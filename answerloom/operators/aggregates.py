@@ -19,15 +19,20 @@ def first_numeric_column(df: DataFrame) -> str:
     raise ValueError("the table has no numeric column")
 
 
-def total(column: str, gate: Column | None = None) -> Column:
-    """Sum that is 0, not null, when there is nothing to add."""
-    value = F.col(column) if gate is None else F.when(gate, F.col(column))
-    return F.coalesce(F.sum(value), F.lit(0))
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+
+
+def known(df: DataFrame, column: str) -> Column:
+    """The column's values, NaN as null."""
+    floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return F.nanvl(F.col(column), F.lit(None)) if floating else F.col(column)
 
 
 def column_sum(df: DataFrame, column: str | None = None) -> DataFrame:
+    """Sum that is 0, not null, when there is nothing to add."""
     name = column or first_numeric_column(df)
-    return df.agg(total(name).alias("answer"))
+    return df.agg(F.coalesce(F.sum(known(df, name)), F.lit(0)).alias("answer"))
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -35,15 +40,15 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def column_mean(df: DataFrame, column: str | None = None) -> DataFrame:
-    return df.agg(F.avg(column or first_numeric_column(df)).alias("answer"))
+    return df.agg(F.avg(known(df, column or first_numeric_column(df))).alias("answer"))
 
 
 def column_max(df: DataFrame, column: str | None = None) -> DataFrame:
-    return df.agg(F.max(column or first_numeric_column(df)).alias("answer"))
+    return df.agg(F.max(known(df, column or first_numeric_column(df))).alias("answer"))
 
 
 def column_min(df: DataFrame, column: str | None = None) -> DataFrame:
-    return df.agg(F.min(column or first_numeric_column(df)).alias("answer"))
+    return df.agg(F.min(known(df, column or first_numeric_column(df))).alias("answer"))
 
 
 def first_value(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
@@ -54,48 +59,60 @@ def first_value(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
 
 def cutoff_sum(df: DataFrame, column: str, cutoff: float, inclusive: bool) -> DataFrame:
     """Sum of the values above (or at) a cutoff, cut to a whole number."""
-    keep = F.col(column) >= cutoff if inclusive else F.col(column) > cutoff
-    return df.where(keep).agg(F.coalesce(F.sum(column), F.lit(0)).cast("bigint").alias("answer"))
+    value = known(df, column)
+    keep = value >= cutoff if inclusive else value > cutoff
+    return df.where(keep).agg(F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias("answer"))
 
 
-def cutoff_sums(
-    questions: DataFrame,
-    df: DataFrame,
-    column: str,
-    cutoff: str = "cutoff",
-    inclusive: str = "inclusive",
-    ranges: int | None = None,
-) -> DataFrame:
-    """Adds ``answer``: each question's cutoff sum over one column.
+def _cutoff_lines(questions: DataFrame, values: DataFrame, of: str, cutoff: str, inclusive: str, ranges: int | None) -> DataFrame:
+    """Adds ``answer`` to questions with a cutoff; ``values`` has (of, value), ``of`` names a question's column.
 
-    Values and cutoffs are put on one line, largest first, and a running sum
+    Values and cutoffs of a column are put on one line, largest first, and a running sum
     over the line is read off at the cutoffs. So the work is one sort of the
     distinct values, whatever the number of questions, and no pair of question
-    and value is ever formed.
+    and value is ever formed. Questions without a cutoff never meet the line.
     """
     values = (
-        df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-        .groupBy((-F.col(column).cast("double")).alias("__at"))
-        .agg(F.sum(F.col(column).cast("double")).alias("__sum"))
-        .select("__at", F.lit(1).alias("__turn"), "__sum")
+        values.where("value IS NOT NULL")
+        .groupBy("of", (-F.col("value").cast("double")).alias("__at"))
+        .agg(F.sum(F.col("value").cast("double")).alias("__sum"))
+        .select("of", "__at", F.lit(1).alias("__turn"), "__sum")
     )
-    asked = questions.select(
-        (-F.col(cutoff).cast("double")).alias("__at"),
-        F.when(F.col(inclusive), 2).otherwise(0).alias("__turn"),
-    )
-    marks = asked.distinct().select("__at", "__turn", F.lit(None).cast("double").alias("__sum"))
-    line = running(
-        values.unionByName(marks), [], ["__at", "__turn"], {"__upto": ("sum", F.col("__sum"))}, ranges
+    keyed = questions.withColumns(
+        {"__at": -F.col(cutoff).cast("double"), "__turn": F.when(F.col(inclusive), 2).otherwise(0), "__of": F.col(of)}
     )
+    asking = keyed.where(F.col(cutoff).isNotNull())
+    marks = asking.select(F.col("__of").alias("of"), "__at", "__turn", F.lit(None).cast("double").alias("__sum")).distinct()
+    line = running(values.unionByName(marks), ["of"], ["__at", "__turn"], {"__upto": ("sum", F.col("__sum"))}, ranges)
     sums = line.where(F.col("__turn") != 1).select(
-        "__at", "__turn", F.coalesce(F.col("__upto"), F.lit(0)).cast("bigint").alias("answer")
-    )
-    keyed = questions.select(
-        "*",
-        (-F.col(cutoff).cast("double")).alias("__at"),
-        F.when(F.col(inclusive), 2).otherwise(0).alias("__turn"),
+        F.col("of").alias("__of"), "__at", "__turn", F.coalesce(F.col("__upto"), F.lit(0)).cast("bigint").alias("answer")
     )
-    return keyed.join(sums, ["__at", "__turn"], "left").drop("__at", "__turn")
+    answered = asking.join(sums, ["__of", "__at", "__turn"], "left")
+    rest = keyed.where(F.col(cutoff).isNull()).withColumn("answer", F.lit(None).cast("bigint"))
+    return answered.unionByName(rest).drop("__at", "__turn", "__of")
+
+
+def cutoff_sums(
+    questions: DataFrame,
+    df: DataFrame,
+    column: str,
+    cutoff: str = "cutoff",
+    inclusive: str = "inclusive",
+    ranges: int | None = None,
+) -> DataFrame:
+    """Adds ``answer``: each question's cutoff sum over one column."""
+    values = df.select(F.lit(column).alias("of"), known(df, column).alias("value"))
+    asked = questions.withColumn("__column", F.lit(column))
+    return _cutoff_lines(asked, values, "__column", cutoff, inclusive, ranges).drop("__column")
+
+
+def _named(text: Column, names: Sequence[str]) -> Column:
+    """The first of the names that the text has as whole words, in any case; else the first name."""
+    found = F.lit(names[0])
+    for name in reversed(names):
+        pattern = r"(?iu)(?<!\w)" + "".join(rf"\{c}" if not c.isalnum() and c != "_" else c for c in name) + r"(?!\w)"
+        found = F.when(text.rlike(pattern), F.lit(name)).otherwise(found)
+    return found
 
 
 def answer_questions(
@@ -105,39 +122,57 @@ def answer_questions(
     text: str = "text",
     column: str | None = None,
 ) -> DataFrame:
-    """Adds ``metric`` and ``answer`` to a table of question texts about ``df``.
+    """Adds ``metric``, ``column``, ``answer`` (double) and ``answer_text`` to question texts about ``df``.
 
-    All plain metrics come from one pass over the table; cutoff sums come from
-    one more. ``order`` says which row is first.
+    A question is about the numeric column it names as whole words (of several, the first in the table), else the first
+    numeric column, or always about ``column`` if that is given. ``order`` says which row is first; the first cell is
+    that of the table's first column, or of ``column``, of any type. ``answer_text`` keeps whole numbers exact and holds a
+    first cell that is no number; ``answer`` is null then. NaN counts as null.
+
+    All plain metrics of all columns come from one pass over the table; cutoff sums come from one more. A question that
+    asks for no cutoff sum takes no part in the second.
     """
-    name = column or first_numeric_column(df)
-    value = F.col(name).cast("double")
+    names = [column] if column else numeric_columns(df)
+    if not names:
+        raise ValueError("the table has no numeric column")
     asked = questions.select(
         "*",
         Q.metric(F.col(text)).alias("metric"),
+        F.coalesce(_named(F.col(text), names), F.lit(names[0])).alias("column"),
         Q.cutoff(F.col(text)).alias("__cutoff"),
         Q.cutoff_inclusive(F.col(text)).alias("__inclusive"),
     )
-    plain = df.agg(
-        F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"),
-        F.count(F.lit(1)).cast("double").alias("count"),
-        F.avg(value).alias("mean"),
-        F.max(value).alias("max"),
-        F.min(value).alias("min"),
-        F.min_by(F.struct(value.alias("v")), F.struct(*order))["v"].alias("first"),
-    )
-    # Six rows, one per metric.
-    by_metric = plain.unpivot(
-        [], ["sum", "count", "mean", "max", "min", "first"], "metric", "__plain"
+    corner = column or df.columns[0]
+    measures = [F.min_by(F.struct(known(df, corner).cast("string").alias("v")), F.struct(*order))["v"].alias("first")]
+    for i, name in enumerate(names):
+        value = known(df, name)
+        measures.append(
+            F.struct(
+                F.coalesce(F.sum(value), F.lit(0)).cast("string").alias("sum"),
+                F.count(F.lit(1)).cast("string").alias("count"),
+                F.avg(value.cast("double")).cast("string").alias("mean"),
+                F.max(value).cast("string").alias("max"),
+                F.min(value).cast("string").alias("min"),
+            ).alias(f"m{i}")
+        )
+    plain = df.agg(*measures)
+    # Six rows per numeric column of the table.
+    each = F.array(
+        *(
+            F.struct(F.lit(metric).alias("metric"), F.lit(name).alias("column"), (F.col("first") if metric == "first" else F.col(f"m{i}.{metric}")).alias("__plain"))
+            for i, name in enumerate(names)
+            for metric in ("sum", "count", "mean", "max", "min", "first")
+        )
     )
-    with_plain = asked.join(F.broadcast(by_metric), "metric", "left")
+    by_metric = plain.select(F.inline(each))
+    with_plain = asked.join(F.broadcast(by_metric), ["metric", "column"], "left")
     is_cutoff = F.col("metric") == "cutoff_sum"
     cutoffs = with_plain.withColumn("__cutoff", F.when(is_cutoff, F.col("__cutoff")))
-    summed = cutoff_sums(cutoffs, df, name, "__cutoff", "__inclusive")
+    values = df.select(F.inline(F.array(*(F.struct(F.lit(n).alias("of"), known(df, n).cast("double").alias("value")) for n in names))))
+    summed = _cutoff_lines(cutoffs, values, "column", "__cutoff", "__inclusive", None)
+    said = F.when(is_cutoff, F.col("answer").cast("string")).otherwise(F.col("__plain"))
     return summed.select(
-        *questions.columns,
-        "metric",
-        F.when(is_cutoff, F.col("answer").cast("double")).otherwise(F.col("__plain")).alias("answer"),
+        *questions.columns, "metric", "column", said.try_cast("double").alias("answer"), said.alias("answer_text")
     )
 
 
@@ -169,6 +204,8 @@ def statistics(
     df: DataFrame, keys: Sequence[str], column: str, other: str | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Count, mean, standard deviation, minimum, exact quartiles, maximum, correlation."""
+    for name in [column] if other is None else [column, other]:
+        df = df.withColumn(name, known(df, name))
     measures = [
         F.count(column).alias("n"),
         F.avg(column).alias("mean"),

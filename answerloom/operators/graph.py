@@ -78,11 +78,11 @@ def _levels(
         )
     )
     levels = [level]
+    reached = cut_lineage(sources.select("source", F.lit(1).cast("bigint").alias("n")))
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
-        reached = _union([s.select("source") for s in levels]).groupBy("source").count()
-        active = level.join(reached.where(F.col("count") < total).select("source"), "source", "left_semi")
+        active = level.join(reached.where(F.col("n") < total).select("source"), "source", "left_semi")
         near = active.select("source", F.col("node").alias("pred"))
         ahead = near.join(edges.select(F.col("src").alias("pred"), F.col("dst").alias("node")), "pred")
         met = ahead.groupBy("source", "node").agg(F.min("pred").alias("pred"))
@@ -94,6 +94,9 @@ def _levels(
             met = met.join(so_far, ["source", "pred"]).withColumn("path", F.concat("path", F.array("node")))
         kept = ["path"] if paths else []
         level = cut_lineage(met.select("source", "node", F.lit(rounds).cast("bigint").alias("hops"), *kept))
+        here = level.groupBy("source").agg(F.count(F.lit(1)).alias("new"))
+        reached = reached.join(here, "source", "left")
+        reached = cut_lineage(reached.select("source", (F.col("n") + F.coalesce("new", F.lit(0))).alias("n")))
         if level.isEmpty():
             break
         levels.append(level)
@@ -101,32 +104,36 @@ def _levels(
 
 
 def _distances(edges: DataFrame, sources: DataFrame, max_rounds: int | None) -> DataFrame:
-    """Least total weight per source and node: only nodes that improved are followed further."""
-    best = cut_lineage(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance")))
-    changed = best
+    """Least ``way`` (distance, hops) per source and node: only nodes that improved are followed further.
+
+    Hops break ties, so that steps of weight 0 lead away from the source and every path ends. A round
+    writes the improved nodes only; what earlier rounds wrote is put together again when it has doubled.
+    """
+    start = F.struct(F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("hops")).alias("way")
+    changed = cut_lineage(sources.select("source", F.col("source").alias("node"), start))
+    base, recent = changed, []
+    base_rows, recent_rows = changed.count(), 0
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
+        step = F.struct((F.col("way.distance") + F.col("weight")).alias("distance"), (F.col("way.hops") + 1).alias("hops"))
         offers = (
             changed.join(edges, changed["node"] == edges["src"])
             .groupBy("source", F.col("dst").alias("node"))
-            .agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
-        )
-        merged = best.join(offers, ["source", "node"], "full")
-        better = F.col("distance").isNull() | (F.col("offer") < F.col("distance"))
-        merged = cut_lineage(
-            merged.select(
-                "source",
-                "node",
-                F.least("distance", "offer").alias("distance"),
-                F.coalesce(better & F.col("offer").isNotNull(), F.lit(False)).alias("improved"),
-            )
+            .agg(F.min(step).alias("offer"))
         )
-        best = merged.drop("improved")
-        changed = merged.where("improved").drop("improved")
-        if changed.isEmpty():
+        held = _union([base, *recent]).groupBy("source", "node").agg(F.min("way").alias("way"))
+        better = offers.join(held, ["source", "node"], "left").where("way IS NULL OR offer < way")
+        changed = cut_lineage(better.select("source", "node", F.col("offer").alias("way")))
+        rows = changed.count()
+        if not rows:
             break
-    return best
+        recent.append(changed)
+        recent_rows += rows
+        if recent_rows > base_rows:
+            base = cut_lineage(_union([base, *recent]).groupBy("source", "node").agg(F.min("way").alias("way")))
+            recent, base_rows, recent_rows = [], base_rows + recent_rows, 0
+    return _union([base, *recent]).groupBy("source", "node").agg(F.min("way").alias("way"))
 
 
 def _climb(tree: DataFrame, sources: DataFrame) -> DataFrame:
@@ -157,26 +164,28 @@ def shortest_paths(
 ) -> DataFrame:
     """``(source, node, distance, path)`` for every node each source reaches.
 
-    ``sources`` has a column ``source``. Distances are hops, or sums of a
-    positive ``weight``. Among equal paths the smallest predecessor is taken.
+    ``sources`` has a column ``source``. Distances are hops, or sums of a ``weight`` that is
+    not negative (else ValueError). Among equal paths one of fewest hops is taken, then the smallest predecessor.
     """
     sources = sources.select("source").distinct()
     if weight is None:
         found = _levels(cut_lineage(edges), sources, directed=directed, max_rounds=max_rounds)
         return found.select("source", "node", F.col("hops").cast("double").alias("distance"), "path")
     weighted = cut_lineage(edges.select("src", "dst", F.col(weight).cast("double").alias("weight")))
+    if not weighted.where("weight < 0 OR isnan(weight)").isEmpty():
+        raise ValueError("weights must not be negative")
     best = _distances(weighted, sources, max_rounds)
-    start = best.select("source", F.col("node").alias("src"), F.col("distance").alias("d0"))
-    end = best.select("source", F.col("node").alias("dst"), F.col("distance").alias("d1"))
+    start = best.select("source", F.col("node").alias("src"), F.col("way").alias("w0"))
+    end = best.select("source", F.col("node").alias("dst"), F.col("way").alias("w1"))
     tree = (
         start.join(weighted, "src")
         .join(end, ["source", "dst"])
-        .where("d0 + weight = d1 AND dst != source")
+        .where("w0.distance + weight = w1.distance AND w0.hops + 1 = w1.hops AND dst != source")
         .groupBy("source", F.col("dst").alias("node"))
         .agg(F.min("src").alias("pred"))
     )
     paths = _climb(tree, sources)
-    return paths.join(best, ["source", "node"]).select("source", "node", "distance", "path")
+    return paths.join(best, ["source", "node"]).select("source", "node", F.col("way.distance").alias("distance"), "path")
 
 
 def closeness(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:

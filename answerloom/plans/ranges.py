@@ -77,10 +77,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _sort_key(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.TimestampType):  # an instant: local time goes back an hour in autumn
+        return F.unix_micros(name)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name)
     # A zoneless timestamp as text sorts the same and needs no zone to compare.
-    if isinstance(df.schema[name].dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return F.col(name).cast("string")
-    return F.col(name)
+    return F.col(name).cast("string") if isinstance(kind, T.TimestampNTZType) else F.col(name)
 
 
 def _sample(df: DataFrame, order: Sequence[str], wanted: int) -> list[tuple]:

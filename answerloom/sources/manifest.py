@@ -75,7 +75,7 @@ def ingest_manifest(
             df = read_source(spark, path, row_tag)
             return path, df, (path, kind, "success", df.count(), None)
         except Exception as error:  # noqa: BLE001 - reported in the status table
-            return path, None, (path, kind, "failed", None, str(error).splitlines()[0][:500])
+            return path, None, (path, kind, "failed", None, str(error) or type(error).__name__)
 
     with ThreadPoolExecutor(_AT_ONCE) as pool:
         done = list(pool.map(one, sources))

@@ -9,39 +9,35 @@ from answerloom.functions import answers as A
 from answerloom.functions import questions as Q
 from answerloom.operators import aggregates as G
 from catalog import query, table
-from catalog.derived import QUESTIONS, derived
-from catalog.q_aggregates import _CUT_SUMS
+from catalog.q_aggregates import A9_ANSWERS, stock_answers
 from catalog.q_questions import _FORMAT_SQL
 
 _SQL = f"""
-WITH {_CUT_SUMS}
-SELECT qid, nullif(regexp_extract(text, '(Q\\d+)', 1), '') AS question_id, {_FORMAT_SQL} AS answer_format,
-  CAST(answer + length(c_name) % 7 AS DOUBLE) AS number
-FROM cuts JOIN sums ON cuts.cutoff = sums.cutoff AND cuts.inclusive = sums.inclusive
-LEFT JOIN customer ON user_key = c_custkey
-WHERE answer + length(c_name) % 7 IS NOT NULL
+WITH {A9_ANSWERS}
+SELECT qid, nullif(regexp_extract(text, '(Q\\d+)', 1), '') AS question_id, {_FORMAT_SQL} AS answer_format, metric,
+  round(answer + coalesce(length(c_name) % 7, 0), 2) AS number, CASE WHEN metric = 'first' THEN exact END AS "cell"
+FROM answered LEFT JOIN customer ON user_key = c_custkey
 """
 
 
 @query("flagship_answer_sheet", _SQL)
 def answer_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question is answered: numbers with each user's offset and formatted, first cells as they are."""
     text = F.col("text")
-    asked = derived(spark, sf_dir, QUESTIONS).select(
-        "qid",
-        "user_key",
-        Q.question_id(text).alias("question_id"),
-        Q.answer_format(text).alias("answer_format"),
-        Q.cutoff(text).alias("cutoff"),
-        Q.cutoff_inclusive(text).alias("inclusive"),
-    )
-    sums = G.cutoff_sums(asked.where("cutoff IS NOT NULL"), table(spark, sf_dir, "lineitem"), "l_quantity")
     users = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_key"),
         F.lit("name_length_mod_7").alias("rule"),
         A.personal_offset(F.col("c_name"), F.lit("name_length_mod_7")).alias("offset"),
     )
-    answers = G.apply_offset(
-        sums.withColumn("personalised", F.lit(True)), users, "user_key", "answer", "rule", "personalised"
+    answered = stock_answers(spark, sf_dir).withColumn("personalised", F.lit(True))
+    moved = G.apply_offset(answered, users, "user_key", "answer", "rule", "personalised")
+    plain = F.format_string("%.6f", "answer")  # digits, not an exponent
+    formatted = A.format_answer(F.when(F.col("answer").isNotNull(), plain), F.lit("number"))
+    return moved.select(
+        "qid",
+        Q.question_id(text).alias("question_id"),
+        Q.answer_format(text).alias("answer_format"),
+        "metric",
+        formatted["number"].alias("number"),
+        F.when(F.col("metric") == "first", F.col("answer_text")).alias("cell"),
     )
-    formatted = A.format_answer(F.col("answer").cast("string"), F.lit("number"))
-    return answers.select("qid", "question_id", "answer_format", formatted["number"].alias("number"))

@@ -93,12 +93,30 @@ def _words(*words: str) -> str:
     return "regexp_matches(text, '\\b(" + "|".join(words) + ")\\b', 'i')"
 
 
-@query(
-    "A9_answer_questions",
-    f"""
-WITH {_CUT_SUMS},
-plain AS (SELECT sum(l_quantity) AS s, CAST(count(*) AS DOUBLE) AS n, avg(l_quantity) AS a, max(l_quantity) AS hi,
-  min(l_quantity) AS lo, min_by(l_quantity, {{'k': l_orderkey, 'n': l_linenumber, 'p': l_partkey}}) AS f FROM lineitem),
+# Two numeric columns, one of whole numbers, one with NaN and nulls, and a text column; every third question names a column.
+STOCK = """
+SELECT concat('line ', cast(l_linenumber as string)) AS label, l_partkey AS pieces,
+  CASE WHEN l_partkey % 5 = 0 THEN CAST('NaN' AS DOUBLE) WHEN l_partkey % 7 = 0 THEN NULL ELSE l_quantity END AS weight, l_orderkey, l_linenumber
+FROM lineitem
+"""
+_NAMED = f"""
+SELECT qid, user_key, CASE qid % 3 WHEN 0 THEN concat(text, ' Use the weight column.') WHEN 1 THEN concat(text, ' (Weightless PIECES.)') ELSE text END AS text
+FROM ({QUESTIONS})
+"""
+A9_ANSWERS = f"""
+stock AS (SELECT label, pieces, CASE WHEN isnan(weight) THEN NULL ELSE weight END AS weight, l_orderkey, l_linenumber FROM ({STOCK})),
+named AS (SELECT *, regexp_matches(text, '\\bweight\\b', 'i') AND NOT regexp_matches(text, '\\bpieces\\b', 'i') AS by_weight FROM ({_NAMED})),
+cuts AS (SELECT *,
+  CAST(coalesce(nullif(regexp_extract(text, 'cutoff[:\\s]+(\\d+)', 1, 'i'), ''),
+    nullif(regexp_extract(text, 'CUTOFF VALUE[^\\d]*(\\d+)', 1), '')) AS BIGINT) AS cutoff,
+  contains(lower(text), 'greater than or equal') OR contains(text, '>=') AS inclusive FROM named),
+marks AS (SELECT DISTINCT by_weight, cutoff, inclusive FROM cuts WHERE cutoff IS NOT NULL),
+sums AS (SELECT by_weight, cutoff, inclusive, CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM marks LEFT JOIN
+  (SELECT true AS w, weight AS v FROM stock UNION ALL SELECT false, pieces FROM stock)
+  ON w = by_weight AND ((inclusive AND v >= cutoff) OR (NOT inclusive AND v > cutoff)) GROUP BY ALL),
+plain AS (
+  SELECT true AS w, sum(weight) AS s, avg(weight) AS a, max(weight) AS hi, min(weight) AS lo, count(*) AS n FROM stock
+  UNION ALL SELECT false, CAST(sum(pieces) AS DOUBLE), avg(pieces), CAST(max(pieces) AS DOUBLE), CAST(min(pieces) AS DOUBLE), count(*) FROM stock),
 asked AS (SELECT *, CASE
   WHEN {_words("sum", "add")} AND cutoff IS NOT NULL THEN 'cutoff_sum'
   WHEN {_words("sum", "total")} THEN 'sum'
@@ -106,18 +124,31 @@ asked AS (SELECT *, CASE
   WHEN {_words("average", "mean")} THEN 'mean'
   WHEN {_words("max", "maximum", "highest")} THEN 'max'
   WHEN {_words("min", "minimum", "lowest")} THEN 'min'
-  ELSE 'first' END AS metric FROM cuts)
-SELECT qid, metric, round(CASE metric WHEN 'cutoff_sum' THEN CAST(answer AS DOUBLE) WHEN 'sum' THEN s WHEN 'count' THEN n
-  WHEN 'mean' THEN a WHEN 'max' THEN hi WHEN 'min' THEN lo ELSE f END, 6) AS answer
-FROM asked LEFT JOIN sums ON asked.cutoff = sums.cutoff AND asked.inclusive = sums.inclusive, plain
-""",
-)
+  ELSE 'first' END AS metric FROM cuts),
+answered AS (SELECT qid, user_key, text, metric, CASE WHEN by_weight THEN 'weight' ELSE 'pieces' END AS "column",
+  CASE metric WHEN 'cutoff_sum' THEN CAST(total AS DOUBLE) WHEN 'sum' THEN s WHEN 'count' THEN n
+    WHEN 'mean' THEN a WHEN 'max' THEN hi WHEN 'min' THEN lo END AS answer,
+  CASE WHEN metric = 'first' THEN (SELECT min_by(label, {{'k': l_orderkey, 'n': l_linenumber, 'p': pieces}}) FROM stock)
+    WHEN metric = 'count' THEN CAST(n AS VARCHAR) WHEN metric = 'cutoff_sum' THEN CAST(total AS VARCHAR)
+    WHEN metric = 'sum' AND NOT by_weight THEN CAST((SELECT CAST(sum(pieces) AS BIGINT) FROM stock) AS VARCHAR) END AS exact
+FROM asked LEFT JOIN sums USING (by_weight, cutoff, inclusive) JOIN plain ON w = by_weight)
+"""
+
+
+def stock_answers(spark, sf_dir):
+    """All questions answered over a table of two numeric columns and a text column."""
+    asked = derived(spark, sf_dir, _NAMED).select("qid", "user_key", "text")
+    stock = derived(spark, sf_dir, STOCK).select("label", "pieces", "weight", "l_orderkey", "l_linenumber")
+    questions = stock.select("label", "pieces", "weight", F.struct("l_orderkey", "l_linenumber", "pieces").alias("at"))
+    return G.answer_questions(asked, questions, ["at"])
+
+
+@query("A9_answer_questions", f"WITH {A9_ANSWERS} SELECT qid, metric, \"column\", round(answer, 6) AS answer, exact FROM answered")
 def a9(spark, sf_dir):
-    asked = derived(spark, sf_dir, QUESTIONS).select("qid", "text")
-    answered = G.answer_questions(
-        asked, table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], column="l_quantity"
+    exact = F.col("metric").isin("first", "count", "cutoff_sum") | ((F.col("metric") == "sum") & (F.col("column") == "pieces"))
+    return stock_answers(spark, sf_dir).select(
+        "qid", "metric", "column", F.round("answer", 6).alias("answer"), F.when(exact, F.col("answer_text")).alias("exact")
     )
-    return answered.select("qid", "metric", F.round("answer", 6).alias("answer"))
 
 
 @query(

@@ -88,24 +88,28 @@ GROUP BY ALL
 _TRADE_BOTH = f"SELECT src, dst, min(w) AS w FROM (SELECT a AS src, b AS dst, w FROM ({_TRADE}) UNION ALL SELECT b, a, w FROM ({_TRADE})) GROUP BY ALL"
 
 
-@query(
-    "G3_weighted_paths",
-    f"""
-WITH RECURSIVE e AS MATERIALIZED ({_TRADE_BOTH}),
+_WALKS = """
 walk(source, node, d, hops) AS (
   SELECT DISTINCT src, src, CAST(0 AS DOUBLE), 0 FROM e
   UNION SELECT source, dst, least_d, h FROM (
     SELECT source, dst, min(d + w) AS least_d, max(hops) + 1 AS h FROM walk JOIN e ON node = src
-    WHERE hops < 24 GROUP BY source, dst))
-SELECT source, node, round(min(d), 6) AS distance FROM walk GROUP BY source, node
-""",
-)
-def g3_weighted(spark, sf_dir):
+    WHERE hops < 24 GROUP BY source, dst)),
+best AS MATERIALIZED (SELECT source, node, min(d) AS d, min_by(hops, struct_pack(d := d, h := hops)) AS hops FROM walk GROUP BY source, node),
+pred AS MATERIALIZED (SELECT b.source, b.node, min(a.node) AS p FROM best b JOIN e ON dst = b.node
+  JOIN best a ON a.source = b.source AND a.node = src AND a.d + w = b.d AND a.hops + 1 = b.hops WHERE b.node <> b.source GROUP BY ALL),
+way(source, node, path) AS (
+  SELECT source, source, CAST(source AS VARCHAR) FROM best WHERE node = source
+  UNION ALL SELECT pred.source, pred.node, path || '>' || pred.node FROM way JOIN pred ON pred.source = way.source AND pred.p = way.node)
+SELECT source, node, round(d, 6) AS distance, path FROM way JOIN best USING (source, node)
+"""
+
+
+def _trade(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    trade = (
+    return (
         items.join(orders, "l_orderkey")
         .join(customers, "o_custkey")
         .join(suppliers, "l_suppkey")
@@ -113,9 +117,25 @@ def g3_weighted(spark, sf_dir):
         .groupBy(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"))
         .agg((1 + F.sum("l_quantity").cast("bigint") % 1000).cast("double").alias("w"))
     )
-    edges = G.edges_from(trade, weight="w")
+
+
+def _weighted(edges):
     found = G.shortest_paths(edges, edges.select(F.col("src").alias("source")), weight="weight")
-    return found.select("source", "node", F.round("distance", 6).alias("distance"))
+    return found.select("source", "node", F.round("distance", 6).alias("distance"), G.path_text(F.col("path")).alias("path"))
+
+
+@query("G3_weighted_paths", f"WITH RECURSIVE e AS MATERIALIZED ({_TRADE_BOTH}), {_WALKS}")
+def g3_weighted(spark, sf_dir):
+    return _weighted(G.edges_from(_trade(spark, sf_dir), weight="w"))
+
+
+_WEIGHTLESS = f"SELECT src, dst, CASE WHEN w < 300 THEN 0 ELSE w END AS w FROM ({_TRADE_BOTH})"
+
+
+@query("G3_paths_with_weight_0", f"WITH RECURSIVE e AS MATERIALIZED ({_WEIGHTLESS}), {_WALKS}")
+def g3_weight_0(spark, sf_dir):
+    edges = G.edges_from(_trade(spark, sf_dir), weight="w")
+    return _weighted(edges.withColumn("weight", F.when(F.col("weight") < 300, 0.0).otherwise(F.col("weight"))))
 
 
 @query(
