@@ -40,7 +40,7 @@ def kind_of(path: str) -> str:
     return "page"
 
 
-def read_source(spark: SparkSession, path: str, row_tag: str = "record") -> DataFrame:
+def read_source(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
     """One source as a table. Kinds that need a remote service raise ValueError."""
     kind = kind_of(path)
     if kind == "zip":
@@ -62,7 +62,7 @@ def read_source(spark: SparkSession, path: str, row_tag: str = "record") -> Data
 
 
 def ingest_manifest(
-    spark: SparkSession, sources: Sequence[str], row_tag: str = "record"
+    spark: SparkSession, sources: Sequence[str], row_tag: str | None = None
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Tables by source, and the status of every source.
 
@@ -72,6 +72,10 @@ def ingest_manifest(
     def one(path: str) -> tuple[str, DataFrame | None, tuple]:
         kind = kind_of(path)
         try:
+            if kind == "zip":
+                broken = readers.zip_status(spark.read.format("binaryFile").load(path)).where("status = 'failed'").orderBy("archive", "member").first()
+                if broken is not None:
+                    return path, None, (path, kind, "failed", None, broken.error)
             df = read_source(spark, path, row_tag)
             return path, df, (path, kind, "success", df.count(), None)
         except Exception as error:  # noqa: BLE001 - reported in the status table

@@ -59,6 +59,52 @@ def s3(spark, sf_dir):
     return read.select(*customer.columns)
 
 
+_HALVES = """
+SELECT o_orderkey AS a, o_custkey AS b, o_totalprice AS c, o_orderpriority AS d FROM orders
+"""
+
+
+@query("S2_mixed_headers", _HALVES)
+def s2_mixed(spark, sf_dir):
+    """One folder of files with and without a header."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS a", "o_custkey AS b", "o_totalprice AS c", "o_orderpriority AS d")
+    path = stage_path(spark, "mixed.csv")
+    orders.where("a % 2 = 0").write.option("header", True).csv(f"{path}/half=0")
+    orders.where("a % 2 = 1").write.option("header", False).csv(f"{path}/half=1")
+    read = readers.read_csv_auto(spark, path + "/*/*.csv")
+    return read.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "c", "d")
+
+
+@query("S3_mixed_json", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def s3_mixed(spark, sf_dir):
+    """One folder of array files and files of lines, the latter with a blank and a broken second line."""
+    customer = table(spark, sf_dir, "customer")
+    path = stage_path(spark, "mixed.json")
+    row = F.struct(*customer.columns)
+    grouped = customer.groupBy(F.floor(F.col("c_custkey") / 200).alias("part")).agg(F.collect_list(row).alias("rows"))
+    lines = F.transform("rows", lambda r: F.to_json(r))
+    parted = F.concat(F.get(lines, F.lit(0)), F.lit("\n\nbroken\n"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), "\n"))
+    texts = grouped.select(F.when(F.col("part") % 2 == 0, F.to_json("rows")).otherwise(parted).alias("value"), "part")
+    texts.repartition("part").write.partitionBy("part").text(path)
+    read = readers.read_json_records(spark, path + "/*/*.txt").where("c_custkey IS NOT NULL")
+    return read.select(*customer.columns)
+
+
+@query(
+    "S4_any_record_tag",
+    "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) END AS s_nationkey FROM supplier",
+)
+def s4_tags(spark, sf_dir):
+    """Records of two tags, the tags not given."""
+    supplier = table(spark, sf_dir, "supplier")
+    path = stage_path(spark, "tags.xml")
+    even = supplier.where("s_suppkey % 2 = 0").select("s_suppkey", "s_name", "s_nationkey")
+    even.write.format("xml").option("rootTag", "all").option("rowTag", "supplier").save(f"{path}/kind=0")
+    odd = supplier.where("s_suppkey % 2 = 1").select("s_suppkey", "s_name")
+    odd.write.format("xml").option("rootTag", "all").option("rowTag", "vendor").save(f"{path}/kind=1")
+    return readers.read_xml_records(spark, path + "/*/*").select("s_suppkey", "s_name", "s_nationkey")
+
+
 @query("S4_read_xml_records", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS s_nationkey FROM supplier")
 def s4(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier").select(
@@ -126,6 +172,29 @@ def s6(spark, sf_dir):
     return records.select("event_id", "user_id", "event_type", "k", "value")
 
 
+@query(
+    "S6_zip_status",
+    """
+SELECT concat(part, '.zip') AS archive, CASE WHEN part % 3 <> 0 THEN 'rows.jsonl' END AS member,
+  CASE WHEN part % 3 = 1 THEN 'success' ELSE 'failed' END AS status, CASE WHEN part % 3 = 0 THEN 0 ELSE n END AS lines
+FROM (SELECT event_id // 1000 AS part, count(*) AS n FROM events GROUP BY 1)
+""",
+)
+def s6_status(spark, sf_dir):
+    """Sound archives, archives with a line that is not UTF-8, and files that are no archive."""
+    events = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).alias("part"), "event_id")
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        part, held = int(rows["part"].iloc[0]), io.BytesIO()
+        lines = [b'{"id": %d}' % i for i in rows["event_id"]]
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as packed:
+            packed.writestr("rows.jsonl", b"\n".join(lines + [b"\xff\xfe"] * (part % 3 == 2)))
+        return pd.DataFrame({"path": [f"{part}.zip"], "content": [held.getvalue() if part % 3 else held.getvalue()[:40]]})
+
+    archives = events.groupBy("part").applyInPandas(pack, "path string, content binary")
+    return readers.zip_status(archives).drop("error")
+
+
 _LOG = """concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' - app - ',
   CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING' ELSE 'INFO' END, ' - ', event_type, ' WARNING ',
   cast(event_id as string))"""
