@@ -1,37 +1,27 @@
 """Ordered computations over groups of any size.
 
-A plain window puts a whole group in one task. Here the order is first cut in
-ranges holding about the same number of rows, so a group (or the whole table)
-is spread over many tasks:
+A plain window puts a whole group in one task. Here the rows are first dealt by ranges of the order that
+hold about the same number of rows, so a group (or the whole table) is spread over many tasks:
 
-1. window inside (key, range);
-2. one total per (key, range), and a window over those few totals;
-3. total of the earlier ranges joined back to the rows.
+1. the rows are range-partitioned and written once, with the number of their partition;
+2. window inside (key, range);
+3. one total per (key, range), and a window over those few totals;
+4. total of the earlier ranges joined back to the rows.
 
-The cut points come from a deterministic sample of the order keys; the sample
-decides only where ranges begin, every row stays in the result. When the input
-fits one range the plan is the plain window.
+When the input fits one range the plan is the plain window; results are the same either way.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from answerloom.functions.text import let
 from answerloom.plans.staging import cut_lineage
 
 RANGE_BYTES = 64 * 1024 * 1024
-MAX_RANGES = 16384
-SAMPLES_PER_RANGE = 16
-_FAN = 16  # cut points compared per level when a row's range is looked up
-_HASH_STEPS = 2**40
-_MANY_ROWS = 10_000_000
 _UNKNOWN_BYTES = 2**60  # what Catalyst says of data it knows nothing about
 _GUESSED_VALUE_BYTES = 16
 
@@ -58,7 +48,7 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def range_count(df: DataFrame) -> int:
-    return max(1, min(MAX_RANGES, math.ceil(plan_bytes(df) / RANGE_BYTES)))
+    return max(1, math.ceil(plan_bytes(df) / RANGE_BYTES))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -76,105 +66,30 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def _sort_key(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampType):  # an instant: local time goes back an hour in autumn
-        return F.unix_micros(name)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name)
-    # A zoneless timestamp as text sorts the same and needs no zone to compare.
-    return F.col(name).cast("string") if isinstance(kind, T.TimestampNTZType) else F.col(name)
-
-
-def _sample(df: DataFrame, order: Sequence[str], wanted: int) -> list[tuple]:
-    """About ``wanted`` of the order keys, sorted; the same ones each time, chosen by their hash."""
-    keys = df.select(*[_sort_key(df, c).alias(f"o{i}") for i, c in enumerate(order)])
-    names = keys.columns
-    total = df.count()
-    if total > wanted:
-        below = math.ceil(wanted / total * _HASH_STEPS)
-        keys = keys.where(F.pmod(F.xxhash64(*names), F.lit(_HASH_STEPS)) < below)
-    return [tuple(r) for r in keys.distinct().limit(4 * wanted).orderBy(*names).collect()]
-
-
-def cut_points(df: DataFrame, order: Sequence[str], ranges: int) -> list[tuple]:
-    """At most ``ranges - 1`` order keys that split the rows about evenly."""
-    if ranges <= 1:
-        return []
-    rows = _sample(df, order, ranges * SAMPLES_PER_RANGE)
-    return list(dict.fromkeys(rows[len(rows) * i // ranges] for i in range(1, ranges) if len(rows) * i // ranges))
-
-
-def range_of(df: DataFrame, order: Sequence[str], points: list[tuple]) -> Column:
-    """Number of the range a row is in: how many cut points are at or before it."""
-    if not points:
-        return F.lit(0)
-    here = F.struct(*[_sort_key(df, c).alias(f"o{i}") for i, c in enumerate(order)])
-    types = [df.select(_sort_key(df, c)).schema[0].dataType for c in order]
-
-    def literals(some: list[tuple]) -> Column:
-        return F.array(
-            *[F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(p, types))]) for p in some]
-        )
-
-    def at_or_before(array: Column) -> Column:
-        return F.size(F.filter(array, lambda p: p <= here))
-
-    # Blocks of points, blocks of their first points, and so on up to a single block.
-    levels = [points]
-    while len(levels[-1]) > _FAN:
-        levels.append(levels[-1][::_FAN])
-    found = at_or_before(literals(levels.pop()))
-
-    def look_in(blocks: Column):
-        return lambda i: F.when(i == 0, 0).otherwise((i - 1) * _FAN + at_or_before(F.get(blocks, i - 1)))
+def in_ranges(df: DataFrame, order: Sequence[str], ranges: int, name: str = "__range") -> DataFrame:
+    """The rows with the number of their range, from 0 in the order; rows of equal order share a range.
 
-    while levels:
-        level = levels.pop()
-        blocks = F.array(*[literals(level[i : i + _FAN]) for i in range(0, len(level), _FAN)])
-        found = let(found, look_in(blocks))
-    return found
+    Range partitioning is Spark's own. The rows are written once, so that the numbers hold for every later use.
+    """
+    return cut_lineage(df.repartitionByRange(ranges, *order).withColumn(name, F.spark_partition_id()))
 
 
 def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The last n rows by a total order, in that order.
-
-    Every task offers n rows to the last step. Where that adds up to very many,
-    only rows from a late cut point on are looked at, if those are enough.
-    """
-    files = 0 if df.isStreaming else max(len(df.inputFiles()), plan_bytes(df) // (2 * RANGE_BYTES))
-    if files * n > _MANY_ROWS:
-        points = cut_points(df, order, max(2, min(MAX_RANGES, range_count(df))))
-        late = df.where(range_of(df, order, points[-1:]) == 1)
-        if late.count() >= n:
-            df = late
+    """The last n rows by a total order, in that order. Every task offers n rows at most."""
     return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
-def settle(df: DataFrame, ranges: int | None = None) -> DataFrame:
-    """The input of an ordered computation that may need several ranges.
-
-    Cutting ranges reads the input more than once. What comes out of an
-    aggregate or a join is therefore written first, unless it is small; then
-    its true size, often far less than what it was made from, is known too.
-    """
-    if (ranges or range_count(df)) == 1:
-        return df
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return cut_lineage(df) if re.search(r"\b(Aggregate|Join|Window|Generate)\b", plan) else df
-
-
 def _with_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None) -> DataFrame | None:
     """Adds ``__key`` and ``__range``, or gives None when one range is enough.
 
     The key is one struct, which equals itself also where it holds nulls, so
     windows, totals and the join after them share one partitioning.
     """
-    points = cut_points(df, order, ranges or range_count(df.select(*order)))
-    if not points:
+    ranges = ranges or range_count(df.select(*order))
+    if ranges == 1:
         return None
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-    return df.withColumns({"__key": key, "__range": range_of(df, order, points)})
+    return in_ranges(df, order, ranges).withColumn("__key", key)
 
 
 def running(
@@ -189,7 +104,6 @@ def running(
     ``order`` is ascending and must be a total order inside a key. ``measures``
     maps an output name to (function, input column).
     """
-    df = settle(df, ranges)
     ranged = _with_range(df, keys, order, ranges)
     if ranged is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -223,7 +137,6 @@ def neighbour(
 ) -> DataFrame:
     """Values of the previous (or next, ``ahead``) row of the same key."""
     shift = F.lead if ahead else F.lag
-    df = settle(df, ranges)
     ranged = _with_range(df, keys, order, ranges)
     if ranged is None:
         frame = Window.partitionBy(*keys).orderBy(*order)
@@ -273,17 +186,13 @@ def ranked(
             F.ntile(tiles).over(by_row).cast("bigint").alias("ntile"),
         )
     numbered = running(df, keys, [value, *tie_break], {"row_number": ("count", F.lit(1))}, ranges)
-    levels = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    levels = running(
-        levels, keys, [value], {"__upto": ("sum", F.col("__n")), "dense_rank": ("count", F.lit(1))}, ranges
-    )
+    numbered = cut_lineage(numbered)  # read three times
+    levels = numbered.groupBy(*keys, value).agg(F.min("row_number").alias("rank"))
+    levels = running(levels, keys, [value], {"dense_rank": ("count", F.lit(1))}, ranges)
     levels = levels.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(value).alias("__v"),
-        (F.col("__upto") - F.col("__n") + 1).alias("rank"),
-        "dense_rank",
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__v"), "rank", "dense_rank"
     )
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = numbered.groupBy(*keys).agg(F.max("row_number").alias("__size"))
     sizes = sizes.select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)], "__size")
     match = F.col(value).eqNullSafe(F.col("__v"))
     same = F.lit(True)
@@ -308,7 +217,6 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles per key. Equal values are counted before any row moves."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    counts = settle(counts, ranges)
     upto = running(counts, keys, [value], {"__upto": ("sum", F.col("__n"))}, ranges)
     sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     if keys:

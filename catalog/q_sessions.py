@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from answerloom.operators import sessions as S
-from answerloom.plans.ranges import cut_points, range_of
+from answerloom.plans.ranges import in_ranges
 from answerloom.plans.staging import stage_path
 from answerloom.streaming import rollups as R
 from catalog import query, table
@@ -71,10 +71,9 @@ def _arrive(spark, sf_dir, parts: int, process) -> None:
     """The events arrive in parts, in time order; the stream is started anew after each part."""
     path = stage_path(spark, "events")
     events = table(spark, sf_dir, "events")
-    points = cut_points(events, ["ts", "event_id"], parts)
-    part = range_of(events, ["ts", "event_id"], points)
+    ranged = in_ranges(events, ["ts", "event_id"], parts, "part")
     for number in range(parts):
-        events.where(part == number).write.mode("append").parquet(path)
+        ranged.where(F.col("part") == number).drop("part").write.mode("append").parquet(path)
         process(R.event_stream(spark, path, events.schema))
 
 

@@ -64,11 +64,27 @@ def test_quantiles(rows):
     assert [[round(float(x or 0), 9) for x in r] for r in got] == [[round(float(x or 0), 9) for x in r] for r in want]
 
 
-def test_ranges_are_even(rows):
-    points = R.cut_points(rows, ["v", "id"], 10)
-    sizes = rows.groupBy(R.range_of(rows, ["v", "id"], points).alias("r")).count().collect()
-    assert len(sizes) == 10
-    assert max(r["count"] for r in sizes) < 3000 / 10 * 2
+def test_ranges_are_even_and_in_order(rows):
+    sizes = R.in_ranges(rows, ["v", "id"], 10, "r").groupBy("r").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("r").collect()
+    assert len(sizes) == 10 and max(r.n for r in sizes) < 3000 / 10 * 2
+    assert all(a.hi <= b.lo for a, b in zip(sizes, sizes[1:]))
+
+
+def test_many_ranges_plan_like_few(rows):
+    size = lambda n: len(R.running(rows, ["k"], ["v", "id"], {"s": ("sum", F.col("x"))}, n)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(4096) - size(8)) < 200
+
+
+def test_instants_across_a_clock_change(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        hour = 1730606400  # 2024-11-03 04:00 UTC; the clock goes back two hours later
+        df = spark.range(60).select(F.timestamp_seconds(F.lit(hour) + F.col("id") * 300).alias("t"), F.col("id"))
+        got = R.running(df, [], ["t"], {"s": ("sum", F.col("id"))}, 12).collect()
+        assert all(r.s == r.id * (r.id + 1) // 2 for r in got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_time_order(spark, sf):
@@ -78,29 +94,10 @@ def test_time_order(spark, sf):
     assert as_set(got) == as_set(R.running(events, ["user_id"], ["ts", "event_id"], m, 1).select(*got.columns))
 
 
-@pytest.mark.parametrize("ranges", [2, 16, 17, 18, 300, 700])
-def test_range_lookup_counts_points(spark, ranges):
-    rows = spark.range(2000).select((F.col("id") * 7 % 2003).alias("a"), (F.col("id") % 3).alias("b"))
-    points = R.cut_points(rows, ["a", "b"], ranges)
-    assert len(points) == ranges - 1 and points == sorted(points)
-    got = rows.select("*", R.range_of(rows, ["a", "b"], points).alias("r")).collect()
-    assert all(r.r == sum(p <= (r.a, r.b) for p in points) for r in got)
-
-
-def test_sampled_points_are_the_same_each_time(spark, monkeypatch):
-    rows = spark.range(20000).select((F.col("id") * 31 % 20011).alias("v"))
-    first = R.cut_points(rows, ["v"], 8)
-    assert first == R.cut_points(rows.repartition(5), ["v"], 8) and len(first) == 7
-    sizes = [r["count"] for r in rows.groupBy(R.range_of(rows, ["v"], first).alias("r")).count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 20000 / 8 * 2.2
-
-
-def test_last_rows(spark, monkeypatch):
+def test_last_rows(spark):
     rows = spark.range(5000).select((F.col("id") * 7 % 5003).alias("v"))
     want = [r.v for r in rows.orderBy(F.desc("v")).limit(40).collect()][::-1]
     assert [r.v for r in R.last_rows(rows, ["v"], 40).collect()] == want
-    monkeypatch.setattr(R, "_MANY_ROWS", -1)
-    assert [r.v for r in R.last_rows(rows, ["v"], 40).collect()] == want
     assert R.last_rows(rows, ["v"], 4990).count() == 4990
 
 
