@@ -84,3 +84,22 @@ def test_statistics_without_keys(numbers):
 def test_value_frequencies(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "v string")
     assert [tuple(r) for r in G.value_frequencies(df, "v").collect()] == [("b", 2), (None, 1), ("a", 1)]
+
+
+def test_nan_counts_as_null(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "v double")
+    assert value(G.column_sum(df)) == 4 and value(G.column_mean(df)) == 2
+    assert (value(G.column_max(df)), value(G.column_min(df))) == (3, 1)
+    assert value(G.cutoff_sum(df, "v", 0, True)) == 4
+    row = G.statistics(df, [], "v").first()
+    assert (row.n, row.mean, row["median"], row.maximum) == (2, 2, 2, 3)
+
+
+def test_questions_name_their_column(spark):
+    df = spark.createDataFrame([("x", 2**53 + 1, 0.5), ("y", 2, float("nan"))], "name string, a long, b double")
+    texts = ["What is the sum of b?", "What is the sum?", "first cell", "sum of a over cutoff: 1", "maximum of B", "sum of abc"]
+    got = {r.q: r for r in G.answer_questions(spark.createDataFrame(list(enumerate(texts)), "q int, text string"), df, ["a"]).collect()}
+    assert (got[0].column, got[0].answer) == ("b", 0.5)
+    assert got[1].answer_text == str(2**53 + 3) and got[2].answer_text == "y" and got[2].answer is None
+    assert got[4].answer == 0.5 and got[5].column == "a"
+    assert (got[3].metric, got[3].column) == ("cutoff_sum", "a")

@@ -157,3 +157,12 @@ def test_similar_pairs(vectors, threshold, monkeypatch):
     assert len(got) == len({(r.vec_id, r.other_id) for r in got})
     assert {(r.vec_id, r.other_id) for r in got} == want
     assert all((r.copies == 51) == (r.vec_id == 3) and (r.other_copies == 51) == (r.other_id == 3) for r in got)
+
+
+def test_weights_of_0_end_and_negative_ones_raise(spark):
+    edges = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0), (2, 3, 0.0), (3, 1, 0.0), (1, 3, 0.0)], "src long, dst long, weight double")
+    sources = spark.createDataFrame([(1,)], "source long")
+    got = {r.node: (r.distance, r.path) for r in G.shortest_paths(edges, sources, weight="weight", directed=True).collect()}
+    assert got == {1: (0, [1]), 2: (0, [1, 2]), 3: (0, [1, 3])}
+    with pytest.raises(ValueError):
+        G.shortest_paths(edges.withColumn("weight", F.lit(-1.0)), sources, weight="weight")

@@ -65,7 +65,6 @@ def test_tables_with_spans(spark):
         (0, 0, 0): ("H", True), (0, 0, 1): ("H", True),
         (0, 1, 0): ("a", False), (0, 1, 1): ("b c", False),
         (0, 2, 0): ("a", False), (0, 2, 1): ("in", False),
-        (0, 3, 0): ("a", False),
         (1, 0, 0): ("in", False),
     }
 
@@ -199,3 +198,12 @@ def test_decode(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").withColumnRenamed("t", "raw")
     got = decode_layers(df, "raw").orderBy("i").collect()
     assert [(r.text, r.layers) for r in got] == [(c[1], c[2]) for c in cases]
+
+
+def test_spans_end_with_their_table(spark):
+    html = "<table><tr><td rowspan='40'>a</td><td>b</td></tr><tr><td>c</td></tr></table>"
+    tall = "<table><tr><td rowspan=1200>x</td><td>0</td></tr>" + "".join(f"<tr><td>{i}</td></tr>" for i in range(1, 1200)) + "</table>"
+    df = spark.createDataFrame([(1, html), (2, tall)], "page_id long, html string")
+    cells = P.page_tables(P.parse_pages(df)).collect()
+    assert sorted((c.row_idx, c.col_idx, c.text) for c in cells if c.page_id == 1) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "a"), (1, 1, "c")]
+    assert sum(1 for c in cells if c.page_id == 2 and c.text == "x") == 1200

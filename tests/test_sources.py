@@ -168,3 +168,55 @@ def test_pixel_diff(spark, tmp_path):
         return I.read_images(spark, str(tmp_path / side)).withColumn("name", F.substring_index("origin", "/", -1))
 
     assert {r.name: r.differing for r in I.pixel_diff(load("x"), load("y"), "name").collect()} == {"a.png": 2, "b.png": None}
+
+
+def test_json_files_are_judged_one_by_one(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    (tmp_path / "b.json").write_text('[\n  {"a": 4, "b": "x"},\n  {"a": 5.5}\n]')
+    (tmp_path / "c.json").write_text('{\n  "a": 6,\n  "list": [\n{"x": 1}\n]\n}')
+    (tmp_path / "d.json").write_text('{"a": 7}\nnot an object\n')
+    got = readers.read_json_records(spark, str(tmp_path / "*.json"))
+    assert sorted(r.a for r in got.collect() if r.a is not None) == [1, 2, 3, 4, 5.5, 6, 7]
+    assert got.where("b = 'x'").count() == 1
+
+
+def test_csv_files_are_judged_one_by_one(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "b.csv").write_text("5,6\n7,8\n")
+    got = readers.read_csv_auto(spark, str(tmp_path / "*.csv"))
+    assert sorted(map(tuple, got.select("x", "y").collect())) == [(1, 2), (3, 4), (5, 6), (7, 8)]
+    (tmp_path / "c.csv").write_text("z\nw\n")
+    got = readers.read_csv_auto(spark, str(tmp_path / "*.csv"))
+    assert got.count() == 5 and {"x", "y", "z", "value_0", "value_1"} == set(got.columns)
+
+
+def test_xml_records_are_children_of_any_tag(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<root><item><n>1</n></item><thing><n>2</n><m>x</m></thing></root>")
+    got = readers.read_xml_records(spark, str(tmp_path / "a.xml"))
+    assert sorted((r.n, r.m) for r in got.collect()) == [("1", None), ("2", "x")]
+
+
+def test_broken_archives_and_lines_are_told(spark):
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as packed:
+        packed.writestr("good", '{"a": 1}\n')
+        packed.writestr("odd", b'{"a": 2}\n\xff\n')
+    rows = [("a.zip", held.getvalue()), ("b.zip", b"no archive"), ("c.zip", held.getvalue()[:60])]
+    archives = spark.createDataFrame(rows, "path string, content binary")
+    got = {(r.archive, r.member): (r.status, r.lines) for r in readers.zip_status(archives).collect()}
+    assert got == {("a.zip", "good"): ("success", 1), ("a.zip", "odd"): ("failed", 1), ("b.zip", None): ("failed", 0), ("c.zip", None): ("failed", 0)}
+    assert readers.zip_members(archives).where("raw IS NOT NULL").first().raw == b"\xff\n"
+
+
+def test_errors_without_text_stop_no_other_source(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("x")
+
+    def fail(spark, path, row_tag=None):
+        raise ValueError
+
+    monkeypatch.setattr(manifest, "read_source", fail)
+    _, status = manifest.ingest_manifest(spark, [str(tmp_path / "a.txt")])
+    assert [(r.status, r.error) for r in status.collect()] == [("failed", "ValueError")]
