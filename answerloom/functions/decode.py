@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerloom import fixed_values as V
-from answerloom.functions.text import let
 
 
 @F.pandas_udf(T.StringType())
@@ -22,75 +21,35 @@ def unescape_entities(text: pd.Series) -> pd.Series:
 
 
 _COMPLETE = "^(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)"
-
-
 _FOREIGN = "[^A-Za-z0-9+/=]+"
 _HEAD = 1024
 
 
-def _may_be_base64(text: Column) -> Column:
-    """False only where the beginning already decodes to bytes that no UTF-8 text starts with.
+def _peel_base64(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``__text`` and ``__layers`` after up to five base64 layers, each a step of plain columns.
 
-    Then the whole cannot be UTF-8 either, and need not be decoded to know it.
-    A character may be cut at the end of the beginning, so up to three bytes are let off.
+    Characters outside the alphabet do not count; what is left must have complete padding, and what
+    follows complete padding is not read. A text whose beginning already decodes to bytes that no UTF-8
+    text starts with is not decoded whole: it cannot be UTF-8 either. (A character may be cut at the end of the
+    beginning, so up to three bytes are let off.)
     """
-
-    def fits(data: Column) -> Column:
-        cut = [F.substring(data, F.lit(1), F.octet_length(data) - n) for n in range(4)]
-        return reduce(or_, [F.is_valid_utf8(part.cast("string")) for part in cut])
-
-    return let(
-        F.regexp_replace(F.substring(text, 1, _HEAD), _FOREIGN, ""),
-        lambda head: head.contains("=")
-        | let(
-            F.try_to_binary(F.substring(head, F.lit(1), F.length(head) - F.length(head) % 4), F.lit("base64")), fits
-        ),
-    )
-
-
-def _base64_text(text: Column) -> Column:
-    """The text a base64 text holds; null when it is none or not UTF-8.
-
-    Characters outside the alphabet do not count; what is left must have
-    complete padding, and what follows complete padding is not read.
-    """
-    letters = F.when(_may_be_base64(text), F.regexp_replace(text, _FOREIGN, ""))
-    body = let(
-        letters,
-        lambda kept: F.when(~kept.contains("="), F.when(F.length(kept) % 4 == 0, kept)).otherwise(
-            let(
-                F.regexp_extract(kept, _COMPLETE, 0),
-                lambda whole: F.when(whole != "", whole).otherwise(
-                    let(
-                        F.replace(kept, F.lit("="), F.lit("")),
-                        lambda bare: F.when(F.length(bare) % 4 == 0, bare),
-                    )
-                ),
-            )
-        ),
-    )
-    return F.try_validate_utf8(F.try_to_binary(body, F.lit("base64")).cast("string"))
-
-
-def _peel_base64(text: Column) -> Column:
-    """``{text, layers, done}`` after up to five base64 layers."""
-
-    def state(now: Column, layers: Column, done: bool) -> Column:
-        return F.struct(now.alias("text"), layers.alias("layers"), F.lit(done).alias("done"))
-
-    def peel(last: Column, _: Column) -> Column:
-        now, layers = last["text"], last["layers"]
-        return F.when(last["done"], last).otherwise(
-            let(
-                _base64_text(now),
-                lambda inner: F.when(
-                    inner.isNotNull() & (inner != "") & (inner != now), state(inner, layers + 1, False)
-                ).otherwise(state(now, layers, True)),
-            )
-        )
-
-    rounds = F.sequence(F.lit(1), F.lit(V.BASE64_LAYERS))
-    return F.aggregate(rounds, state(text, F.lit(0), False), peel)
+    now, kept, head, start = F.col("__text"), F.col("__kept"), F.col("__head"), F.col("__start")
+    cuts = [F.substring(start, F.lit(1), F.octet_length(start) - n) for n in range(4)]
+    may_be = head.contains("=") | reduce(or_, [F.is_valid_utf8(part.cast("string")) for part in cuts])
+    bare = F.replace(kept, F.lit("="), F.lit(""))
+    whole = F.col("__whole")
+    padded = F.when(whole != "", whole).when(F.length(bare) % 4 == 0, bare)
+    body = F.when(~kept.contains("="), F.when(F.length(kept) % 4 == 0, kept)).otherwise(padded)
+    df = df.withColumns({"__text": F.col(column), "__layers": F.lit(0), "__going": F.lit(True)})
+    for _ in range(V.BASE64_LAYERS):
+        df = df.withColumn("__head", F.when(F.col("__going"), F.regexp_replace(F.substring(now, 1, _HEAD), _FOREIGN, "")))
+        df = df.withColumn("__start", F.try_to_binary(F.substring(head, F.lit(1), F.length(head) - F.length(head) % 4), F.lit("base64")))
+        df = df.withColumn("__kept", F.when(may_be, F.regexp_replace(now, _FOREIGN, "")))
+        df = df.withColumn("__whole", F.when(kept.contains("="), F.regexp_extract(kept, _COMPLETE, 0)))
+        df = df.withColumn("__inner", F.try_validate_utf8(F.try_to_binary(body, F.lit("base64")).cast("string")))
+        df = df.withColumn("__going", F.coalesce((F.col("__inner") != "") & (F.col("__inner") != now), F.lit(False)))
+        df = df.withColumns({"__text": F.when(F.col("__going"), F.col("__inner")).otherwise(now), "__layers": F.col("__layers") + F.col("__going").cast("int")})
+    return df
 
 
 def _unquoted(text: Column) -> Column:
@@ -101,9 +60,5 @@ def _unquoted(text: Column) -> Column:
 
 def decode_layers(df: DataFrame, column: str) -> DataFrame:
     """Adds ``text`` and ``layers``: base64 layers undone, then URL escapes, then entities."""
-    peeled = df.withColumn("__peeled", _peel_base64(F.col(column)))
-    return peeled.select(
-        *df.columns,
-        unescape_entities(_unquoted(F.col("__peeled.text"))).alias("text"),
-        F.col("__peeled.layers").alias("layers"),
-    )
+    peeled = _peel_base64(df, column).withColumn("__text", _unquoted(F.col("__text")))
+    return peeled.select(*df.columns, unescape_entities(F.col("__text")).alias("text"), F.col("__layers").alias("layers"))

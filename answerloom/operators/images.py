@@ -49,10 +49,18 @@ def color_counts(images: DataFrame, key: str = "origin") -> DataFrame:
 
 
 def dominant_colors(images: DataFrame, key: str = "origin") -> DataFrame:
-    """The most frequent colour of each image as ``#rrggbb``; of equal ones the first to appear."""
-    best = color_counts(images, key).groupBy(key).agg(F.min_by("rgb", F.struct(-F.col("n"), "first_at")).alias("rgb"))
-    digits = F.lower(F.lpad(F.hex("rgb"), 6, "0"))
-    return best.select(key, F.concat(F.lit("#"), digits).alias("color"))
+    """The most frequent colour of each image as ``#rrggbb``; of equal ones the first to appear. One row per image leaves a task."""
+    schema = T.StructType([T.StructField(key, images.schema[key].dataType), T.StructField("color", T.StringType())])
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for channels, data in zip(part["nChannels"], part["data"]):
+                colors, first, n = np.unique(_pixels(data, int(channels)), return_index=True, return_counts=True)
+                found.append(f"#{int(colors[np.lexsort((first, -n))[0]]):06x}" if len(colors) else None)
+            yield pd.DataFrame({key: part[key], "color": found})
+
+    return images.select(key, "nChannels", "data").mapInPandas(best, schema)
 
 
 @F.pandas_udf(T.LongType())

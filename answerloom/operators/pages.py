@@ -39,11 +39,11 @@ def _cell_text(nodes: Column, cell: Column) -> Column:
     return F.regexp_replace(strip(H.raw_text(H.subtree(nodes, cell))), UNICODE + r"[\r\n]+|\s{2,}", " ")
 
 
-def page_tables(parsed: DataFrame, page: str = "page_id") -> DataFrame:
-    """Every cell of every table. A cell that spans is repeated in each place it covers."""
+def _table_cells() -> Column:
+    """The cells of a page's tables, each with the rows and columns it covers."""
     nodes = F.col(NODES)
     tables = F.transform(H.elements(nodes, "table", pruned=True), lambda t: t["pre"])
-    cells = F.transform(
+    return F.transform(
         F.filter(H.elements(nodes, "td", "th", pruned=True), lambda c: c["owner"] >= 0),
         lambda c: F.struct(
             (F.array_position(tables, c["owner"]) - 1).cast("int").alias("table_idx"),
@@ -53,11 +53,31 @@ def page_tables(parsed: DataFrame, page: str = "page_id") -> DataFrame:
             _cell_text(nodes, c).alias("text"),
         ),
     )
-    placed = parsed.select(page, F.explode(cells).alias("c"))
+
+
+def page_tables(parsed: DataFrame, page: str = "page_id") -> DataFrame:
+    """Every cell of every table. A cell that spans is repeated in each place it covers."""
+    placed = parsed.select(page, F.explode(_table_cells()).alias("c"))
     rows = placed.select(page, "c.table_idx", F.explode("c.rows").alias("row_idx"), "c.cols", "c.is_header", "c.text")
     return rows.select(page, "table_idx", "row_idx", F.explode("cols").alias("col_idx"), "is_header", "text")
 
 
+def page_named_cells(parsed: DataFrame, page: str = "page_id") -> DataFrame:
+    """Each cell below row 0 with the name that row 0 has in its column: (page, table_idx, row, col_idx, name, value).
+
+    The names are in the page's own row, so pages are parsed once and no cell is shuffled.
+    """
+    cells = parsed.select(page, _table_cells().alias("__cells"))
+    heads = F.filter("__cells", lambda c: F.array_contains(c["rows"], 0))
+    cells = cells.withColumn("__heads", heads)
+    placed = cells.select(page, "__heads", F.explode("__cells").alias("c"))
+    rows = placed.select(page, "__heads", "c.table_idx", F.explode("c.rows").alias("row_idx"), "c.cols", F.col("c.text").alias("value"))
+    rows = rows.where("row_idx > 0").select(page, "__heads", "table_idx", "row_idx", F.explode("cols").alias("col_idx"), "value")
+    above = F.filter("__heads", lambda h: (h["table_idx"] == F.col("table_idx")) & F.array_contains(h["cols"], F.col("col_idx")))
+    return rows.select(page, "table_idx", (F.col("row_idx") - 1).alias("row"), "col_idx", F.get(above, F.lit(0))["text"].alias("name"), "value")
+
+
+
 def page_lists(parsed: DataFrame, page: str = "page_id", pruned: bool = True) -> DataFrame:
     """Lists with their direct items; empty items and empty lists are left out."""
     nodes = F.col(NODES)
@@ -121,23 +141,16 @@ def page_key_values(parsed: DataFrame, page: str = "page_id") -> DataFrame:
     )
     labels = F.filter(labels, lambda p: F.length(p["key"]) < V.KEY_MAX_LENGTH)
 
-    def listed(pairs: Column, source: str, source_no: int, first_wins: bool) -> Column:
-        sign = 1 if first_wins else -1
-        return F.transform(
-            F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != "")),
-            lambda p, i: F.struct(
-                p["key"].alias("key"),
-                F.struct(F.lit(source_no).alias("s"), (i * sign).alias("i")).alias("rank"),
-                F.struct(p["value"].alias("value"), F.lit(source).alias("source")).alias("found"),
-            ),
-        )
+    def listed(pairs: Column, source: str) -> Column:
+        full = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
+        return F.transform(full, lambda p: F.struct(p["key"], p["value"], F.lit(source).alias("source")))
 
-    every = F.concat(
-        listed(cells, "table", 0, False), listed(terms, "definition", 1, False), listed(labels, "label", 2, True)
-    )
-    exploded = parsed.select(page, F.explode(every).alias("p")).select(page, "p.*")
-    best = exploded.groupBy(page, "key").agg(F.min_by("found", "rank").alias("found"))
-    return best.select(page, "key", "found.value", "found.source")
+    # In order of preference; the first of a key stays. All within the page's row.
+    every = F.concat(F.reverse(listed(cells, "table")), F.reverse(listed(terms, "definition")), listed(labels, "label"))
+    found = parsed.select(page, every.alias("__found"))
+    keys = F.transform("__found", lambda p: p["key"])
+    first = F.filter("__found", lambda p, i: F.array_position(F.col("__keys"), p["key"]) == i + 1)
+    return found.withColumn("__keys", keys).select(page, F.inline(first))
 
 
 def page_links(parsed: DataFrame, page: str = "page_id") -> DataFrame:
@@ -287,12 +300,25 @@ def resolve_urls(df: DataFrame, base: str, ref: str, into: str = "resolved") ->
 
 
 def data_links(links: DataFrame, base: str = "url", page: str = "page_id") -> DataFrame:
-    """Links to data files, absolute, each once per page."""
+    """Links to data files, absolute, each once per page (pages with the same id count as one)."""
     files = links.where((F.col("href") != "") & is_data_link(F.col("href")))
     resolved = files.select(page, "pos", resolve_url(F.col(base), F.col("href")).alias("data_url"))
     return resolved.groupBy(page, "data_url").agg(F.min("pos").alias("pos"))
 
 
+def page_data_links(parsed: DataFrame, base: str = "url", page: str = "page_id") -> DataFrame:
+    """The same straight from parsed pages, each row by itself: no shuffle."""
+    links = F.transform(
+        F.filter(H.elements(F.col(NODES), "a"), lambda a: F.map_contains_key(a["attrs"], "href")),
+        lambda a, i: F.struct(i.alias("pos"), a["attrs"]["href"].alias("href")),
+    )
+    files = F.filter(links, lambda x: (x["href"] != "") & is_data_link(x["href"]))
+    listed = parsed.select(page, F.transform(files, lambda x: F.struct(x["pos"], resolve_url(F.col(base), x["href"]).alias("data_url"))).alias("__links"))
+    urls = F.transform("__links", lambda x: x["data_url"])
+    first = F.filter("__links", lambda x, i: F.array_position(F.col("__urls"), x["data_url"]) == i + 1)
+    return listed.withColumn("__urls", urls).select(page, F.inline(first))
+
+
 def link_edges(links: DataFrame, base: str = "url") -> DataFrame:
     """Host to host edges with the number of links."""
     return (

@@ -111,13 +111,36 @@ def fill_missing(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(_quoted(c), F.lit("")) for c in texts}) if texts else df
 
 
-# Stand-ins for a line end and a comma inside quotes.
-_QUOTED_NEWLINE, _QUOTED_COMMA = "\x01", "\x02"
+# Stand-ins for a line end and a comma inside quotes. Where a text has such characters itself, they are escaped first.
+_QUOTED_NEWLINE, _QUOTED_COMMA, _ESCAPE = "\x01", "\x02", "\x03"
+_OWN = {_ESCAPE: _ESCAPE + "3", _QUOTED_NEWLINE: _ESCAPE + "1", _QUOTED_COMMA: _ESCAPE + "2"}
+
+
+def _escaped(text: Column) -> Column:
+    for own, escape in _OWN.items():
+        text = F.replace(text, F.lit(own), F.lit(escape))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    for own, escape in reversed(_OWN.items()):
+        text = F.replace(text, F.lit(escape), F.lit(own))
+    return text
+
+
+def _numbered(names: Column) -> Column:
+    """Repeated names get _2, _3."""
+
+    def name(n: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == n))
+        return F.when(before > 0, F.concat(n, F.lit("_"), (before + 1).cast("string"))).otherwise(n)
+
+    return F.transform(names, name)
 
 
 def _csv_lines(text: Column) -> Column:
     """Non-empty lines; line ends and commas inside quotes are replaced by stand-ins."""
-    parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), '"')
+    parts = F.split(F.replace(_escaped(text), F.lit("\r\n"), F.lit("\n")), '"')
     guarded = F.transform(
         parts,
         lambda part, i: F.when(i % 2 == 1, F.translate(part, "\n,", _QUOTED_NEWLINE + _QUOTED_COMMA)).otherwise(part),
@@ -128,12 +151,14 @@ def _csv_lines(text: Column) -> Column:
 def _csv_cells(line: Column) -> Column:
     return F.transform(
         F.split(F.translate(line, _QUOTED_NEWLINE, "\n"), ","),
-        lambda c: F.when(
-            c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
-            F.translate(
-                F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')), _QUOTED_COMMA, ","
-            ),
-        ).when(c != "", c),
+        lambda c: _unescaped(
+            F.when(
+                c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
+                F.translate(
+                    F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')), _QUOTED_COMMA, ","
+                ),
+            ).when(c != "", c)
+        ),
     )
 
 
@@ -143,7 +168,8 @@ def coerce_payloads(df: DataFrame, column: str) -> DataFrame:
     A JSON array gives a record per element, a JSON object one record, any
     other text is read as CSV with a header line. ``record`` is a map of field
     to text, ``pos`` its place in the payload. A payload that gives no record
-    keeps one row with a null record and ``kind`` ``rejected``.
+    keeps one row with a null record and ``kind`` ``rejected``. Repeated header names are numbered
+    (``a``, ``a_2``).
     """
     text, is_json = F.col("__text"), F.col("__is_json")
     json_many = F.from_json(F.when(is_json & text.startswith("["), text), "array<map<string,string>>")
@@ -160,12 +186,16 @@ def coerce_payloads(df: DataFrame, column: str) -> DataFrame:
     parsed = split.withColumns(
         {"__head": _csv_cells(F.get(csv, F.lit(0))), "__rows": F.transform(_after_first(csv), _csv_cells)}
     )
+    parsed = parsed.withColumn("__head", _numbered(F.col("__head")))
     ragged = F.exists("__rows", lambda r: F.size(r) > F.size("__head"))
     filled = F.transform(
         "__rows",
         lambda r: F.map_from_entries(
             F.transform(
-                F.filter(F.arrays_zip(F.col("__head").alias("k"), r.alias("v")), lambda e: e["k"].isNotNull()),
+                F.filter(
+                    F.arrays_zip(F.col("__head").alias("k"), r.alias("v")),
+                    lambda e, i: e["k"].isNotNull() & (F.array_position(F.col("__head"), e["k"]) == i + 1),
+                ),
                 lambda e: F.struct(e["k"], e["v"]),
             )
         ),
@@ -194,14 +224,6 @@ def promote_header(df: DataFrame, cells: str) -> DataFrame:
     return df.select(*kept, F.explode(listed).alias("c")).select(*kept, "c.*")
 
 
-def promote_cells(cells: DataFrame, keys: Sequence[str] = ("page_id", "table_idx")) -> DataFrame:
-    """The same for a table of single cells: each cell below row 0 with the name row 0 has in its column."""
-    place = [*keys, "col_idx"]
-    head = cells.where("row_idx = 0").select(*place, F.col("text").alias("name"))
-    body = cells.where("row_idx > 0").withColumnRenamed("text", "value")
-    return body.join(head, place, "left").select(*keys, (F.col("row_idx") - 1).alias("row"), "col_idx", "name", "value")
-
-
 def promoted_table(df: DataFrame, cells: str, names: Sequence[str]) -> DataFrame:
     """The same as columns, for tables known to have the header ``names``."""
     kept = [c for c in df.columns if c != cells]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from answerloom.functions.decode import decode_layers
 from answerloom.functions.urls import default_submit_url, resolve_url, source_kind
 from answerloom.operators import pages as P
-from answerloom.operators.prepare import promote_cells
 from catalog import query, table, wide_table
 from catalog.derived import TABLE_PAGES, derived
 
@@ -110,7 +109,7 @@ def _named(*cells) -> str:
     ),
 )
 def c5_cells(spark, sf_dir):
-    return promote_cells(P.page_tables(_table_pages(spark, sf_dir)))
+    return P.page_named_cells(_table_pages(spark, sf_dir))
 
 
 @query(
@@ -262,7 +261,7 @@ UNION ALL SELECT c_custkey, 4, 'https://o.example.org/i.png#z' FROM customer
 """,
 )
 def h10(spark, sf_dir):
-    return P.data_links(P.page_links(_table_pages(spark, sf_dir)))
+    return P.page_data_links(_table_pages(spark, sf_dir))
 
 
 _REFS = ["/top/x?q=1", "other.html", "../up.csv", "https://abs.example.org/z", "?only=query", "#frag", "//net.example/p",

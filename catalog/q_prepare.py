@@ -89,6 +89,19 @@ _PAYLOAD = """CASE event_id % 5
   WHEN 2 THEN concat('a,b', chr(10), cast(user_id as string), ',"p, q"', chr(10), cast(event_id as string), ',')
   WHEN 3 THEN '  '
   ELSE 'only a header' END"""
+_ODD = """concat('a,a,b', chr(10), cast(user_id as string), ',"', chr(1), 'x', chr(2), chr(10), chr(3), '1",', cast(event_id as string))"""
+
+
+@query(
+    "C4_repeated_headers",
+    "SELECT event_id, 'csv' AS kind, 0 AS pos, CAST(user_id AS VARCHAR) AS a, chr(1) || 'x' || chr(2) || chr(10) || chr(3) || '1' AS a_2,"
+    " CAST(event_id AS VARCHAR) AS b FROM events",
+)
+def c4_odd(spark, sf_dir):
+    """Repeated header names, and cells that hold control characters."""
+    payloads = wide_table(spark, sf_dir, "events").selectExpr("event_id", f"{_ODD} AS payload")
+    records = P.coerce_payloads(payloads, "payload")
+    return records.select("event_id", "kind", "pos", *[F.try_element_at("record", F.lit(n)).alias(n) for n in ("a", "a_2", "b")])
 
 
 @query(
