@@ -15,7 +15,6 @@ from answerloom.plans.staging import cut_lineage
 
 QUERY_BATCH = 1024
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
 DIGITS = 12  # scores closer than this count as equal
 
 
@@ -48,12 +47,18 @@ def _best(query_ids, matrix: np.ndarray, ids: np.ndarray, vectors, k: int) -> pd
 
 
 def most_similar(
-    vectors: DataFrame, queries: DataFrame, k: int, vector_id: str = "vec_id", vector: str = "embedding"
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int,
+    vector_id: str = "vec_id",
+    vector: str = "embedding",
+    query_batch: int = QUERY_BATCH,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(query_id, vec_id, cosine, place)``: the k vectors closest to each query, ties by id.
 
-    ``queries`` has ``query_id`` and ``query``. Up to a fixed number of queries
-    goes with the tasks, the vectors are read where they lie, and each task
+    ``queries`` has ``query_id`` and ``query``. Up to ``query_batch`` queries
+    go with the tasks, the vectors are read where they lie, and each task
     passes on k rows per query. More queries than that are dealt out in
     blocks, and blocks of queries meet blocks of vectors.
     """
@@ -66,8 +71,8 @@ def most_similar(
     )
     slim = vectors.select(F.col(vector_id).alias("vec_id"), F.col(vector).alias("embedding"))
     asked = queries.select("query_id", "query")
-    few = asked.limit(QUERY_BATCH + 1).collect()
-    if len(few) <= QUERY_BATCH:
+    few = asked.limit(query_batch + 1).collect()
+    if len(few) <= query_batch:
         names = [r["query_id"] for r in few]
         matrix = _unit_rows([r["query"] for r in few]) if few else None
 
@@ -85,8 +90,8 @@ def most_similar(
 
         results = slim.mapInPandas(search, schema)
     else:
-        query_blocks = math.ceil(queries.count() / QUERY_BATCH)
-        vector_blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
+        query_blocks = math.ceil(queries.count() / query_batch)
+        vector_blocks = max(1, math.ceil(vectors.count() / block_rows))
 
         def blocks(column: str, count: int) -> Column:
             return F.pmod(F.xxhash64(column), F.lit(count))
@@ -130,20 +135,27 @@ def _pair_type(id_type: T.DataType) -> T.StructType:
 
 
 def similar_pairs(
-    vectors: DataFrame, threshold: float, vector_id: str = "vec_id", vector: str = "embedding"
+    vectors: DataFrame,
+    threshold: float,
+    vector_id: str = "vec_id",
+    vector: str = "embedding",
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(vec_id, other_id, cosine, copies, other_copies)``: pairs at or over a cosine threshold.
 
     Copies of a vector are one row, named by their smallest id, with their
     number. The angle is a distance, so two vectors within an angle r cannot
     lie in the regions of two pivots unless each is within 2r of the border;
-    only such regions are compared, in blocks of a fixed number of rows.
+    only such regions are compared, in blocks of ``block_rows`` rows. The number of regions grows with the
+    square root of the number of blocks. A low threshold has a wide reach: below about 0.7 (45 degrees) nearly all
+    regions meet, and the work is that of comparing all distinct vectors in blocks.
     """
     single = cut_lineage(distinct_vectors(vectors, vector_id, vector))
     total = single.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], _pair_type(vectors.schema[vector_id].dataType))
-    count = max(1, min(MAX_PIVOTS, total // BLOCK_ROWS))
+    blocks = total // block_rows
+    count = max(1, min(blocks, 16 * math.isqrt(blocks)))
     # Chosen by hash, out of a few times as many, so that no task sends on more than those.
     some = single.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total))) < 8 * count + 16)
     pivots = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()
@@ -172,8 +184,8 @@ def similar_pairs(
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     }
-    homes = [max(1, math.ceil(sizes.get(i, 0) / BLOCK_ROWS)) for i in range(count)]
-    guests = [math.ceil(visits.get(i, 0) / BLOCK_ROWS) for i in range(count)]
+    homes = [max(1, math.ceil(sizes.get(i, 0) / block_rows)) for i in range(count)]
+    guests = [math.ceil(visits.get(i, 0) / block_rows) for i in range(count)]
     # Blocks of a region: first those of its own vectors, then those of visiting ones.
     home_blocks, guest_blocks = F.array(*map(F.lit, homes)), F.array(*map(F.lit, guests))
     spread = F.abs(F.xxhash64("vec_id"))

@@ -252,6 +252,39 @@ def e2(spark, sf_dir):
     return found.withColumn("cosine", F.round("cosine", 8))
 
 
+_TENTH_SQL = f"""
+SELECT query_id, vec_id, round(c, 8) AS cosine, CAST(place AS INT) AS place FROM (
+  SELECT q.vec_id AS query_id, a.vec_id, list_cosine_similarity(q.v, a.v) AS c, row_number() OVER (
+    PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, a.v), 12) DESC, a.vec_id) AS place
+  FROM ({_DOUBLES}) q, ({_DOUBLES}) a WHERE q.vec_id % 10 = 0)
+WHERE place <= 3
+"""
+
+
+@query("E2_most_similar_in_blocks", _TENTH_SQL)
+def e2_blocks(spark, sf_dir):
+    """More queries than go with the tasks: blocks of queries meet blocks of vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = E.most_similar(vectors, queries, 3, query_batch=16, block_rows=128)
+    return found.withColumn("cosine", F.round("cosine", 8))
+
+
+@query(
+    "E2_similar_pairs_in_regions",
+    f"""
+WITH d AS (SELECT v, min(vec_id) AS vec_id, count(*) AS copies FROM ({_DOUBLES}) GROUP BY v)
+SELECT a.vec_id, b.vec_id AS other_id, round(list_cosine_similarity(a.v, b.v), 8) AS cosine, a.copies,
+  b.copies AS other_copies
+FROM d a JOIN d b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.45
+""",
+)
+def e2_regions(spark, sf_dir):
+    """Several regions, and several blocks in each."""
+    pairs = E.similar_pairs(table(spark, sf_dir, "embeddings"), 0.45, block_rows=32)
+    return pairs.withColumn("cosine", F.round("cosine", 8))
+
+
 @query(
     "E2_similar_pairs",
     f"""
