@@ -19,9 +19,27 @@ def _table_pages(spark, sf_dir):
     return P.parse_pages(derived(spark, sf_dir, TABLE_PAGES))
 
 
-@query("H0_shred_html")
+@query(
+    "H0_shred_html",
+    r"""
+SELECT page_id, CAST(generate_subscripts(tags, 1) - 1 AS INT) AS place, unnest(tags) AS tag,
+  replace(regexp_extract(unnest(rest), 'href="([^"]*)"', 1), '&amp;', '&') AS href, true AS nested
+FROM (SELECT page_id, regexp_extract_all(html, '<([a-z][a-z0-9]*)((?: [^>]*)?)>', 1) AS tags,
+  regexp_extract_all(html, '<([a-z][a-z0-9]*)((?: [^>]*)?)>', 2) AS rest FROM pages)
+""",
+)
 def h0(spark, sf_dir):
-    return P.shred_html(_pages(spark, sf_dir)).select("page_id", "pre", "last", "level", "parent", "tag")
+    """The elements of every page in document order; ``nested`` tells that pre, last, level and parent agree with the element around."""
+    nodes = F.col(P.NODES)
+
+    def fits(n):
+        up = F.get(nodes, n["parent"])
+        inside = (up["pre"] < n["pre"]) & (n["last"] <= up["last"]) & (up["level"] + 1 == n["level"]) & (up["tag"] != "#text")
+        return (n["last"] >= n["pre"]) & F.when(n["parent"] < 0, n["level"] == 0).otherwise(inside)
+
+    kept = F.filter(nodes, lambda n: n["tag"] != "#text")
+    told = F.transform(kept, lambda n: F.struct(n["tag"].alias("tag"), F.coalesce(n["attrs"]["href"], F.lit("")).alias("href"), fits(n).alias("nested")))
+    return _pages(spark, sf_dir).select("page_id", F.posexplode(told).alias("place", "e")).select("page_id", "place", "e.*")
 
 
 @query(
