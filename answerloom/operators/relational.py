@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 
 
 def sql_query(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str) -> DataFrame:
-    """Run SQL over tables by name. The names are used as they are, never rewritten."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    """Run SQL over tables by name. The names are used as they are, never rewritten.
+
+    Temporary views of the session with these names are as before when the query has been analysed.
+    """
+    names = {name.lower() for name in tables}
+    own = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name.lower() in names}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(sql)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+        for name, df in own.items():
+            df.createOrReplaceTempView(name)
 
 
 def scalar_answer(df: DataFrame) -> Any:

@@ -63,8 +63,8 @@ def run_append(result: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def run_complete(result: DataFrame, out: str, checkpoint: str) -> None:
-    """Process what is there; the whole result after each batch goes to its own folder.
+def run_update(result: DataFrame, out: str, checkpoint: str) -> None:
+    """Process what is there; the rows that a batch changed go to a folder of its own.
 
     A batch that is run again writes the same folder again.
     """
@@ -73,7 +73,7 @@ def run_complete(result: DataFrame, out: str, checkpoint: str) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
-        result.writeStream.outputMode("complete")
+        result.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -82,10 +82,12 @@ def run_complete(result: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def latest_batch(spark: SparkSession, out: str) -> DataFrame:
-    """The result after the last batch."""
+def latest_rows(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """The result after the last batch: of each key the row of the last batch that changed it."""
     every = spark.read.parquet(out)
-    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+    kept = [c for c in every.columns if c not in (*keys, "batch")]
+    last = every.groupBy(*keys).agg(F.max_by(F.struct(*kept), "batch").alias("__last"))
+    return last.select(*keys, "__last.*")
 
 
 def run_token_budget(
@@ -101,10 +103,9 @@ def run_token_budget(
 ) -> None:
     """Running use per session over the stream; each session is reported once, when it reaches the threshold.
 
-    Per batch the use of each session so far is read from the table the batch
-    before wrote, and the batch's own sums are added. A batch run again reads
-    the same table and writes the same folders. Only sessions that cross in
-    the batch are looked at event by event.
+    A batch writes the use so far of the sessions it has events of, and no others, to a folder of its own; what earlier
+    batches wrote for these sessions is read back, the latest counts. A batch run again reads
+    the same folders and writes the same. Only sessions that cross in the batch are looked at event by event.
     """
     spark = events.sparkSession
     line = float(budget) * threshold if budget > 0 else float("-inf")
@@ -112,23 +113,24 @@ def run_token_budget(
     empty = f"{session} {kind}, used bigint, crossed boolean"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = (
-            spark.read.schema(empty).parquet(f"{out}/state/{batch_id - 1}")
-            if batch_id > 0
-            else spark.createDataFrame([], empty)
-        )
         slim = cut_lineage(batch.select(session, *order, F.col(tokens).alias("tokens")))
+        if batch_id > 0:
+            earlier = spark.read.schema(f"{empty}, batch bigint").parquet(f"{out}/state").where(F.col("batch") < batch_id)
+            earlier = earlier.join(slim.select(session).distinct(), session, "left_semi")
+            latest = earlier.groupBy(session).agg(F.max_by(F.struct("used", "crossed"), "batch").alias("__latest"))
+            before = latest.select(session, "__latest.*")
+        else:
+            before = spark.createDataFrame([], empty)
         sums = slim.groupBy(session).agg(F.sum("tokens").alias("more"))
-        merged = before.join(sums, session, "full").select(
+        merged = sums.join(before, session, "left").select(
             session,
             F.coalesce("used", F.lit(0)).alias("before"),
             (F.coalesce("used", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("used"),
             F.coalesce("crossed", F.lit(False)).alias("was"),
-            (F.col("more").isNotNull()).alias("seen"),
         )
-        now = F.col("was") | (F.col("seen") & (F.col("used") >= line))
-        merged.select(session, "used", now.alias("crossed")).write.mode("overwrite").parquet(f"{out}/state/{batch_id}")
-        state = spark.read.schema(empty).parquet(f"{out}/state/{batch_id}")
+        now = F.col("was") | (F.col("used") >= line)
+        merged.select(session, "used", now.alias("crossed")).write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+        state = spark.read.schema(empty).parquet(f"{out}/state/batch={batch_id}")
         old = before.select(session, F.col("used").alias("__before"), F.col("crossed").alias("__was"))
         crossing = (
             state.where("crossed").select(session).join(old, session, "left").where("NOT coalesce(__was, false)")

@@ -89,11 +89,11 @@ def t4(spark, sf_dir):
     out, checkpoint = stage_path(spark, "rollup"), stage_path(spark, "rollup-checkpoint")
 
     def process(stream):
-        R.run_complete(R.stream_audit_rollup(stream, "user_id", "ts", "event_type", "1 day", "1 day"), out, checkpoint)
+        R.run_update(R.stream_audit_rollup(stream, "user_id", "ts", "event_type", "1 day", "1 day"), out, checkpoint)
 
     _arrive(spark, sf_dir, 2, process)
     times = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "first_at", "last_at")}
-    return R.latest_batch(spark, out).withColumns(times).drop("window_end")
+    return R.latest_rows(spark, out, ["user_id", "window_start", "window_end"]).withColumns(times).drop("window_end")
 
 
 @query(
