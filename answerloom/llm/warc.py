@@ -192,16 +192,17 @@ def read_records(index: DataFrame) -> DataFrame:
 def deduplicated(pages: DataFrame, html: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """Pages as (page_id, url, payload, refers_to): of equal payloads of ``least`` bytes or more, the largest id is kept, others refer to it.
 
-    Groups are found on digests and lengths alone; a group of any size is one maximum, added up before the
-    shuffle, and its pages meet it in a join that AQE may split.
+    Groups are found on ids, digests and lengths alone; a group of any size is one maximum, added up before the
+    shuffle, and its pages meet it in a join that AQE may split. Payloads meet only what they refer to, by page.
     """
     payload = F.coalesce(F.col(html).cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select("page_id", "url", payload.alias("payload"))
-    rows = rows.withColumns({"_sha": F.sha1("payload"), "_size": F.octet_length("payload")})
-    kept = rows.where(F.col("_size") >= least).groupBy("_sha", "_size").agg(F.max("page_id").alias("_kept"), F.count("*").alias("_n"))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"_sha": F.sha1("payload"), "_size": F.octet_length("payload")})
+    marks = rows.select("page_id", "_sha", "_size").where(F.col("_size") >= least)
+    kept = marks.groupBy("_sha", "_size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("_n"))
     kept = kept.where("_n > 1").drop("_n")  # only payloads that occur twice need the join
-    joined = rows.join(kept, ["_sha", "_size"], "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("_kept") != F.col("page_id"), F.col("_kept")).alias("refers_to"))
+    revisits = marks.join(kept, ["_sha", "_size"]).where("page_id <> refers_to").distinct()
+    joined = rows.join(revisits, ["page_id", "_sha", "_size"], "left")
+    return joined.select("page_id", "url", "payload", "refers_to")
 
 
 def archive(pages: DataFrame, files: int | None = None) -> DataFrame:
@@ -215,8 +216,8 @@ def archive(pages: DataFrame, files: int | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = stage_path(spark, "warc")
     parts = files or max(1, 2 * spark.sparkContext.defaultParallelism)
-    rows = deduplicated(pages).repartition(parts)
-    mono = cut_lineage(write_archives(rows, folder))
+    rows = deduplicated(pages)
+    mono = cut_lineage(write_archives(rows if files is None else rows.repartition(files), folder))
     return cut_lineage(normalise(mono.repartition(parts), folder))
 
 
