@@ -38,11 +38,11 @@ def _in_many_ranges(name: str) -> Query:
     """The query with its ordered computations cut in ranges, as on a table of many GB."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        size, ranges.RANGE_BYTES = ranges.RANGE_BYTES, 16 * 1024
+        counted, ranges.range_count = ranges.range_count, lambda df: 24
         try:
             return QUERIES[name](spark, sf_dir)
         finally:
-            ranges.RANGE_BYTES = size
+            ranges.range_count = counted
 
     return run
 
