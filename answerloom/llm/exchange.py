@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm.texts import blocks, flat
+from answerloom.llm.texts import blocks, flat, release
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -95,6 +95,7 @@ def back_to_blocks(df: DataFrame, answers: DataFrame, finish: Callable[[int, pa.
         rows = [r for r in group["rows"].to_pylist() if r is not None]
         if len(rows) != 1:
             raise ValueError("blocks differ between two readings of the same rows; write the input to a table first")
+        release()
         return finish(group["block"][0].as_py(), from_ipc(rows[0]), [a for a in group["answer"].to_pylist() if a is not None])
 
     return sides.groupBy("block").applyInArrow(run, schema)

@@ -13,10 +13,10 @@ from answerloom.llm.components import components
 from answerloom.llm.exchange import (
     back_to_blocks, bucket_count, fingerprint, numbered, press, press_planes, press_steps, unpress, unpress_planes, unpress_steps,
 )
-from answerloom.llm.texts import flat, grams, hashes, lower_ascii, mix, ranges, words
+from answerloom.llm.texts import flat, grams, hashes, lower_ascii, mix, ranges, release, words
 from answerloom.plans.staging import cut_lineage
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 PART = 20_000  # sets compared in one task
 _S32 = np.uint64(32)
 
@@ -237,6 +237,7 @@ def _compare(num: int, den: int):
     """
 
     def run(group: pa.Table) -> pa.Table:
+        release()
         sets = [unpress_planes(x) for x in group["sets"].to_pylist()]
         node = group["node"].to_numpy()
         side = group["slice"].to_numpy()

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from answerloom.llm.exchange import (
     back_to_blocks, bucket_count, numbered, press, press_planes, press_steps, unpress, unpress_planes, unpress_steps,
 )
-from answerloom.llm.texts import Words, flat, hashes, lower_ascii, words
+from answerloom.llm.texts import Words, flat, hashes, lower_ascii, release, words
 from answerloom.plans.staging import cut_lineage
 
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 DISCOUNTED = 5  # counts up to this are discounted
 FOLDS, HELD_OUT = 7, 2
 BEGIN = 0  # the history at a text's begin; a word's number is its id + 1
@@ -256,6 +256,7 @@ def _count_pairs(totals: Totals, buckets: int):
     """
 
     def run(group: pa.Table) -> pa.Table:
+        release()
         rows = group.to_pylist()
         empty = {c: [None] * len(rows) for c in ("ids", "sums", "state", "answer", "pairs", "hot")}
         if rows[0]["bucket"] >= buckets:

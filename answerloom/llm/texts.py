@@ -7,6 +7,7 @@ the distinct words of a block ever become Python objects.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 16 << 20  # text of one block; a longer single text is a block of its own
+BLOCK_BYTES = 4 << 20  # text of one block; a longer single text is a block of its own
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,6 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks and share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Regroups rows so that each block holds at most ``most`` bytes of text (null: none), or one row.
 
@@ -53,8 +62,11 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             if begin < len(total):
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
+                release()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    del held
+    release()
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
