@@ -68,7 +68,7 @@ def numbered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterato
 
 def to_ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 

@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 from answerloom.llm.exchange import (
     back_to_blocks, bucket_count, fingerprint, numbered, press, press_planes, press_steps, unpress, unpress_planes, unpress_steps,
 )
-from answerloom.llm.texts import flat, mix, ranges, strings
+from answerloom.llm.texts import flat, mix, ranges, release, strings
 
 LENGTH = 50  # bytes of a repeated string
 TRIGGER = 20  # bytes hashed to place phrase borders
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+SORTED = 2 << 20  # bytes of phrases whose suffixes are sorted at a time
 
 _CODES = np.random.default_rng(50).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -160,37 +161,54 @@ def repeated_strings(doc: np.ndarray, phrase: np.ndarray, data: np.ndarray, at:
     # phrases alone with their trigger: whole
     occurrence = np.flatnonzero(alone[phrase] & (doc > low[phrase]))
     out = [(occurrence, np.zeros(len(occurrence), np.int64), length[phrase[occurrence]] - n + 1)]
+    # the others: equal strings have equal triggers, so groups are sorted some MB at a time
     picked = np.flatnonzero(several)
-    if len(picked):
-        size = length[picked]
-        sub = np.concatenate(([0], np.cumsum(size)))
-        text = data[ranges(at[picked], size)]
-        count = size - n + 1
-        places = ranges(sub[:-1], count)
-        rank = suffix_ranks(text, n, places)
-        first = np.full(int(rank.max()) + 1, _NO_ID)
-        np.minimum.at(first, rank, np.repeat(low[picked], count))
-        smallest = first[rank]
-        string_at = np.zeros(len(length), np.int64)
-        string_at[picked] = np.cumsum(count) - count
-        strings_of = np.zeros(len(length), np.int64)
-        strings_of[picked] = count
-        occurrence = np.flatnonzero(several[phrase])
-        many = strings_of[phrase[occurrence]]
-        own = np.repeat(occurrence, many)
-        nth = ranges(np.zeros(len(occurrence), np.int64), many)
-        gone = np.flatnonzero(doc[own] > smallest[string_at[phrase[own]] + nth])
-        if len(gone):
-            fresh = np.ones(len(gone), bool)
-            fresh[1:] = (np.diff(gone) != 1) | (own[gone[1:]] != own[gone[:-1]])
-            start = np.flatnonzero(fresh)
-            stop = np.append(start[1:], len(gone)) - 1
-            out.append((own[gone[start]], nth[gone[start]], nth[gone[stop]] + 1))
+    picked = picked[np.argsort(group[picked], kind="stable")]
+    occurrence = np.flatnonzero(several[phrase])
+    occurrence = occurrence[np.argsort(group[phrase[occurrence]], kind="stable")]
+    ends = np.flatnonzero(np.diff(group[picked], append=groups)) + 1
+    done = np.cumsum(length[picked])[ends - 1] if len(ends) else ends
+    begin, low_at = 0, 0
+    while begin < len(picked):
+        last = max(int(np.searchsorted(done, low_at + SORTED, "right")) - 1, int(np.searchsorted(ends, begin, "right")))
+        some = picked[begin : ends[last]]
+        inside = slice(*np.searchsorted(group[phrase[occurrence]], [group[some[0]], group[some[-1]] + 1]))
+        found = _sorted_strings(doc, phrase, occurrence[inside], data, at, low, some, n)
+        if found is not None:
+            out.append(found)
+        begin, low_at = int(ends[last]), int(done[last])
     return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
+def _sorted_strings(doc, phrase, occurrence, data, at, low, picked, n) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """``repeated_strings`` for the ``picked`` phrases and their occurrences, by a suffix array of these phrases."""
+    size = np.diff(at)[picked]
+    sub = np.concatenate(([0], np.cumsum(size)))
+    text = data[ranges(at[picked], size)]
+    count = size - n + 1
+    rank = suffix_ranks(text, n, ranges(sub[:-1], count))
+    first = np.full(int(rank.max()) + 1, _NO_ID)
+    np.minimum.at(first, rank, np.repeat(low[picked], count))
+    smallest = first[rank]
+    string_at = np.cumsum(count) - count
+    order = np.argsort(picked)
+    nth_phrase = order[np.searchsorted(picked, phrase[occurrence], sorter=order)]
+    many = count[nth_phrase]
+    own = np.repeat(occurrence, many)
+    nth = ranges(np.zeros(len(occurrence), np.int64), many)
+    gone = np.flatnonzero(doc[own] > smallest[np.repeat(string_at[nth_phrase], many) + nth])
+    if not len(gone):
+        return None
+    fresh = np.ones(len(gone), bool)
+    fresh[1:] = (np.diff(gone) != 1) | (own[gone[1:]] != own[gone[:-1]])
+    start = np.flatnonzero(fresh)
+    stop = np.append(start[1:], len(gone)) - 1
+    return own[gone[start]], nth[gone[start]], nth[gone[stop]] + 1
+
+
 def _answer(n: int, k: int):
     def run(group: pa.Table) -> pa.Table:
+        release()
         docs, begins, phrases, texts, lengths, triggers, owner, marks = [], [], [], [], [], [], [], []
         known: int = 0
         rows = group.to_pylist()
@@ -205,15 +223,19 @@ def _answer(n: int, k: int):
             begins.append(unpress_steps(row["begins"]))
             phrases.append(code + known)
             known += int(fresh.sum())
-            texts.append(unpress(row["text"], np.uint8))
+            texts.append(unpress(row.pop("text"), np.uint8))
             lengths.append(length[fresh])
             triggers.append(trigger[fresh])
             owner.append(np.full(len(doc), i))
-        doc, begin, phrase, data, length, trigger, owner = map(np.concatenate, (docs, begins, phrases, texts, lengths, triggers, owner))
+        data = np.concatenate(texts)
+        texts.clear()
+        doc, begin, phrase, length, trigger, owner = map(np.concatenate, (docs, begins, phrases, lengths, triggers, owner))
         at = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
         coded = strings(data, at).dictionary_encode()  # one dictionary over all blocks
+        del data
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         data, at = flat(coded.dictionary)
+        release()
         places = np.zeros(len(at) - 1, np.int64)
         places[code] = trigger
         occurrence, first, last = repeated_strings(doc, code[phrase], data, at, places, n, k)
