@@ -18,6 +18,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # equals the runs of [0-9a-f]+ that have 32 or more
 KINDS = ("assign", "access", "hex", "markov")
 _CUE = re.compile(rb"password|passwd|secret|token|api_?key", re.I)
+_LONG_HEX, _KEY = re.compile(rb"[0-9a-f]{32,}"), re.compile(rb"AKIA")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.zeros(256, np.int64)
 for _i, _c in enumerate(_ALPHABET.encode()):
@@ -160,14 +161,17 @@ def _markov_spans(data: np.ndarray, offsets: np.ndarray, model: Markov) -> list[
 def spans_of(texts: list[str], data: np.ndarray, offsets: np.ndarray, model: Markov) -> list[list[tuple[int, str, int]]]:
     """All spans of every text in order: base ones, and those that only the models find (no byte shared with a base span)."""
     found: list[list[tuple[int, str, int]]] = []
-    raw = data.tobytes()
-    cues = np.array([m.start() for m in _CUE.finditer(raw)], np.int64)
-    hot = set((np.searchsorted(offsets, cues, "right") - 1).tolist())
-    hexes = np.array([m.start() for m in re.finditer(rb"[0-9a-f]{32,}", raw)], np.int64)
-    hexed = set((np.searchsorted(offsets, hexes, "right") - 1).tolist()) | set((np.searchsorted(offsets, hexes + 31, "right") - 1).tolist())
-    keys = set((np.searchsorted(offsets, np.array([m.start() for m in re.finditer(rb"AKIA", raw)], np.int64), "right") - 1).tolist())
+    size = np.diff(offsets)
+    joined = np.full(len(data) + len(size), 0x0A, np.uint8)  # a newline after each text: no match of the prefilter crosses it
+    joined[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
+    raw = joined.tobytes()
+    begins = offsets[:-1] + np.arange(len(size))
+    hot: set[int] = set()
+    for pattern in (_CUE, _LONG_HEX, _KEY):
+        places = np.array([m.start() for m in pattern.finditer(raw)], np.int64)
+        hot.update((np.searchsorted(begins, places, "right") - 1).tolist())
     for i, text in enumerate(texts):
-        found.append(base_spans(text) if i in hot or i in keys or i in hexed else [])
+        found.append(base_spans(text) if i in hot else [])
     for doc, a, b in _markov_spans(data, offsets, model):
         lo = int(offsets[doc])
         start = len(data[lo:a].tobytes().decode())
