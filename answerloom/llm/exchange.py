@@ -57,13 +57,23 @@ def fingerprint(data: np.ndarray, offsets: np.ndarray) -> int:
     return (len(offsets) << 32) ^ zlib.crc32(np.ascontiguousarray(data))
 
 
+PLACE_BITS, ROW_BITS = 21, 21  # of a block in its partition, and of a row in its block; 21 more are left for the partition
+
+
+def block_number(part: int, place: int) -> int:
+    """The number of a block; with a row's place below it, still a long."""
+    if part >> (63 - PLACE_BITS - ROW_BITS) or place >> PLACE_BITS:
+        raise ValueError(f"block {place} of partition {part} has no number of 63 bits with its rows")
+    return (part << PLACE_BITS) + place
+
+
 def numbered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray]]:
     """(number, rows, bytes, offsets) of every block of this task's partition."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     for place, table in enumerate(blocks(batches, text, most)):
-        yield ((part << 32) + place, table, *flat(table[text]))
+        yield (block_number(part, place), table, *flat(table[text]))
 
 
 def to_ipc(table: pa.Table) -> bytes:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.components import components
 from answerloom.llm.exchange import (
-    back_to_blocks, bucket_count, fingerprint, numbered, press, press_planes, press_steps, unpress, unpress_planes, unpress_steps,
+    ROW_BITS, back_to_blocks, bucket_count, fingerprint, numbered, press, press_planes, press_steps, unpress, unpress_planes, unpress_steps,
 )
 from answerloom.llm.texts import flat, grams, hashes, lower_ascii, mix, ranges, release, words
 from answerloom.plans.staging import cut_lineage
@@ -142,7 +142,7 @@ def _prefixes(buckets: int, num: int, den: int):
                 docs.append(unpress_planes(rest[a : a + b]).astype(np.int64))
                 counts.append(unpress(rest[a + b :], np.uint8))
                 where.append(np.full(len(lists[-1]), bucket))
-        columns = {"node": (block << 24) + np.arange(len(size)), "id": ids, "size": size, "first": first, "second": second}
+        columns = {"node": (block << ROW_BITS) + np.arange(len(size)), "id": ids, "size": size, "first": first, "second": second}
         out = [pa.table({**{c: pa.array(v, pa.int64(), mask=(valid == 0) if c == "id" else None) for c, v in columns.items()}, "bucket": pa.nulls(len(size), pa.int32()), "hashes": pa.nulls(len(size), pa.binary()), "nodes": pa.nulls(len(size), pa.binary())})]
         if lists:
             doc, value, count, where = map(np.concatenate, (docs, lists, counts, where))
@@ -163,7 +163,7 @@ def _prefixes(buckets: int, num: int, den: int):
                     {
                         "node": none, "id": none, "size": none, "first": none, "second": none, "bucket": pa.array(full, pa.int32()),
                         "hashes": pa.array([press_steps(value[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
-                        "nodes": pa.array([press_planes((block << 24) + doc[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
+                        "nodes": pa.array([press_planes((block << ROW_BITS) + doc[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
                     }
                 )
             )
@@ -294,7 +294,7 @@ def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int
     sizes = wanted.groupBy("root").agg(F.count("*").alias("sets")).where("sets > 1")
     wanted = wanted.join(sizes, "root").withColumn("slices", F.ceil(F.col("sets") / part).cast("int"))
     wanted = wanted.withColumn("slice", F.pmod(F.xxhash64("lead"), F.col("slices")).cast("int"))
-    wanted = cut_lineage(wanted.withColumn("block", F.shiftright("lead", 24)))
+    wanted = cut_lineage(wanted.withColumn("block", F.shiftright("lead", ROW_BITS)))
 
     def ask(group: pa.Table) -> pa.Table:
         columns = [np.asarray(group[c], np.int64) for c in ("lead", "copies", "root", "slices", "slice")]
@@ -306,7 +306,7 @@ def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int
             lead, copies, root, slices, slice_ = unpress(answers[0], np.int64).reshape(5, -1)
             data, offsets = flat(table[text])
             value, at = shingles(data, offsets, n)
-            for i, doc in enumerate((lead & ((1 << 24) - 1)).tolist()):
+            for i, doc in enumerate((lead & ((1 << ROW_BITS) - 1)).tolist()):
                 out.append((lead[i], copies[i], root[i], slices[i], slice_[i], press_planes(value[at[doc] : at[doc + 1]])))
         columns = list(zip(*out)) or [()] * 6
         names = ["node", "copies", "root", "slices", "slice", "sets"]
@@ -369,7 +369,7 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", n:
 
     def pick(_: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
         nodes = unpress(answers[0], np.int64) if answers else np.zeros(0, np.int64)
-        return table.take(pa.array(nodes & ((1 << 24) - 1)))
+        return table.take(pa.array(nodes & ((1 << ROW_BITS) - 1)))
 
-    answers = kept.withColumn("block", F.shiftright("node", 24)).groupBy("block").applyInArrow(ask, "block long, answer binary")
+    answers = kept.withColumn("block", F.shiftright("node", ROW_BITS)).groupBy("block").applyInArrow(ask, "block long, answer binary")
     return back_to_blocks(df, answers, pick, df.schema, text, most)

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 4 << 20  # text of one block; a longer single text is a block of its own
+BLOCK_ROWS = 1 << 20  # rows of one block, as empty texts have no bytes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,25 +44,27 @@ def release() -> None:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Regroups rows so that each block holds at most ``most`` bytes of text (null: none), or one row.
+    """Regroups rows so that each block holds at most ``most`` bytes of text (null: none), or one row, and BLOCK_ROWS rows.
 
     Where blocks end depends on the rows alone, not on the batches they come in.
     """
-    held, size = [], 0
+    held, size, rows = [], 0, 0
     for batch in batches:
         total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
         begin, before = 0, 0
         while begin < len(total):
             end = int(np.searchsorted(total, before + most - size, "right"))
+            end = min(end, begin + BLOCK_ROWS - rows)
             if not held and end <= begin:
                 end = begin + 1
             if end > begin:
                 held.append(batch.slice(begin, end - begin))
                 size += int(total[end - 1]) - before
+                rows += end - begin
                 begin, before = end, int(total[end - 1])
             if begin < len(total):
                 yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
+                held, size, rows = [], 0, 0
                 release()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
