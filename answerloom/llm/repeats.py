@@ -19,6 +19,7 @@ LENGTH = 50  # bytes of a repeated string
 TRIGGER = 20  # bytes hashed to place phrase borders
 BLOCK = 4 << 20
 SORTED = 2 << 20  # bytes of phrases whose suffixes are sorted at a time
+SPREAD = 2 << 20  # strings of occurrences looked at at a time
 
 _CODES = np.random.default_rng(50).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -77,6 +78,22 @@ def parse(data: np.ndarray, offsets: np.ndarray, n: int, k: int) -> tuple[np.nda
     return begin, starts[last] - begin + n, trigger[first] - begin, hashed[trigger[first]], doc
 
 
+def runs_of(data: np.ndarray, begin: np.ndarray, length: np.ndarray, trigger: np.ndarray, hashed: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which phrases of ``parse`` to send, and how many times each stands there in a row, one step of its own strings apart.
+
+    In a text of a short period (one byte again and again) every phrase equals the next one, a
+    step on: one entry stands for all of them, and nothing is expanded to tell.
+    """
+    step = length - n + 1  # strings in the phrase
+    like = (np.diff(begin) == step[:-1]) & (doc[1:] == doc[:-1]) & (length[1:] == length[:-1]) & (trigger[1:] == trigger[:-1]) & (hashed[1:] == hashed[:-1])
+    for p in np.unique(step[:-1][like]).tolist():
+        of = np.flatnonzero(like & (step[:-1] == p))
+        differ = np.concatenate(([0], np.cumsum(data[:-p] != data[p:], dtype=np.int32)))
+        like[of] = differ[begin[of] + length[of]] == differ[begin[of]]
+    first = np.flatnonzero(np.concatenate(([True], ~like))) if len(begin) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(begin)))
+
+
 def suffix_ranks(data: np.ndarray, n: int, places: np.ndarray) -> np.ndarray:
     """Ranks, in suffix order to depth n, of the suffixes of ``data`` at ``places``; equal ranks share n bytes.
 
@@ -97,7 +114,7 @@ def suffix_ranks(data: np.ndarray, n: int, places: np.ndarray) -> np.ndarray:
     return np.unique(key, return_inverse=True)[1]
 
 
-_SENT = "bucket int, block long, print long, docs binary, begins binary, lengths binary, triggers binary, fresh binary, again binary, text binary"
+_SENT = "bucket int, block long, print long, docs binary, begins binary, lengths binary, times binary, triggers binary, fresh binary, again binary, text binary"
 
 
 def _send(id_column: str, text: str, n: int, k: int, buckets: int, most: int):
@@ -107,6 +124,8 @@ def _send(id_column: str, text: str, n: int, k: int, buckets: int, most: int):
             begin, length, trigger, hashed, doc = parse(data, offsets, n, k)
             if not len(begin):
                 continue
+            lead, times = runs_of(data, begin, length, trigger, hashed, doc, n)
+            begin, length, trigger, hashed, doc = (x[lead] for x in (begin, length, trigger, hashed, doc))
             bucket = (hashed % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -121,6 +140,7 @@ def _send(id_column: str, text: str, n: int, k: int, buckets: int, most: int):
                     {
                         "bucket": pa.array([b], pa.int32()), "block": [block], "print": [mark], "docs": [press_steps(ids[doc[own]])],
                         "begins": [press_steps(begin[own])], "lengths": [press(length[own].astype(np.uint8))],
+                        "times": [press_planes(times[own])],
                         "triggers": [press(trigger[own].astype(np.uint8))], "fresh": [press(np.packbits(fresh))],
                         "again": [press_planes(code[~fresh])], "text": [press(flat(coded.dictionary)[0])],
                     }
@@ -194,22 +214,29 @@ def _sorted_strings(doc, phrase, occurrence, data, at, low, picked, n) -> tuple[
     order = np.argsort(picked)
     nth_phrase = order[np.searchsorted(picked, phrase[occurrence], sorter=order)]
     many = count[nth_phrase]
-    own = np.repeat(occurrence, many)
-    nth = ranges(np.zeros(len(occurrence), np.int64), many)
-    gone = np.flatnonzero(doc[own] > smallest[np.repeat(string_at[nth_phrase], many) + nth])
-    if not len(gone):
-        return None
-    fresh = np.ones(len(gone), bool)
-    fresh[1:] = (np.diff(gone) != 1) | (own[gone[1:]] != own[gone[:-1]])
-    start = np.flatnonzero(fresh)
-    stop = np.append(start[1:], len(gone)) - 1
-    return own[gone[start]], nth[gone[start]], nth[gone[stop]] + 1
+    out = []
+    ends = np.cumsum(many)
+    begin = 0
+    while begin < len(occurrence):  # some million strings at a time
+        stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] - many[begin] + SPREAD, "right")))
+        some = slice(begin, stop)
+        own = np.repeat(occurrence[some], many[some])
+        nth = ranges(np.zeros(stop - begin, np.int64), many[some])
+        gone = np.flatnonzero(doc[own] > smallest[np.repeat(string_at[nth_phrase[some]], many[some]) + nth])
+        if len(gone):
+            fresh = np.ones(len(gone), bool)
+            fresh[1:] = (np.diff(gone) != 1) | (own[gone[1:]] != own[gone[:-1]])
+            at_first = np.flatnonzero(fresh)
+            at_last = np.append(at_first[1:], len(gone)) - 1
+            out.append((own[gone[at_first]], nth[gone[at_first]], nth[gone[at_last]] + 1))
+        begin = stop
+    return tuple(np.concatenate(parts) for parts in zip(*out)) if out else None
 
 
 def _answer(n: int, k: int):
     def run(group: pa.Table) -> pa.Table:
         release()
-        docs, begins, phrases, texts, lengths, triggers, owner, marks = [], [], [], [], [], [], [], []
+        docs, begins, phrases, texts, lengths, triggers, owner, further = [], [], [], [], [], [], [], []
         known: int = 0
         rows = group.to_pylist()
         for i, row in enumerate(rows):
@@ -221,6 +248,7 @@ def _answer(n: int, k: int):
             code[~fresh] = unpress_planes(row["again"])
             docs.append(doc)
             begins.append(unpress_steps(row["begins"]))
+            further.append((unpress_planes(row["times"]).astype(np.int64) - 1) * (length.astype(np.int64) - n + 1))
             phrases.append(code + known)
             known += int(fresh.sum())
             texts.append(unpress(row.pop("text"), np.uint8))
@@ -229,7 +257,7 @@ def _answer(n: int, k: int):
             owner.append(np.full(len(doc), i))
         data = np.concatenate(texts)
         texts.clear()
-        doc, begin, phrase, length, trigger, owner = map(np.concatenate, (docs, begins, phrases, lengths, triggers, owner))
+        doc, begin, phrase, length, trigger, owner, more = map(np.concatenate, (docs, begins, phrases, lengths, triggers, owner, further))
         at = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
         coded = strings(data, at).dictionary_encode()  # one dictionary over all blocks
         del data
@@ -239,7 +267,8 @@ def _answer(n: int, k: int):
         places = np.zeros(len(at) - 1, np.int64)
         places[code] = trigger
         occurrence, first, last = repeated_strings(doc, code[phrase], data, at, places, n, k)
-        start, stop, owner = begin[occurrence] + first, begin[occurrence] + last - 1 + n, owner[occurrence]
+        # the strings of a run's phrases overlap, as a phrase has fewer than n: one span to the last of them
+        start, stop, owner = begin[occurrence] + first, begin[occurrence] + more[occurrence] + last - 1 + n, owner[occurrence]
         out = []
         order = np.lexsort((start, owner))
         start, stop, owner = start[order], stop[order], owner[order]
@@ -282,7 +311,7 @@ def remove_repeats(
     each other anything; rows without an id come after all others. An empty table gives none.
 
     Two exchanges: phrases go to the bucket of their trigger's hash, each distinct phrase once per
-    block however often it stands there, and spans come back to their blocks. ``df`` is read twice and
+    block however often it stands there and once for a run of it in a row, and spans come back to their blocks. ``df`` is read twice and
     must be a plain scan of a table; blocks that differ raise. A phrase with many occurrences costs its
     bucket only numbers.
     """

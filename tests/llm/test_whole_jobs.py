@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from answerloom.llm import exchange, jaccard, secrets, texts
+from answerloom.llm import exchange, jaccard, repeats, secrets, texts
 from answerloom.llm.texts import flat
 
 
@@ -43,3 +43,49 @@ def test_blocks_of_empty_texts_have_bounded_rows(monkeypatch):
     batches = [pa.RecordBatch.from_pydict({"text": pa.array([""] * n, pa.string())}) for n in (4, 25, 3, 0, 7)]
     assert [len(t) for t in texts.blocks(iter(batches))] == [10, 10, 10, 9]
     assert texts.BLOCK_ROWS <= 1 << exchange.ROW_BITS
+
+
+def kept_of(rows, n):
+    """Id and what is left of each text; every string's smallest document by a plain table."""
+    least = {}
+    for i, t in rows:
+        for k in range(len(t) - n + 1):
+            least[t[k : k + n]] = min(i, least.get(t[k : k + n], i))
+    out = []
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for k in range(len(t) - n + 1):
+            if least[t[k : k + n]] < i:
+                gone[k : k + n] = b"\1" * n
+        out.append((i, "".join(c for c, g in zip(t, gone) if not g)))
+    return Counter(out)
+
+
+def test_runs_are_one_entry():
+    text = b"begin " + b"ab-" * 40_000 + b" then " + b"x" * 100_000 + bytes(range(65, 91)) * 3_000 + b" end"
+    data, offsets = np.frombuffer(text, np.uint8), np.int64([0, len(text)])
+    parsed = repeats.parse(data, offsets, 50, 20)
+    lead, times = repeats.runs_of(data, *parsed, 50)
+    assert len(lead) < 100 < 100_000 < len(parsed[0]) and times.sum() == len(parsed[0])
+    begin, length = parsed[0], parsed[1]
+    for i, m in zip(lead.tolist(), times.tolist()):
+        for j in {i, i + m // 2, i + m - 1}:
+            assert begin[j] == begin[i] + (j - i) * (length[i] - 49)
+            assert text[begin[j] : begin[j] + length[j]] == text[begin[i] : begin[i] + length[i]]
+
+
+def test_repeats_of_runs(spark, table, monkeypatch):
+    monkeypatch.setattr(repeats, "SPREAD", 7)
+    rows = [
+        (5, "x" * 700 + "tail"), (3, "a" + "x" * 90), (9, "x" * 49 + "y" + "x" * 300), (2, "ab" * 100), (6, "ab" * 300 + "c" + "ba" * 40), (8, "-=" * 25 + "x" * 51),
+        (4, "abcdefghijklmnopqrstuvwxyzABCDE" * 9), (7, "Z" + "abcdefghijklmnopqrstuvwxyzABCDE" * 20), (10, "q" * 400), (11, "w" * 50 + "q" * 200 + "w" * 60), (12, "abcdefghijklmnopqrstuvwxyzABCDEF" * 9),
+        (13, "abcdefghijklmnopqrstuvwxyzABCDEF" * 12 + "w" * 50),
+    ]
+    for most in (100, 100_000):
+        got = repeats.remove_repeats(table(rows), most=most).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == kept_of(rows, 50)
+    doc, at = np.int64([0, 1, 1, 2]), np.int64([0, 60, 120])
+    words = np.frombuffer(bytes(range(60, 120)) + bytes(range(40, 70)) + bytes(range(60, 90)), np.uint8)
+    whole = repeats.repeated_strings(doc, np.int64([0, 0, 1, 1]), words, at, np.int64([0, 30]), 50, 20)
+    monkeypatch.setattr(repeats, "SPREAD", 1 << 21)
+    assert all((a == b).all() for a, b in zip(whole, repeats.repeated_strings(doc, np.int64([0, 0, 1, 1]), words, at, np.int64([0, 30]), 50, 20)))
