@@ -57,6 +57,16 @@ def fingerprint(data: np.ndarray, offsets: np.ndarray) -> int:
     return (len(offsets) << 32) ^ zlib.crc32(np.ascontiguousarray(data))
 
 
+DIFFER = "blocks differ between two readings of the same rows; write the input to a table first"
+
+
+def signed(data: np.ndarray, offsets: np.ndarray, answer: bytes) -> bytes:
+    """An answer that begins with the fingerprint of its block's first reading, without it; raises if this is another block."""
+    if np.frombuffer(answer, np.int64, 1)[0] != fingerprint(data, offsets):
+        raise ValueError(DIFFER)
+    return answer[8:]
+
+
 PLACE_BITS, ROW_BITS = 21, 21  # of a block in its partition, and of a row in its block; 21 more are left for the partition
 
 
@@ -104,7 +114,7 @@ def back_to_blocks(df: DataFrame, answers: DataFrame, finish: Callable[[int, pa.
     def run(group: pa.Table) -> pa.Table:
         rows = [r for r in group["rows"].to_pylist() if r is not None]
         if len(rows) != 1:
-            raise ValueError("blocks differ between two readings of the same rows; write the input to a table first")
+            raise ValueError(DIFFER)
         release()
         return finish(group["block"][0].as_py(), from_ipc(rows[0]), [a for a in group["answer"].to_pylist() if a is not None])
 

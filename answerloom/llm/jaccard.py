@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.components import components
 from answerloom.llm.exchange import (
-    ROW_BITS, back_to_blocks, bucket_count, fingerprint, numbered, press, press_planes, press_steps, unpress, unpress_planes, unpress_steps,
+    DIFFER, ROW_BITS, back_to_blocks, bucket_count, fingerprint, numbered, press, press_planes, press_steps, signed, unpress, unpress_planes,
+    unpress_steps,
 )
 from answerloom.llm.texts import flat, grams, hashes, lower_ascii, mix, ranges, release, words
 from answerloom.plans.staging import cut_lineage
@@ -118,7 +119,7 @@ def _shared(buckets: int):
     return run
 
 
-_PREFIX = "node long, id long, size long, first long, second long, bucket int, hashes binary, nodes binary"
+_PREFIX = "node long, id long, size long, first long, second long, bucket int, hashes binary, nodes binary, print long"
 
 
 def _prefixes(buckets: int, num: int, den: int):
@@ -142,8 +143,9 @@ def _prefixes(buckets: int, num: int, den: int):
                 docs.append(unpress_planes(rest[a : a + b]).astype(np.int64))
                 counts.append(unpress(rest[a + b :], np.uint8))
                 where.append(np.full(len(lists[-1]), bucket))
+        prints = pa.array([int(np.frombuffer(info, np.int64, 1)[0]), *[None] * (len(size) - 1)], pa.int64())  # with the first row
         columns = {"node": (block << ROW_BITS) + np.arange(len(size)), "id": ids, "size": size, "first": first, "second": second}
-        out = [pa.table({**{c: pa.array(v, pa.int64(), mask=(valid == 0) if c == "id" else None) for c, v in columns.items()}, "bucket": pa.nulls(len(size), pa.int32()), "hashes": pa.nulls(len(size), pa.binary()), "nodes": pa.nulls(len(size), pa.binary())})]
+        out = [pa.table({**{c: pa.array(v, pa.int64(), mask=(valid == 0) if c == "id" else None) for c, v in columns.items()}, "bucket": pa.nulls(len(size), pa.int32()), "hashes": pa.nulls(len(size), pa.binary()), "nodes": pa.nulls(len(size), pa.binary()), "print": prints})]
         if lists:
             doc, value, count, where = map(np.concatenate, (docs, lists, counts, where))
             shared = np.bincount(doc, minlength=len(size))
@@ -164,6 +166,7 @@ def _prefixes(buckets: int, num: int, den: int):
                         "node": none, "id": none, "size": none, "first": none, "second": none, "bucket": pa.array(full, pa.int32()),
                         "hashes": pa.array([press_steps(value[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
                         "nodes": pa.array([press_planes((block << ROW_BITS) + doc[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
+                        "print": none,
                     }
                 )
             )
@@ -269,8 +272,8 @@ def _compare(num: int, den: int):
     return run
 
 
-def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int, most: int, part: int) -> DataFrame:
-    """Per row: node (block and place), id, size, root (a node of its component), component_id, n_links.
+def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int, most: int, part: int) -> tuple[DataFrame, DataFrame]:
+    """Per row: node (block and place), id, size, root (a node of its component), component_id, n_links. And per block its fingerprint.
 
     1. Blocks send each distinct set's hashes to buckets, which return those that two sets or more
        have. A document with fewer of these than its least overlap has no partner.
@@ -285,6 +288,7 @@ def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int
     shared = sent.groupBy("bucket").applyInArrow(_shared(buckets), "block long, kind int, answer binary")
     told = cut_lineage(shared.groupBy("block").applyInArrow(_prefixes(buckets, num, den), _PREFIX))
     docs = told.where("node is not null").select("node", "id", "size", "first", "second")
+    marks = told.where("print is not null").select(F.shiftright("node", ROW_BITS).alias("block"), "print")
     stars = told.where("bucket is not null").groupBy("bucket").applyInArrow(_neighbours, "a long, b long")
     groups = cut_lineage(components(stars))
     key = ["size", "first", "second"]
@@ -298,13 +302,13 @@ def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int
 
     def ask(group: pa.Table) -> pa.Table:
         columns = [np.asarray(group[c], np.int64) for c in ("lead", "copies", "root", "slices", "slice")]
-        return pa.table([group["block"].slice(0, 1), pa.array([press(np.stack(columns))], pa.binary())], names=["block", "answer"])
+        return pa.table([group["block"].slice(0, 1), pa.array([np.int64(group["print"][0].as_py()).tobytes() + press(np.stack(columns))], pa.binary())], names=["block", "answer"])
 
     def sets_of(_: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
         out = []
         if answers:
-            lead, copies, root, slices, slice_ = unpress(answers[0], np.int64).reshape(5, -1)
             data, offsets = flat(table[text])
+            lead, copies, root, slices, slice_ = unpress(signed(data, offsets, answers[0]), np.int64).reshape(5, -1)
             value, at = shingles(data, offsets, n)
             for i, doc in enumerate((lead & ((1 << ROW_BITS) - 1)).tolist()):
                 out.append((lead[i], copies[i], root[i], slices[i], slice_[i], press_planes(value[at[doc] : at[doc + 1]])))
@@ -312,7 +316,7 @@ def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int
         names = ["node", "copies", "root", "slices", "slice", "sets"]
         return pa.table([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], names=names)
 
-    answers = wanted.groupBy("block").applyInArrow(ask, "block long, answer binary")
+    answers = wanted.join(marks, "block").groupBy("block").applyInArrow(ask, "block long, answer binary")
     sets = back_to_blocks(df.select(id_column, text), answers, sets_of, "node long, copies long, root long, slices long, slice long, sets binary", text, most)
     one = F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(4 * buckets)).cast("string")))
     pairs = F.transform(
@@ -334,10 +338,11 @@ def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int
     known = known.join(least, "root").select(*key, "root", "component_id", F.col("links").alias("n_links"))
     rows = docs.join(known, key, "left")
     alone = F.col("size") == 0
-    return rows.select(
+    rows = rows.select(
         "node", "id", "size", F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root"),
         F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
+    return rows, marks
 
 
 def join(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, most: int = BLOCK, part: int = PART) -> DataFrame:
@@ -348,10 +353,11 @@ def join(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int =
     Two documents link when den * |common| >= num * |either|; component_id is the smallest id reachable
     by links (its own id included; null ids are passed over), n_links the number of other rows linked to.
     Shingles are compared by 64-bit hash, sets by 128 bits. Repeated rows and equal texts are rows each and
-    link; other columns are not carried; an empty table gives none. ``df`` is read twice and must be a plain scan.
+    link; other columns are not carried; an empty table gives none. ``df`` is read twice and must be a plain scan;
+    blocks that differ raise.
     """
     kind = df.schema[id_column].dataType
-    rows = _linked(df, id_column, text, n, num, den, most, part)
+    rows, _ = _linked(df, id_column, text, n, num, den, most, part)
     return rows.select(F.col("id").cast(kind).alias(id_column), F.col("size").alias("n_shingles"), "component_id", "n_links")
 
 
@@ -360,16 +366,19 @@ def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text", n:
 
     All columns are kept as they are. Rows without words, or alone, all stay. A null id comes after all others.
     """
-    rows = _linked(df, id_column, text, n, num, den, most, part)
+    rows, marks = _linked(df, id_column, text, n, num, den, most, part)
     order = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("node"))
     kept = rows.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.node").alias("node"))
 
     def ask(group: pa.Table) -> pa.Table:
-        return pa.table([group["block"].slice(0, 1), pa.array([press(np.sort(np.asarray(group["node"], np.int64)))], pa.binary())], names=["block", "answer"])
+        nodes = np.sort(group["node"].drop_null().to_numpy())
+        return pa.table([group["block"].slice(0, 1), pa.array([np.int64(group["print"][0].as_py()).tobytes() + press(nodes)], pa.binary())], names=["block", "answer"])
 
     def pick(_: int, table: pa.Table, answers: list[bytes]) -> pa.Table:
-        nodes = unpress(answers[0], np.int64) if answers else np.zeros(0, np.int64)
+        if len(answers) != 1:
+            raise ValueError(DIFFER)
+        nodes = unpress(signed(*flat(table[text]), answers[0]), np.int64)
         return table.take(pa.array(nodes & ((1 << ROW_BITS) - 1)))
 
-    answers = kept.withColumn("block", F.shiftright("node", ROW_BITS)).groupBy("block").applyInArrow(ask, "block long, answer binary")
+    answers = marks.join(kept.withColumn("block", F.shiftright("node", ROW_BITS)), "block", "left").groupBy("block").applyInArrow(ask, "block long, answer binary")
     return back_to_blocks(df, answers, pick, df.schema, text, most)

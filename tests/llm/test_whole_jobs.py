@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -89,3 +90,10 @@ def test_repeats_of_runs(spark, table, monkeypatch):
     whole = repeats.repeated_strings(doc, np.int64([0, 0, 1, 1]), words, at, np.int64([0, 30]), 50, 20)
     monkeypatch.setattr(repeats, "SPREAD", 1 << 21)
     assert all((a == b).all() for a, b in zip(whole, repeats.repeated_strings(doc, np.int64([0, 0, 1, 1]), words, at, np.int64([0, 30]), 50, 20)))
+
+
+def test_jaccard_raises_when_readings_differ(spark):
+    changing = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
+    df = spark.range(0, 20, 1, 2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one two three"), changing()).alias("text"))
+    with pytest.raises(Exception, match="blocks differ"):
+        jaccard.one_of_each(df).collect()
