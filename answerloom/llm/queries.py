@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import bpe, jaccard, katz, packing, quality, repeats, secrets, sharding, top_k, warc
+from answerloom.llm import bpe, jaccard, katz, merkle, packing, quality, repeats, secrets, sharding, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,3 +153,78 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     pieces, ranks = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     return quality.judge(docs, pieces, ranks, public_tokenizers.PATTERN, columns=["doc_id"])
+
+
+@_query(
+    "op11_merkle_slot_pivot",
+    """
+    WITH RECURSIVE tab AS (  -- CRC-32 by bytes, with its table made here
+        SELECT list_transform(range(256), lambda i:
+            list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+    ),
+    named AS (
+        SELECT *, coalesce('=' || source, '') AS k,
+            list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda y: ('0x' || y)::BIGINT) AS b
+        FROM documents
+    ),
+    fields AS (
+        SELECT doc_id, k, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, tab.t[xor(c & 255, x) + 1])), 4294967295) % 2 = 0 AS tampered,
+            coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+            || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+            text, replace(text, chr(10), '') AS flat
+        FROM named, tab
+    ),
+    hashed AS (
+        SELECT doc_id, k, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+            sha256(head || CASE WHEN tampered THEN coalesce(octet_length(encode(flat)) || ':' || flat, '-') ELSE coalesce(octet_length(encode(text)) || ':' || text, '-') END) AS changed
+        FROM fields
+    ),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM hashed
+    ),
+    low AS (
+        SELECT 0 AS level, k, pos, leaf AS h, n FROM leaves
+        UNION ALL
+        SELECT level + 1, k, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY level, k, pos // 3
+    ),
+    tops AS (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+    high AS (
+        SELECT 0 AS level, pos, h, n FROM tops
+        UNION ALL
+        SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM high WHERE n > 1 GROUP BY level, pos // 3
+    ),
+    steps AS (  -- the run of a node on every level, its own place and the others'
+        SELECT l.k, l.pos AS own, x.level, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < l.pos // (3 ** x.level)::BIGINT), '') AS l,
+            coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > l.pos // (3 ** x.level)::BIGINT), '') AS r
+        FROM leaves l JOIN low x ON x.k = l.k AND x.n > 1 AND x.pos // 3 = l.pos // (3 ** (x.level + 1))::BIGINT
+        GROUP BY l.k, l.pos, x.level
+    ),
+    above AS (
+        SELECT t.k, x.level, coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos < t.pos // (3 ** x.level)::BIGINT), '') AS l,
+            coalesce(string_agg(x.h, '' ORDER BY x.pos) FILTER (x.pos > t.pos // (3 ** x.level)::BIGINT), '') AS r
+        FROM tops t JOIN high x ON x.n > 1 AND x.pos // 3 = t.pos // (3 ** (x.level + 1))::BIGINT
+        GROUP BY t.k, x.level
+    ),
+    path AS (SELECT k, own, list(l || '|' || r ORDER BY level) AS p FROM steps GROUP BY k, own),
+    path_above AS (SELECT k, list(l || '|' || r ORDER BY level) AS p FROM above GROUP BY k),
+    whole AS (
+        SELECT l.doc_id, l.leaf, l.changed, t.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root, list_concat(coalesce(a.p, []), coalesce(b.p, [])) AS p
+        FROM leaves l JOIN tops t ON t.k = l.k LEFT JOIN path a ON a.k = l.k AND a.own = l.pos LEFT JOIN path_above b ON b.k = l.k
+    ),
+    folded AS (
+        SELECT *, list_reduce(list_prepend(changed, p), lambda c, x: sha256(split_part(x, '|', 1) || c || split_part(x, '|', 2))) AS folded_root FROM whole
+    )
+    SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(p, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM folded
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = lambda text: [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    flat = F.when(tampered, F.replace("text", F.lit("\n"), F.lit("")))
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", merkle.leaf(*fields(F.col("text"))).alias("leaf"), F.when(flat != F.col("text"), F.unhex(merkle.leaf(*fields(flat)))).alias("changed")
+    )
+    rows = merkle.prove(docs, "source", ["doc_id"], "leaf").withColumn("changed", F.coalesce(F.lower(F.hex("changed")), "leaf"))
+    rows = rows.withColumns({"proof_sha256": merkle.siblings_digest(F.col("path")), "folded_root": merkle.fold(F.col("changed"), F.col("path"))})
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
