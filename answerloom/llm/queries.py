@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import bpe, jaccard, katz, merkle, packing, quality, repeats, secrets, sharding, top_k, warc
+from answerloom.llm import bpe, jaccard, katz, merkle, packing, quality, repeats, secrets, sharding, simhash, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -228,3 +228,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle.prove(docs, "source", ["doc_id"], "leaf").withColumn("changed", F.coalesce(F.lower(F.hex("changed")), "leaf"))
     rows = rows.withColumns({"proof_sha256": merkle.siblings_digest(F.col("path")), "folded_root": merkle.fold(F.col("changed"), F.col("path"))})
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@_query("op12_covering_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
