@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import bpe, jaccard, katz, merkle, packing, quality, repeats, secrets, sharding, simhash, top_k, warc
+from answerloom.llm import alignment, bpe, jaccard, katz, merkle, packing, quality, repeats, secrets, sharding, simhash, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -233,3 +233,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_covering_simhash")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_cross_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pieces = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, pieces)
