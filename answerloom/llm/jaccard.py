@@ -235,8 +235,8 @@ def t_occurrence(value: np.ndarray, at: np.ndarray, num: int, den: int, mu: floa
 def _compare(num: int, den: int):
     """In a part: links of every set (weighted by copies) and the root of its tree of links.
 
-    In a part of two slices of one large group only pairs across the slices count, and within the first
-    if the part is that slice's own.
+    In a part of two slices of one large group only pairs across the slices count, also if one of them has no
+    sets; pairs within a slice count in that slice's own part.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -244,7 +244,8 @@ def _compare(num: int, den: int):
         sets = [unpress_planes(x) for x in group["sets"].to_pylist()]
         node = group["node"].to_numpy()
         side = group["slice"].to_numpy()
-        both = len(np.unique(side)) > 1
+        _, *slices = group["part"][0].as_py().split(":")
+        both = len(set(slices)) > 1
         size = np.array([len(s) for s in sets])
         order = np.lexsort((node, size))
         at = np.concatenate(([0], np.cumsum(size[order])))
