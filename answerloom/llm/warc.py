@@ -157,24 +157,35 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
     return files.mapInArrow(run, INDEX)
 
 
+READ_BYTES = 8 << 20
 READ = "record_id string, record_type string, target string, refers_to string, payload binary, digest string"
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """The records an index points to, each inflated from its own member: ids, type, target, payload, and hex digest as stated."""
+    """The records an index points to, each inflated from its own member: ids, type, target, payload, and hex digest as stated.
+
+    Some MB of payloads are held at a time.
+    """
+    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("digest", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[str, object] = ("", None)
         for batch in batches:
-            out = []
+            out, size = [], 0
             for row in batch.to_pylist():
+                if size > READ_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, size = [], 0
                 if held[0] != row["file"]:
+                    if held[1] is not None:
+                        held[1].close()
                     system, path = _filesystem(row["file"])
                     held = (row["file"], system.open_input_file(path))
                 held[1].seek(row["offset"])
                 member = held[1].read(row["length"])
                 ((fields, whole),) = records(iter([zlib.decompress(member, 31)]))
                 body = whole.partition(b"\r\n\r\n")[2][: int(fields["content-length"])]
+                size += len(body)
                 is_response = fields["warc-type"] == "response"
                 refers = fields.get("warc-refers-to")
                 out.append(
@@ -184,7 +195,9 @@ def read_records(index: DataFrame) -> DataFrame:
                         "digest": base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex(),
                     }
                 )
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("digest", pa.string())]))
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if held[1] is not None:
+            held[1].close()
 
     return index.mapInArrow(run, READ)
 
@@ -222,19 +235,22 @@ def archive(pages: DataFrame, files: int | None = None) -> DataFrame:
 
 
 def report(index: DataFrame) -> DataFrame:
-    """Per record what reading it back gives: payload size and digest, type, and what it refers to."""
+    """Per record what reading it back gives: payload size and digest, type, and what it refers to.
+
+    A revisit's payload is that of a response with the id it refers to and the digest it states, as an id may have several.
+    """
     back = read_records(index.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset"))
     back = cut_lineage(
         back.select(
-            F.col("record_id").cast("long").alias("page_id"), "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+            F.col("record_id").try_cast("long").alias("page_id"), "record_type", F.col("refers_to").try_cast("long").alias("refers_to"),
             F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("read_digest"), "digest",
         )
     )
     own = back.where("record_type = 'response'")
-    wanted = back.where("record_type = 'revisit'").select(F.col("refers_to").alias("wanted")).distinct()
-    stored = own.join(wanted, F.col("page_id") == F.col("wanted"), "left_semi").groupBy("page_id").agg(
+    wanted = back.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "digest").distinct()
+    stored = own.join(wanted, ["page_id", "digest"], "left_semi").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(
         F.max("payload_bytes").alias("_bytes"), F.max("read_digest").alias("_digest")
     )
-    again = back.where("record_type = 'revisit'").join(stored.withColumnRenamed("page_id", "_page"), F.col("refers_to") == F.col("_page"), "left")
+    again = back.where("record_type = 'revisit'").join(stored, ["refers_to", "digest"], "left")
     columns = lambda d, size, digest: d.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
     return columns(own, F.col("payload_bytes"), F.col("read_digest")).unionByName(columns(again, F.col("_bytes"), F.col("_digest")))
