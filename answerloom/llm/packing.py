@@ -79,8 +79,10 @@ class Encoder:
         if not pieces:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         joined = "\n".join(pieces)
-        if self.pattern is None or "\0" in joined or any(s in joined for s in self.special):
-            odd = [i for i, p in enumerate(pieces) if self.pattern is None or "\0" in p or any(s in p for s in self.special)]
+        # Which characters are letters changes with the Unicode version; those unknown here are left to the library.
+        unknown = set() if joined.isascii() else {c for c in set(joined) if unicodedata.category(c) == "Cn"}
+        if self.pattern is None or "\0" in joined or unknown or any(s in joined for s in self.special):
+            odd = [i for i, p in enumerate(pieces) if self.pattern is None or "\0" in p or not unknown.isdisjoint(p) or any(s in p for s in self.special)]
             ids, size = self.by_library([pieces[i] for i in odd])
             if len(odd) == len(pieces):
                 return ids, size
@@ -218,7 +220,7 @@ def pack(
     empty text is its end id alone; repeated rows are documents each; a document longer than a
     window fills windows of its own. An empty table gives no rows; other columns are not carried.
 
-    Packing is local to blocks of texts: a block of 16 MB fills thousands of windows, each exactly, and its
+    Packing is local to blocks of texts: a block of 4 MB fills some hundred windows, each exactly, and its
     leftover of under one window goes to powers of two, so larger blocks would save nothing. No shuffle, and a
     lost task repeats its block alone.
     """
