@@ -17,7 +17,7 @@ from answerloom.llm.exchange import block_number, from_ipc, press_steps, to_ipc,
 from answerloom.llm.texts import blocks, flat, ranges, release
 from answerloom.plans.staging import cut_lineage
 
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 _COMMA, _BAR, _SEMICOLON = b",|;"
 
 
