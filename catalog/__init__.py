@@ -60,6 +60,7 @@ def load_all() -> None:
         q_relational,
         q_sessions,
         q_sources,
+        q_temporal,
     )
 
     ordered = ("A3_", "A13_", "Q6_", "Q7_", "S9_to_json", "T1_", "T2_", "T3_", "V4_")
