@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from answerloom.functions import questions as Q
 from answerloom.plans.ranges import quantiles, running
+from answerloom.plans.staging import cut_lineage
 
 
 def first_numeric_column(df: DataFrame) -> str:
@@ -64,25 +65,36 @@ def cutoff_sum(df: DataFrame, column: str, cutoff: float, inclusive: bool) -> Da
     return df.where(keep).agg(F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias("answer"))
 
 
-def _cutoff_lines(questions: DataFrame, values: DataFrame, of: str, cutoff: str, inclusive: str, ranges: int | None) -> DataFrame:
+def _sum_kind(df: DataFrame, column: str) -> str:
+    """The type in which a column's values add up: exact for whole numbers and decimals."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DecimalType):
+        return f"decimal(38,{kind.scale})"
+    return "decimal(38,0)" if isinstance(kind, T.IntegralType) else "double"
+
+
+def _cutoff_lines(questions: DataFrame, values: DataFrame, of: str, cutoff: str, inclusive: str, ranges: int | None, kind: str) -> DataFrame:
     """Adds ``answer`` to questions with a cutoff; ``values`` has (of, value), ``of`` names a question's column.
 
     Values and cutoffs of a column are put on one line, largest first, and a running sum
     over the line is read off at the cutoffs. So the work is one sort of the
     distinct values, whatever the number of questions, and no pair of question
-    and value is ever formed. Questions without a cutoff never meet the line.
+    and value is ever formed. Questions without a cutoff never meet the line. Sums are of ``kind``; values and
+    cutoffs are compared in it too, unless cutoffs are floating, which are compared as doubles.
     """
+    floating = isinstance(questions.schema[cutoff].dataType, (T.DoubleType, T.FloatType))
+    place = "double" if floating else kind
     values = (
         values.where("value IS NOT NULL")
-        .groupBy("of", (-F.col("value").cast("double")).alias("__at"))
-        .agg(F.sum(F.col("value").cast("double")).alias("__sum"))
+        .groupBy("of", (-F.col("value").cast(place)).alias("__at"))
+        .agg(F.sum(F.col("value").cast(kind)).cast(kind).alias("__sum"))
         .select("of", "__at", F.lit(1).alias("__turn"), "__sum")
     )
     keyed = questions.withColumns(
-        {"__at": -F.col(cutoff).cast("double"), "__turn": F.when(F.col(inclusive), 2).otherwise(0), "__of": F.col(of)}
+        {"__at": -F.col(cutoff).cast(place), "__turn": F.when(F.col(inclusive), 2).otherwise(0), "__of": F.col(of)}
     )
     asking = keyed.where(F.col(cutoff).isNotNull())
-    marks = asking.select(F.col("__of").alias("of"), "__at", "__turn", F.lit(None).cast("double").alias("__sum")).distinct()
+    marks = asking.select(F.col("__of").alias("of"), "__at", "__turn", F.lit(None).cast(kind).alias("__sum")).distinct()
     line = running(values.unionByName(marks), ["of"], ["__at", "__turn"], {"__upto": ("sum", F.col("__sum"))}, ranges)
     sums = line.where(F.col("__turn") != 1).select(
         F.col("of").alias("__of"), "__at", "__turn", F.coalesce(F.col("__upto"), F.lit(0)).cast("bigint").alias("answer")
@@ -100,10 +112,10 @@ def cutoff_sums(
     inclusive: str = "inclusive",
     ranges: int | None = None,
 ) -> DataFrame:
-    """Adds ``answer``: each question's cutoff sum over one column."""
+    """Adds ``answer``: each question's cutoff sum over one column, exact for whole numbers and decimals, cut to a whole number."""
     values = df.select(F.lit(column).alias("of"), known(df, column).alias("value"))
     asked = questions.withColumn("__column", F.lit(column))
-    return _cutoff_lines(asked, values, "__column", cutoff, inclusive, ranges).drop("__column")
+    return _cutoff_lines(asked, values, "__column", cutoff, inclusive, ranges, _sum_kind(df, column)).drop("__column")
 
 
 def _named(text: Column, names: Sequence[str]) -> Column:
@@ -129,8 +141,8 @@ def answer_questions(
     that of the table's first column, or of ``column``, of any type. ``answer_text`` keeps whole numbers exact and holds a
     first cell that is no number; ``answer`` is null then. NaN counts as null.
 
-    All plain metrics of all columns come from one pass over the table; cutoff sums come from one more. A question that
-    asks for no cutoff sum takes no part in the second.
+    The questions are taken apart once and written. All plain metrics of all columns come from one pass over the table; cutoff sums come
+    from one more, which reads only the columns that questions with a cutoff name. They are exact for whole numbers and decimals.
     """
     names = [column] if column else numeric_columns(df)
     if not names:
@@ -142,6 +154,8 @@ def answer_questions(
         Q.cutoff(F.col(text)).alias("__cutoff"),
         Q.cutoff_inclusive(F.col(text)).alias("__inclusive"),
     )
+    is_cutoff = F.col("metric") == "cutoff_sum"
+    asked = cut_lineage(asked.withColumn("__cutoff", F.when(is_cutoff, F.col("__cutoff"))))
     corner = column or df.columns[0]
     measures = [F.min_by(F.struct(known(df, corner).cast("string").alias("v")), F.struct(*order))["v"].alias("first")]
     for i, name in enumerate(names):
@@ -166,10 +180,16 @@ def answer_questions(
     )
     by_metric = plain.select(F.inline(each))
     with_plain = asked.join(F.broadcast(by_metric), ["metric", "column"], "left")
-    is_cutoff = F.col("metric") == "cutoff_sum"
-    cutoffs = with_plain.withColumn("__cutoff", F.when(is_cutoff, F.col("__cutoff")))
-    values = df.select(F.inline(F.array(*(F.struct(F.lit(n).alias("of"), known(df, n).cast("double").alias("value")) for n in names))))
-    summed = _cutoff_lines(cutoffs, values, "column", "__cutoff", "__inclusive", None)
+    named = {r.column for r in asked.where("__cutoff IS NOT NULL").select("column").distinct().collect()}  # of the table's columns
+    kinds: dict[str, list[str]] = {}
+    for name in names:
+        if name in named:
+            kinds.setdefault(_sum_kind(df, name), []).append(name)
+    summed = with_plain.where("__cutoff IS NULL").withColumn("answer", F.lit(None).cast("bigint"))
+    for kind, columns in kinds.items():
+        values = df.select(F.inline(F.array(*(F.struct(F.lit(n).alias("of"), known(df, n).cast(kind).alias("value")) for n in columns))))
+        cutoffs = with_plain.where(F.col("__cutoff").isNotNull() & F.col("column").isin(columns))
+        summed = summed.unionByName(_cutoff_lines(cutoffs, values, "column", "__cutoff", "__inclusive", None, kind))
     said = F.when(is_cutoff, F.col("answer").cast("string")).otherwise(F.col("__plain"))
     return summed.select(
         *questions.columns, "metric", "column", said.try_cast("double").alias("answer"), said.alias("answer_text")

@@ -103,3 +103,24 @@ def test_questions_name_their_column(spark):
     assert got[1].answer_text == str(2**53 + 3) and got[2].answer_text == "y" and got[2].answer is None
     assert got[4].answer == 0.5 and got[5].column == "a"
     assert (got[3].metric, got[3].column) == ("cutoff_sum", "a")
+
+
+@pytest.mark.parametrize("ranges", [1, 4])
+@pytest.mark.parametrize("kind", ["bigint", "decimal(25,3)"])
+def test_cutoff_sums_are_exact(spark, ranges, kind):
+    """Whole numbers and decimals beyond 2 ** 53 add up to the last digit."""
+    from decimal import Decimal
+
+    values = [2**53 + k for k in range(1, 400, 2)] + [k for k in range(-50, 50)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint").withColumn("v", F.col("v").cast(kind))
+    if kind != "bigint":
+        df = df.withColumn("v", F.expr("v + 0.001").cast(kind))
+    cells = [r.v for r in df.collect() if r.v is not None]
+    asked = [(k, c, bool(k % 2)) for k, c in enumerate([0, 0, 49, 2**53, 2**53 + 7, 2**53 + 7, 2**53 + 500, None])]
+    questions = spark.createDataFrame(asked, "q int, cutoff bigint, inclusive boolean")
+    got = {r.q: r.answer for r in G.cutoff_sums(questions, df, "v", ranges=ranges).collect()}
+    want = {q: None if c is None else int(sum((v for v in cells if (v >= c if inc else v > c)), Decimal(0))) for q, c, inc in asked}
+    assert got == want
+    texts = spark.createDataFrame([(1, f"What is the sum of values greater than or equal to cutoff: {2**53 + 7}?")], "q int, text string")
+    answer = G.answer_questions(texts, df, ["v"]).first()
+    assert answer.metric == "cutoff_sum" and answer.answer_text == str(int(sum((v for v in cells if v >= 2**53 + 7), Decimal(0))))
