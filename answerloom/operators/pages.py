@@ -7,6 +7,7 @@ adds it, so a page is parsed once for any number of them.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,17 +66,30 @@ def page_tables(parsed: DataFrame, page: str = "page_id") -> DataFrame:
 def page_named_cells(parsed: DataFrame, page: str = "page_id") -> DataFrame:
     """Each cell below row 0 with the name that row 0 has in its column: (page, table_idx, row, col_idx, name, value).
 
-    The names are in the page's own row, so pages are parsed once and no cell is shuffled.
+    The names are in the page's own row, and cells meet them there before they become rows: pages are parsed once, cells are made
+    once, and nothing is shuffled.
     """
-    cells = parsed.select(page, _table_cells().alias("__cells"))
-    heads = F.filter("__cells", lambda c: F.array_contains(c["rows"], 0))
-    cells = cells.withColumn("__heads", heads)
-    placed = cells.select(page, "__heads", F.explode("__cells").alias("c"))
-    rows = placed.select(page, "__heads", "c.table_idx", F.explode("c.rows").alias("row_idx"), "c.cols", F.col("c.text").alias("value"))
-    rows = rows.where("row_idx > 0").select(page, "__heads", "table_idx", "row_idx", F.explode("cols").alias("col_idx"), "value")
-    above = F.filter("__heads", lambda h: (h["table_idx"] == F.col("table_idx")) & F.array_contains(h["cols"], F.col("col_idx")))
-    return rows.select(page, "table_idx", (F.col("row_idx") - 1).alias("row"), "col_idx", F.get(above, F.lit(0))["text"].alias("name"), "value")
 
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of a value that is worked out once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def placed(cell: Column, heads: Column) -> Column:
+        def named(row: Column, col: Column) -> Column:
+            above = F.filter(heads, lambda h: F.array_contains(h["cols"], col))
+            name = F.get(above, F.lit(0))["text"]
+            return F.struct(cell["table_idx"].alias("table_idx"), (row - 1).alias("row"), col.alias("col_idx"), name.alias("name"), cell["text"].alias("value"))
+
+        below = F.filter(cell["rows"], lambda r: r > 0)
+        return F.flatten(F.transform(below, lambda r: F.transform(cell["cols"], lambda c: named(r, c))))
+
+    def of_page(cells: Column, heads: Column) -> Column:
+        own = lambda cell: F.filter(heads, lambda h: h["table_idx"] == cell["table_idx"])
+        return F.flatten(F.transform(cells, lambda cell: bound(own(cell), lambda found: placed(cell, found))))
+
+    heads = lambda cells: F.filter(cells, lambda c: F.array_contains(c["rows"], 0))
+    listed = bound(_table_cells(), lambda cells: bound(heads(cells), lambda found: of_page(cells, found)))
+    return parsed.select(page, F.explode(listed).alias("c")).select(page, "c.*")
 
 
 def page_lists(parsed: DataFrame, page: str = "page_id", pruned: bool = True) -> DataFrame:
