@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from answerloom.operators import maintained
 from answerloom.operators import relational as R
+from answerloom.operators.table_functions import sql_with_functions, step_runs
 from answerloom.plans.ranges import neighbour, ranked, running
 from catalog import query, table
 
@@ -388,3 +390,41 @@ def q12(spark, sf_dir):
 def q12_explode(spark, sf_dir):
     keys = table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("k"))
     return keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "Q1_table_function",
+    """
+WITH marked AS (
+  SELECT user_id AS session, ts, event_id, event_type, date_trunc('day', ts) AS day,
+    CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS opens
+  FROM events WINDOW w AS (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id)),
+numbered AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY session, day ORDER BY ts, event_id) AS BIGINT) AS run FROM marked)
+SELECT session, run, event_type AS step, min(ts) AS first_at, max(ts) AS last_at, count(*) AS steps FROM numbered GROUP BY session, day, run, event_type
+""",
+)
+def q1_table_function(spark, sf_dir):
+    sql = """
+SELECT * FROM step_runs(TABLE(SELECT user_id AS session, ts AS at, event_type AS step, date_trunc('day', ts) AS day, event_id FROM events)
+  PARTITION BY (session, day) ORDER BY (at, event_id))
+"""
+    return sql_with_functions(spark, {"events": table(spark, sf_dir, "events")}, {"step_runs": step_runs()}, sql)
+
+
+@query(
+    "Q15_maintained_aggregates",
+    """
+SELECT user_id, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total, min(cents) AS least, max(cents) AS most, sum(cents) / count(cents) AS mean
+FROM (SELECT user_id, event_type, CAST(floor(value * 100) AS BIGINT) AS cents FROM events) WHERE event_type <> 'error' GROUP BY user_id
+""",
+)
+def q15(spark, sf_dir):
+    # Signups and clicks are there first; the other events come as one batch, and then all errors are taken back.
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", F.floor(F.col("value") * 100).cast("bigint").alias("cents"))
+    first = F.col("event_type").isin("signup", "click")
+    now = maintained.aggregated(events.where(first), ["user_id"], "cents")
+    come = events.where(~first).withColumn("sign", F.lit(1))
+    now = maintained.apply_changes(now, come, events, ["user_id"], "cents")
+    errors = events.where("event_type = 'error'").withColumn("sign", F.lit(-1))
+    now = maintained.apply_changes(now, errors, events.where("event_type <> 'error'"), ["user_id"], "cents")
+    return maintained.with_mean(now).drop("known")
