@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from answerloom.plans.staging import cut_lineage
+
 # The base patterns, and how long a match (for assign: its second group) must be.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -89,17 +91,33 @@ def random_samples(n: int = 3000, seed: int = 11) -> list[bytes]:
     return out
 
 
+def _sample(df: DataFrame, text: str, id_column: str, most: int) -> DataFrame:
+    """Column t: the texts of the ``most`` distinct rows (id, text) with the smallest md5 of their id, ties by that of the text.
+
+    Rows are chosen by their md5s alone, from a share of the md5s that should hold four times as many; where it holds too
+    few (ids that are few, or null) all are looked at, which chooses the same rows. Only chosen texts move.
+    """
+    order = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
+    rows = df.select(order.alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    total, near = df.count(), rows
+    if total > 4 * most:
+        near = rows.where(F.col("o") < f"{int(2**32 * 4 * most / total):08x}")
+        if near.select("o").distinct().count() < most:
+            near = rows
+    chosen = cut_lineage(near.select("o", F.md5("t").alias("h")).distinct().orderBy("o", "h").limit(most))
+    met = rows.join(F.broadcast(chosen), "o").where(F.md5("t") == F.col("h"))  # at most ``most`` pairs of md5s
+    return met.groupBy("o", "h").agg(F.first("t").alias("t")).select("t")
+
+
 def train(df: DataFrame, text: str = "text", id_column: str = "doc_id", most_documents: int = 2000, drawn: int = 3000) -> Markov:
     """The model from labelled samples of bounded size.
 
-    From ``most_documents`` rows (the smallest md5 of their ids): values of base matches are
+    From ``most_documents`` distinct rows (the smallest md5 of their ids): values of base matches are
     random strings, words outside all matches are ordinary identifiers, as they are and joined by
     ``_``, ``-`` or in camel case. ``drawn`` generated keys join the random side, so that a corpus
     without secrets trains as well. Only the fit is bounded; scanning covers every text.
     """
-    order = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
-    sample = df.select(order.alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy("o", F.md5("t")).limit(most_documents)
-    pieces = sample.mapInArrow(_label_batches, "random boolean, word string")
+    pieces = _sample(df, text, id_column, most_documents).mapInArrow(_label_batches, "random boolean, word string")
     words = pieces.distinct().orderBy(F.md5("word"), "random").limit(20 * most_documents).collect()  # bounded, as said above
     random = [w.word.encode() for w in words if w.random]
     ordinary = [w.word.encode() for w in words if not w.random]
