@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
 import functools
 import json
 import unicodedata
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 
@@ -148,6 +148,31 @@ def token_ids(path: str, data: np.ndarray, offsets: np.ndarray, end_id: int) ->
     return out, at
 
 
+class _Waiting:
+    """Remainders by length, with a bit per length that has some, so that finding, adding and taking one costs the same for any number."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, deque[tuple[int, int]]] = {}
+        self.lengths = 0
+
+    def add(self, length: int, doc: int, start: int) -> None:
+        self.of.setdefault(length, deque()).append((doc, start))
+        self.lengths |= 1 << length
+
+    def longest(self, limit: int) -> int:
+        """The largest length in use up to ``limit``, else -1."""
+        return (self.lengths & ((2 << limit) - 1)).bit_length() - 1
+
+    def shortest(self) -> int:
+        return (self.lengths & -self.lengths).bit_length() - 1
+
+    def take(self, length: int) -> tuple[int, int]:
+        found = self.of[length].popleft()
+        if not self.of[length]:
+            self.lengths &= ~(1 << length)
+        return found
+
+
 def plan(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> list[tuple]:
     """(document, start, length, sequence, offset, window, step group, attention) of every piece.
 
@@ -161,29 +186,29 @@ def plan(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] = TIE
        dealt to step groups of ``step_tokens`` tokens in turn, back and forth, so that groups cost about the same.
     """
     sequences: list[tuple[int, list[tuple[int, int, int]]]] = []
-    waiting: list[tuple[int, int, int]] = []  # length, document, start
+    waiting, total = _Waiting(), 0
     for doc, length in enumerate(lengths.tolist()):
         full = length // window
         sequences += [(window, [(doc, i * window, window)]) for i in range(full)]
         if length % window:
-            waiting.append((length % window, doc, full * window))
-    waiting.sort()
-    total = sum(x[0] for x in waiting)
+            waiting.add(length % window, doc, full * window)
+            total += length % window
     sizes = list(tiers) + [1 << i for i in range((tiers[-1]).bit_length() - 2, -1, -1)]
     for k, size in enumerate(sizes):
         low = sizes[k + 1] if k + 1 < len(sizes) else 0
-        while total >= size and waiting[-1][0] > low:
+        while total >= size and waiting.longest(window) > low:
             pieces, gap = [], size
             while gap:
-                at = bisect.bisect_right(waiting, (gap, 1 << 62, 0)) - 1
-                if at >= 0:
-                    length, doc, start = waiting.pop(at)
+                length = waiting.longest(gap)
+                if length > 0:
+                    doc, start = waiting.take(length)
                     pieces.append((doc, start, length))
                     gap -= length
                 else:
-                    length, doc, start = waiting.pop(0)
+                    length = waiting.shortest()
+                    doc, start = waiting.take(length)
                     pieces.append((doc, start, gap))
-                    bisect.insort(waiting, (length - gap, doc, start + gap))
+                    waiting.add(length - gap, doc, start + gap)
                     gap = 0
             total -= size
             sequences.append((size, pieces))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -87,3 +88,12 @@ def test_training_sample(spark, rows, share):
     md5 = lambda x: hashlib.md5(str(x).encode()).hexdigest()
     want = sorted({(md5(i), md5(t), t) for i, t in data})[:20]
     assert sorted(r.t for r in secrets._sample(df, "text", "doc_id", 20).collect()) == sorted(t for _, _, t in want)
+
+
+def test_plan_of_many_short_documents():
+    """A million documents of one token, and as many of three, take seconds."""
+    start = time.process_time()
+    for length in (1, 3):
+        rows = packing.plan(np.full(1_000_000, length))
+        assert len(rows) >= 1_000_000 and sum(r[2] for r in rows) == length * 1_000_000
+    assert time.process_time() - start < 120
