@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes go that also start in a document with a smaller id; so do documents of which nothing but white space is left."""
-    left = repeats.remove_repeats(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    left = repeats.remove_repeats(docs, most=2 << 20).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", changed).select(*docs.columns)
 
