@@ -2,7 +2,7 @@
 
 A block of texts sends one row to each bucket of keys, holding sorted, compressed arrays; a
 bucket sends one row back to each block. Blocks are numbered by partition and place, so a
-plain scan read twice gives the same blocks; ``fingerprint`` lets the receiver check that.
+plain scan read twice gives the same blocks (``pin_splits``); ``fingerprint`` lets the receiver check that.
 """
 
 from __future__ import annotations
@@ -57,6 +57,18 @@ def fingerprint(data: np.ndarray, offsets: np.ndarray) -> int:
     return (len(offsets) << 32) ^ zlib.crc32(np.ascontiguousarray(data))
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fixes into how many splits a scan is cut at least, for operators that read a table twice.
+
+    Spark plans the splits of every reading from the cores it has at that moment, unless spark.sql.files.minPartitionNum
+    says how many. A lost or late executor between two readings would then change the blocks. Set
+    to what Spark would take now, and only where the session does not set it.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)
+
+
 DIFFER = "blocks differ between two readings of the same rows; write the input to a table first"
 
 

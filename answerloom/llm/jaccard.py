@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.components import components
 from answerloom.llm.exchange import (
-    DIFFER, ROW_BITS, back_to_blocks, bucket_count, fingerprint, numbered, press, press_planes, press_steps, signed, unpress, unpress_planes,
+    DIFFER, ROW_BITS, back_to_blocks, bucket_count, fingerprint, numbered, pin_splits, press, press_planes, press_steps, signed, unpress, unpress_planes,
     unpress_steps,
 )
 from answerloom.llm.texts import flat, grams, hashes, lower_ascii, mix, ranges, release, words
@@ -284,6 +284,7 @@ def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int
        group of over ``part`` different sets is cut in slices and its slices meet two at a time.
     """
     spark = df.sparkSession
+    pin_splits(spark)
     buckets = bucket_count(spark)
     sent = df.select(id_column, text).mapInArrow(_send(id_column, text, n, buckets, most), "bucket int, block long, hashes binary, docs binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared(buckets), "block long, kind int, answer binary")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.llm.exchange import (
-    back_to_blocks, bucket_count, numbered, press, press_planes, press_steps, unpress, unpress_planes, unpress_steps,
+    DIFFER, back_to_blocks, bucket_count, fingerprint, numbered, pin_splits, press, press_planes, press_steps, unpress, unpress_planes, unpress_steps,
 )
 from answerloom.llm.texts import Words, flat, hashes, lower_ascii, release, words
 from answerloom.plans.staging import cut_lineage
@@ -108,17 +108,21 @@ def _ask_words(id_column: str, text: str, buckets: int, most: int):
             bucket = (name % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((name, bucket))
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            mark = fingerprint(data, offsets)
             for b in np.flatnonzero(np.diff(cuts)):
                 own = order[cuts[b] : cuts[b + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([press_steps(name[own].view(np.int64))]), pa.array([press_planes(trained[own])])],
-                    names=["bucket", "block", "names", "counts"],
+                    [
+                        pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([mark], pa.int64()),
+                        pa.array([press_steps(name[own].view(np.int64))]), pa.array([press_planes(trained[own])]),
+                    ],
+                    names=["bucket", "block", "print", "names", "counts"],
                 )
 
     return run
 
 
-_ASKED = "bucket int, block long, names binary, counts binary"
+_ASKED = "bucket int, block long, print long, names binary, counts binary"
 _WORDS = "block long, answer binary, tokens long, types long, single array<long>"
 
 
@@ -137,7 +141,7 @@ def _number_words(buckets: int):
         for i in range(len(rows)):
             own = code[at[i] : at[i + 1]]
             parts = press_steps(own * buckets + bucket), press_planes(count[own])
-            answers.append(np.int64([bucket, len(parts[0])]).tobytes() + b"".join(parts))
+            answers.append(np.int64([bucket, len(parts[0]), rows[i]["print"]]).tobytes() + b"".join(parts))
         single = np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
         none = [None] * (len(rows) - 1)
         return pa.table(
@@ -151,18 +155,23 @@ def _number_words(buckets: int):
     return run
 
 
-def _known(name: np.ndarray, answers: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number and training count of each of a block's distinct tokens, from the buckets' answers."""
+def _known(name: np.ndarray, answers: list[bytes], buckets: int, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number and training count of each of a block's distinct tokens, from the buckets' answers.
+
+    ``mark`` is the block's fingerprint; answers to another reading of it raise.
+    """
     bucket = (name % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((name, bucket))
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     number, count = np.full(len(name), -1), np.zeros(len(name), np.int64)
     for answer in answers:
-        b, size = np.frombuffer(answer, np.int64, 2)
+        b, size, was = np.frombuffer(answer, np.int64, 3)
+        if was != mark:
+            raise ValueError(DIFFER)
         own = order[cuts[b] : cuts[b + 1]]
-        number[own], count[own] = unpress_steps(answer[16 : 16 + size]), unpress_planes(answer[16 + size :])
+        number[own], count[own] = unpress_steps(answer[24 : 24 + size]), unpress_planes(answer[24 + size :])
     if (number < 0).any():
-        raise ValueError("blocks differ between two readings of the same rows; write the input to a table first")
+        raise ValueError(DIFFER)
     return number, count
 
 
@@ -197,7 +206,7 @@ def _ask_pairs(id_column: str, text: str, totals: Totals, buckets: int):
         ids = table[id_column].to_pylist()
         held = _held_out(ids)
         found, code, first = _tokens(data, offsets)
-        number, count = _known(_name_hashes(found), answers, buckets)
+        number, count = _known(_name_hashes(found), answers, buckets, fingerprint(data, offsets))
         lengths = np.diff(first)
         text_of = np.repeat(np.arange(len(ids)), lengths)
         token_count = count[code]
@@ -370,9 +379,10 @@ def score(df: DataFrame, id_column: str = "doc_id", text: str = "text", most: in
     Words are compared by 64-bit hash. Blocks of texts send distinct words, then distinct pairs, to buckets, which add up, write
     their n-gram tables and send the counts back; a history with more than a quarter of a bucket's tokens is dealt by its
     words as well. To the driver come the totals, counts of counts, and the sums of those fewer than 4 * buckets histories.
-    ``df`` is read twice and must be a plain scan.
+    ``df`` is read twice and must be a plain scan; its splits are pinned, and blocks that differ raise.
     """
     spark = df.sparkSession
+    pin_splits(spark)
     buckets = bucket_count(spark)
     narrow = df.select(id_column, text)
     asked = narrow.mapInArrow(_ask_words(id_column, text, buckets, most), _ASKED)

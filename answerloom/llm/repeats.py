@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from answerloom.llm.exchange import (
-    back_to_blocks, bucket_count, fingerprint, numbered, press, press_planes, press_steps, unpress, unpress_planes, unpress_steps,
+    DIFFER, back_to_blocks, bucket_count, fingerprint, numbered, pin_splits, press, press_planes, press_steps, unpress, unpress_planes, unpress_steps,
 )
 from answerloom.llm.texts import flat, mix, ranges, release, strings
 
@@ -289,7 +289,7 @@ def _covered(answers: list[bytes], data: np.ndarray, offsets: np.ndarray) -> np.
     for answer in answers:
         mark, size = np.frombuffer(answer, np.int64, 2)
         if mark != fingerprint(data, offsets):
-            raise ValueError("blocks differ between two readings of the same rows; write the input to a table first")
+            raise ValueError(DIFFER)
         np.add.at(change, unpress_steps(answer[16 : 16 + size]), 1)
         np.add.at(change, unpress_steps(answer[16 + size :]), -1)
     return np.cumsum(change[:-1]) > 0
@@ -312,11 +312,12 @@ def remove_repeats(
 
     Two exchanges: phrases go to the bucket of their trigger's hash, each distinct phrase once per
     block however often it stands there and once for a run of it in a row, and spans come back to their blocks. ``df`` is read twice and
-    must be a plain scan of a table; blocks that differ raise. A phrase with many occurrences costs its
+    must be a plain scan of a table, whose splits are pinned; blocks that differ raise. A phrase with many occurrences costs its
     bucket only numbers.
     """
     if not k <= n <= 150:
         raise ValueError("the trigger must fit in the string, and a phrase in a byte's count")
+    pin_splits(df.sparkSession)
     buckets = bucket_count(df.sparkSession)
     sent = df.select(id_column, text).mapInArrow(_send(id_column, text, n, k, buckets, most), _SENT)
     answers = sent.groupBy("bucket").applyInArrow(_answer(n, k), "block long, answer binary")
