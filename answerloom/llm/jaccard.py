@@ -18,7 +18,7 @@ from answerloom.llm.texts import flat, grams, hashes, lower_ascii, mix, ranges,
 from answerloom.plans.staging import cut_lineage
 
 BLOCK = 4 << 20
-PART = 20_000  # sets compared in one task
+PART = 500_000  # shingles of a slice; a task compares two slices at most
 _S32 = np.uint64(32)
 
 
@@ -186,25 +186,29 @@ def _neighbours(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
 
-def t_occurrence(value: np.ndarray, at: np.ndarray, num: int, den: int, mu: float = 0.0085) -> Iterator[tuple[int, np.ndarray]]:
+def t_occurrence(value: np.ndarray, at: np.ndarray, num: int, den: int, mu: float = 0.0085, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each set its partners among the later ones, sets being sorted by size: den * |common| >= num * |either|.
 
     DivideSkip: of a query's inverted lists the L longest are set aside, L = T / (mu log2(longest) + 1)
     and at most T - 1, T the least overlap for the query's size. The short lists are merged; sets met T - L times or more
-    stay, and are looked up by binary search in the long lists. The overlap is then exact.
+    stay, and are looked up by binary search in the long lists. The overlap is then exact. With ``side`` (0 or 1 for each set)
+    a shingle has a list a side, and sets meet only those of the other.
     """
     size = np.diff(at)
     _, code = np.unique(value, return_inverse=True)
     doc = np.repeat(np.arange(len(size)), size)
+    if side is not None:
+        code = 2 * code + side[doc]
     order = np.argsort(code, kind="stable")
     posting = doc[order]
-    begin = np.searchsorted(code[order], np.arange(int(code.max()) + 2 if len(code) else 1))
+    begin = np.searchsorted(code[order], np.arange((int(code.max()) | 1) + 2 if len(code) else 1))
     place = begin[:-1].copy()  # the part of each list behind the current query
     end = begin[1:]
     own = [code[a:b] for a, b in zip(at[:-1], at[1:])]  # sorted, as hashes are
     for i, codes in enumerate(own):
         place[codes] += 1
-        long_enough = codes[end[codes] > place[codes]]
+        asked = codes if side is None else codes ^ 1
+        long_enough = asked[end[asked] > place[asked]]
         least = int(_least(np.int64(len(codes)), num, den))
         if len(long_enough) < least or least == 0:
             continue
@@ -235,7 +239,7 @@ def t_occurrence(value: np.ndarray, at: np.ndarray, num: int, den: int, mu: floa
 def _compare(num: int, den: int):
     """In a part: links of every set (weighted by copies) and the root of its tree of links.
 
-    In a part of two slices of one large group only pairs across the slices count, also if one of them has no
+    In a part of two slices of one large group only pairs across the slices are searched, none if one of them has no
     sets; pairs within a slice count in that slice's own part.
     """
 
@@ -259,9 +263,8 @@ def _compare(num: int, den: int):
                 i = int(root[i])
             return i
 
-        for i, found in t_occurrence(np.concatenate([sets[k] for k in order]), at, num, den):
-            if both:
-                found = found[side[found] != side[i]]
+        across = (side != side[0]).astype(np.int64) if both else None
+        for i, found in t_occurrence(np.concatenate([sets[k] for k in order]), at, num, den, side=across):
             links[i] += weight[found].sum()
             links[found] += weight[i]
             for j in found.tolist():
@@ -280,8 +283,8 @@ def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int
        have. A document with fewer of these than its least overlap has no partner.
     2. The others send the prefix of their set, rarest shingles first, to buckets again: partners share a prefix
        shingle. Lists become stars, not pairs, and their components the groups to search.
-    3. Equal sets count once. Each group is searched by T-occurrence (``t_occurrence``); small groups share parts, a
-       group of over ``part`` different sets is cut in slices and its slices meet two at a time.
+    3. Equal sets count once. Each group is searched by T-occurrence (``t_occurrence``); small groups share parts of about
+       ``part`` shingles, a group of more is cut in slices of about that and its slices meet two at a time.
     """
     spark = df.sparkSession
     pin_splits(spark)
@@ -296,9 +299,9 @@ def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int
     key = ["size", "first", "second"]
     classes = docs.where("size > 0").groupBy(*key).agg(F.min("node").alias("lead"), F.count("*").alias("copies"), F.min("id").alias("least"))
     classes = cut_lineage(classes)
-    wanted = classes.join(groups.withColumnRenamed("node", "lead"), "lead").select("lead", "copies", "root")
-    sizes = wanted.groupBy("root").agg(F.count("*").alias("sets")).where("sets > 1")
-    wanted = wanted.join(sizes, "root").withColumn("slices", F.ceil(F.col("sets") / part).cast("int"))
+    wanted = classes.join(groups.withColumnRenamed("node", "lead"), "lead").select("lead", "copies", "size", "root")
+    sizes = wanted.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("shingles")).where("sets > 1")
+    wanted = wanted.join(sizes, "root").withColumn("slices", F.least("sets", F.ceil(F.col("shingles") / part)).cast("int"))
     wanted = wanted.withColumn("slice", F.pmod(F.xxhash64("lead"), F.col("slices")).cast("int"))
     wanted = cut_lineage(wanted.withColumn("block", F.shiftright("lead", ROW_BITS)))
 
@@ -320,16 +323,19 @@ def _linked(df: DataFrame, id_column: str, text: str, n: int, num: int, den: int
 
     answers = wanted.join(marks, "block").groupBy("block").applyInArrow(ask, "block long, answer binary")
     sets = back_to_blocks(df.select(id_column, text), answers, sets_of, "node long, copies long, root long, slices long, slice long, sets binary", text, most)
-    one = F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(4 * buckets)).cast("string")))
+    whole = F.col("slices") == 1
+    held = wanted.agg(F.sum(F.when(whole, F.col("size"))).alias("small"), F.max("slices").alias("most")).first()
+    shares = max(4 * buckets, -(-(held.small or 0) // part))
+    one = F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(shares)).cast("string")))
     pairs = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("slices") - 1),
         lambda t: F.concat_ws(":", F.col("root"), F.least(t, F.col("slice")), F.greatest(t, F.col("slice"))),
     )
-    parts = sets.withColumn("part", F.explode(F.when(F.col("slices") == 1, one).otherwise(pairs)))
-    parts = parts.withColumn("slice", F.when(F.col("slices") == 1, F.lit(0).cast("long")).otherwise(F.col("slice")))
+    parts = sets.withColumn("part", F.explode(F.when(whole, one).otherwise(pairs)))
+    parts = parts.withColumn("slice", F.when(whole, F.lit(0).cast("long")).otherwise(F.col("slice")))
     found = cut_lineage(parts.groupBy("part").applyInArrow(_compare(num, den), "node long, root long, links long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    if wanted.where("slices > 1").limit(1).count():
+    if (held.most or 0) > 1:
         tied = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     else:
         tied = found.select("node", "root")
