@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -18,8 +19,9 @@ from answerloom.llm.texts import flat, mix, ranges, release, strings
 LENGTH = 50  # bytes of a repeated string
 TRIGGER = 20  # bytes hashed to place phrase borders
 BLOCK = 4 << 20
-SORTED = 2 << 20  # bytes of phrases whose suffixes are sorted at a time
-SPREAD = 2 << 20  # strings of occurrences looked at at a time
+SHARE = 16 << 20  # bytes of phrases of a bucket that are unpacked at a time
+SORTED = 1 << 19  # bytes of phrases whose suffixes are sorted at a time
+SPREAD = 1 << 19  # strings of occurrences looked at at a time
 
 _CODES = np.random.default_rng(50).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -117,6 +119,9 @@ def suffix_ranks(data: np.ndarray, n: int, places: np.ndarray) -> np.ndarray:
 _SENT = "bucket int, block long, print long, docs binary, begins binary, lengths binary, times binary, triggers binary, fresh binary, again binary, text binary"
 
 
+_PARTS = ("docs", "begins", "lengths", "times", "triggers", "fresh", "again", "text")
+
+
 def _send(id_column: str, text: str, n: int, k: int, buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table, data, offsets in numbered(batches, text, most):
@@ -162,11 +167,7 @@ def repeated_strings(doc: np.ndarray, phrase: np.ndarray, data: np.ndarray, at:
     if not len(doc):
         return none, none, none
     length = np.diff(at)
-    key = np.zeros(len(length), np.uint64)
-    begin = at[:-1] + trigger
-    for i in range(k):
-        key = key * np.uint64(_BASE) + _CODES[data[begin + i]]
-    _, group = np.unique(key, return_inverse=True)
+    _, group = np.unique(_trigger_keys(data, at[:-1] + trigger, k), return_inverse=True)
     low, high = np.full(len(length), _NO_ID), np.full(len(length), np.iinfo(np.int64).min)
     np.minimum.at(low, phrase, doc)
     np.maximum.at(high, phrase, doc)
@@ -233,56 +234,112 @@ def _sorted_strings(doc, phrase, occurrence, data, at, low, picked, n) -> tuple[
     return tuple(np.concatenate(parts) for parts in zip(*out)) if out else None
 
 
+def _trigger_keys(data: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k bytes from each place on."""
+    key = np.zeros(len(begin), np.uint64)
+    for i in range(k):
+        key = key * np.uint64(_BASE) + _CODES[data[begin + i]]
+    return key
+
+
+class _Sent:
+    """One row of ``_send``, unpacked anew for every share of a bucket, so that a task holds it packed meanwhile."""
+
+    def __init__(self, row: dict):
+        self.row, self.share = row, None
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, lengths and trigger places of its phrases, each once."""
+        fresh = self._fresh()
+        return unpress(self.row["text"], np.uint8), unpress(self.row["lengths"], np.uint8)[fresh], unpress(self.row["triggers"], np.uint8)[fresh]
+
+    def _fresh(self) -> np.ndarray:
+        count = len(unpress(self.row["lengths"], np.uint8))
+        return np.unpackbits(unpress(self.row["fresh"], np.uint8), count=count).astype(bool)
+
+    def deal(self, shares: int, k: int) -> None:
+        text, length, trigger = self.phrases()
+        begin = np.cumsum(length, dtype=np.int64) - length + trigger
+        self.share = ((mix(_trigger_keys(text, begin, k)) >> np.uint64(32)) % np.uint64(shares)).astype(np.uint16)
+
+    def part(self, nth: int, n: int) -> tuple[np.ndarray, ...]:
+        """Of share ``nth``: bytes, lengths, trigger places of its phrases; phrase, document, begin and further bytes of its occurrences."""
+        text, length, trigger = self.phrases()
+        fresh = self._fresh()
+        code = np.empty(len(fresh), np.int64)
+        code[fresh] = np.arange(len(length))
+        code[~fresh] = unpress_planes(self.row["again"])
+        doc, begin = unpress_steps(self.row["docs"]), unpress_steps(self.row["begins"])
+        more = (unpress_planes(self.row["times"]).astype(np.int64) - 1) * (length[code].astype(np.int64) - n + 1)
+        if self.share is not None:
+            own = self.share == nth
+            at = np.cumsum(length, dtype=np.int64) - length
+            some = own[code]
+            code = (np.cumsum(own) - 1)[code[some]]
+            doc, begin, more = doc[some], begin[some], more[some]
+            text, length, trigger = text[ranges(at[own], length[own])], length[own], trigger[own]
+        return text, length, trigger, code, doc, begin, more
+
+
 def _answer(n: int, k: int):
+    """In a bucket: the spans to remove, for every block that sent to it.
+
+    Equal phrases have equal triggers, so the bucket is worked off in shares of triggers, some MB of phrases at a time.
+    """
+
     def run(group: pa.Table) -> pa.Table:
         release()
-        docs, begins, phrases, texts, lengths, triggers, owner, further = [], [], [], [], [], [], [], []
-        known: int = 0
-        rows = group.to_pylist()
-        for i, row in enumerate(rows):
-            doc = unpress_steps(row["docs"])
-            length, trigger = unpress(row["lengths"], np.uint8), unpress(row["triggers"], np.uint8)
-            fresh = np.unpackbits(unpress(row["fresh"], np.uint8), count=len(doc)).astype(bool)
-            code = np.empty(len(doc), np.int64)
-            code[fresh] = np.arange(int(fresh.sum()))
-            code[~fresh] = unpress_planes(row["again"])
-            docs.append(doc)
-            begins.append(unpress_steps(row["begins"]))
-            further.append((unpress_planes(row["times"]).astype(np.int64) - 1) * (length.astype(np.int64) - n + 1))
-            phrases.append(code + known)
-            known += int(fresh.sum())
-            texts.append(unpress(row.pop("text"), np.uint8))
-            lengths.append(length[fresh])
-            triggers.append(trigger[fresh])
-            owner.append(np.full(len(doc), i))
-        data = np.concatenate(texts)
-        texts.clear()
-        doc, begin, phrase, length, trigger, owner, more = map(np.concatenate, (docs, begins, phrases, lengths, triggers, owner, further))
-        at = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
-        coded = strings(data, at).dictionary_encode()  # one dictionary over all blocks
-        del data
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        data, at = flat(coded.dictionary)
-        release()
-        places = np.zeros(len(at) - 1, np.int64)
-        places[code] = trigger
-        occurrence, first, last = repeated_strings(doc, code[phrase], data, at, places, n, k)
-        # the strings of a run's phrases overlap, as a phrase has fewer than n: one span to the last of them
-        start, stop, owner = begin[occurrence] + first, begin[occurrence] + more[occurrence] + last - 1 + n, owner[occurrence]
-        out = []
-        order = np.lexsort((start, owner))
+        rows = [_Sent({c: group[c][i].as_buffer() for c in _PARTS}) for i in range(group.num_rows)]
+        shares = min(1 << 16, -(-sum(zstandard.frame_content_size(r.row["text"]) for r in rows) // SHARE))
+        if shares > 1:
+            for r in rows:
+                r.deal(shares, k)
+        spans = [_share(rows, nth, n, k) for nth in range(max(1, shares))]
+        start, stop, owner = (np.concatenate(x) for x in zip(*spans))
+        order = np.lexsort((stop, start, owner))
         start, stop, owner = start[order], stop[order], owner[order]
         cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-        for i, row in enumerate(rows):
+        marks, numbers, out = group["print"].to_pylist(), group["block"].to_pylist(), []
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[i], cuts[i + 1])
-            if cuts[i] < cuts[i + 1]:
-                packed = (press_steps(start[own]), press_steps(stop[own]))
-                out.append((row["block"], np.int64([row["print"], len(packed[0])]).tobytes() + packed[0] + packed[1]))
+            packed = (press_steps(start[own]), press_steps(stop[own]))
+            out.append((numbers[i], np.int64([marks[i], len(packed[0])]).tobytes() + packed[0] + packed[1]))
         return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([a for _, a in out], pa.binary())], names=["block", "answer"])
 
     return run
 
 
+def _share(rows: list[_Sent], nth: int, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and row of every span to remove that the triggers of a share tell of."""
+    texts, lengths, triggers, phrases, docs, begins, further, owner, known = [], [], [], [], [], [], [], [], 0
+    for i, row in enumerate(rows):
+        text, length, trigger, code, doc, begin, more = row.part(nth, n)
+        texts.append(text)
+        lengths.append(length)
+        triggers.append(trigger)
+        phrases.append(code + known)
+        docs.append(doc)
+        begins.append(begin)
+        further.append(more)
+        owner.append(np.full(len(doc), i, np.int32))
+        known += len(length)
+    data = np.concatenate(texts)
+    texts.clear()
+    doc, begin, phrase, length, trigger, owner, more = map(np.concatenate, (docs, begins, phrases, lengths, triggers, owner, further))
+    del docs, begins, phrases, lengths, triggers, further
+    at = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+    coded = strings(data, at).dictionary_encode()  # one dictionary over all blocks
+    del data
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    data, at = flat(coded.dictionary)
+    places = np.zeros(len(at) - 1, np.int64)
+    places[code] = trigger
+    occurrence, first, last = repeated_strings(doc, code[phrase], data, at, places, n, k)
+    release()
+    # the strings of a run's phrases overlap, as a phrase has fewer than n: one span to the last of them
+    return begin[occurrence] + first, begin[occurrence] + more[occurrence] + last - 1 + n, owner[occurrence]
+
+
 def _covered(answers: list[bytes], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mask of the bytes of a block that the spans in the answers cover."""
     change = np.zeros(len(data) + 1, np.int32)
@@ -313,7 +370,7 @@ def remove_repeats(
     Two exchanges: phrases go to the bucket of their trigger's hash, each distinct phrase once per
     block however often it stands there and once for a run of it in a row, and spans come back to their blocks. ``df`` is read twice and
     must be a plain scan of a table, whose splits are pinned; blocks that differ raise. A phrase with many occurrences costs its
-    bucket only numbers.
+    bucket only numbers, and a bucket is unpacked some MB at a time.
     """
     if not k <= n <= 150:
         raise ValueError("the trigger must fit in the string, and a phrase in a byte's count")

@@ -79,3 +79,22 @@ def test_search_across_sides(seed):
             if 100 * (c := common(sets[i], sets[j])) >= 70 * (len(sets[i]) + len(sets[j]) - c) and (sides is None or side[i] != side[j])
         }
         assert got == want
+
+
+@pytest.mark.parametrize("share", [2_000, 20_000])
+def test_shares_of_a_bucket(odd_texts, monkeypatch, share):
+    """A bucket worked off in shares of triggers gives the spans that it gives at once."""
+    import pyarrow as pa
+
+    rows = [(i, t) for i, t in odd_texts if i != 23] * 2
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+
+    def numbered(batches, text, most):
+        for place, table in enumerate(exchange.blocks(batches, text, most)):
+            yield (place, table, *exchange.flat(table[text]))
+
+    monkeypatch.setattr(repeats, "numbered", numbered)
+    sent = pa.Table.from_batches(list(repeats._send("doc_id", "text", 50, 20, 1, 2_000)(iter([batch]))))
+    whole = repeats._answer(50, 20)(sent)
+    monkeypatch.setattr(repeats, "SHARE", share)
+    assert whole.num_rows > 3 and repeats._answer(50, 20)(sent).equals(whole)
