@@ -54,6 +54,7 @@ def load_all() -> None:
         q_answers,
         q_charts,
         q_graph,
+        q_layout,
         q_pages,
         q_prepare,
         q_questions,
