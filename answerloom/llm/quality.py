@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from itertools import chain
@@ -20,30 +21,33 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Band:
-    """What a text of a language may measure; texts of fewer than ``least_tokens`` tokens are not judged.
+    """What a text of a language may measure, whatever its length.
 
-    Entropy is in bits, divided by log2 of the text's number of tokens. Leaving a hard limit rejects;
-    so does being both below ``low_chars`` per token and below ``low_entropy`` (text broken up by marks:
-    few characters per token alone may be names or keys, low entropy alone a long text).
+    Entropy is in bits, divided by log2 of the text's number of tokens, so a short text is not low for being
+    short. Leaving a hard limit rejects; ``chars_per_token`` holds for both vocabularies. So does entropy below
+    ``low_entropy`` together with few characters per token by either vocabulary, below ``low_chars`` (pieces) or
+    ``low_byte_chars`` (byte level): text broken up by marks. Few characters per token alone may be names or
+    keys, low entropy alone a long text.
     """
 
     chars_per_token: tuple[float, float]
     most_byte_fallback: float
     least_entropy: float
     low_chars: float = 0.0
+    low_byte_chars: float = 0.0
     low_entropy: float = 0.0
-    least_tokens: int = 40
 
 
 #: By language, else by script ("Latn" for mostly Latin letters, "" for any other).
 BANDS: Mapping[str, Band] = {
-    "en": Band((1.2, 6.5), 0.10, 0.40, 2.08, 0.70),
-    "de": Band((1.2, 6.5), 0.10, 0.40, 2.08, 0.70),
-    "fr": Band((1.2, 6.5), 0.10, 0.40, 1.86, 0.70),
-    "es": Band((1.2, 6.5), 0.10, 0.40, 1.82, 0.68),
+    "en": Band((1.2, 6.5), 0.10, 0.40, 2.08, 2.12, 0.70),
+    "de": Band((1.2, 6.5), 0.10, 0.40, 2.08, 1.94, 0.70),
+    "fr": Band((1.2, 6.5), 0.10, 0.40, 1.86, 1.76, 0.70),
+    "es": Band((1.2, 6.5), 0.10, 0.40, 1.82, 1.68, 0.68),
     "Latn": Band((1.1, 8.0), 0.20, 0.35),
     "": Band((0.2, 8.0), 0.95, 0.30),
 }
+_OTHER_SPACE = re.compile(r"[^\S ]")
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
     "band string, n_tokens long, chars_per_token double, byte_chars_per_token double, byte_fallback double, token_entropy double"
@@ -145,6 +149,23 @@ def _entropy(doc: np.ndarray, token: np.ndarray, docs: int, width: int) -> np.nd
     return out
 
 
+def _byte_sizes(names: list[str], path: str, pattern: str) -> np.ndarray:
+    """Tokens of each word with a space before it, by the byte-level vocabulary.
+
+    Words with white space of their own (U+00A0) are encoded alone: next to each other the vocabulary joins them.
+    """
+    size = np.zeros(len(names), np.int64)
+    alone = np.fromiter((bool(_OTHER_SPACE.search(n)) for n in names), bool, len(names))
+    encoder, spaced = _byte_model(path, pattern)
+    if not alone.all():  # in the joined words every word's first token, and no other, begins with the space
+        joined = " " + " ".join(n for n, a in zip(names, alone) if not a)
+        ids = np.array(encoder.encode_ordinary(joined), np.int64)
+        size[~alone] = np.diff(np.append(np.flatnonzero(spaced[ids]), len(ids)))
+    for k in np.flatnonzero(alone):
+        size[k] = len(encoder.encode_ordinary(" " + names[k]))
+    return size
+
+
 def measures(data: np.ndarray, offsets: np.ndarray, languages: list, pieces: str, ranks: str, pattern: str, bands: Mapping[str, Band], window: int = 5) -> dict:
     docs = len(offsets) - 1
     found = words(data, offsets)
@@ -162,11 +183,7 @@ def measures(data: np.ndarray, offsets: np.ndarray, languages: list, pieces: str
     size = np.fromiter(map(len, lists), np.int64, len(lists))
     flat_ids = np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum()))
     first = np.cumsum(size) - size
-    byte_size = np.zeros(0, np.int64)
-    if names:  # in the joined words every word's first token, and no other, begins with the space
-        encoder, spaced = _byte_model(ranks, pattern)
-        byte_ids = np.array(encoder.encode_ordinary(" " + " ".join(names)), np.int64)
-        byte_size = np.diff(np.append(np.flatnonzero(spaced[byte_ids]), len(byte_ids)))
+    byte_size = _byte_sizes(names, ranks, pattern)
     code = found.code
     tokens = _sums(size[code], found.first) if len(code) else np.zeros(docs, np.int64)
     byte_tokens = _sums(byte_size[code], found.first) if len(code) else np.zeros(docs, np.int64)
@@ -176,24 +193,26 @@ def measures(data: np.ndarray, offsets: np.ndarray, languages: list, pieces: str
     entropy = _entropy(doc, ids, docs, len(fallback))
     relative = entropy / np.log2(np.maximum(tokens, 2))
     per_token = word_chars / np.maximum(tokens, 1)
+    per_byte_token = word_chars / np.maximum(byte_tokens, 1)
     letter = data | 0x20  # ASCII letters, and the lead bytes of Latin with accents
     latin = _spans(((letter >= 0x61) & (letter <= 0x7A)) | ((data >= 0xC3) & (data <= 0xC9)), offsets)
     is_latin = 2 * latin >= word_chars
     band = [lang if lang in bands else "Latn" if ok else "" for lang, ok in zip(languages, is_latin)]
     rules = [bands[b] for b in band]
-    judged = tokens >= np.array([r.least_tokens for r in rules], np.int64)
+    low, high = (np.array([r.chars_per_token[k] for r in rules]) for k in (0, 1))
+    few = (per_token < np.array([r.low_chars for r in rules])) | (per_byte_token < np.array([r.low_byte_chars for r in rules]))
     fits = (
-        (per_token >= np.array([r.chars_per_token[0] for r in rules]))
-        & (per_token <= np.array([r.chars_per_token[1] for r in rules]))
+        (np.minimum(per_token, per_byte_token) >= low)
+        & (np.maximum(per_token, per_byte_token) <= high)
         & (share <= np.array([r.most_byte_fallback for r in rules]))
         & (relative >= np.array([r.least_entropy for r in rules]))
-        & ((per_token >= np.array([r.low_chars for r in rules])) | (relative >= np.array([r.low_entropy for r in rules])))
-    ) if docs else np.zeros(0, bool)
+        & ~(few & (relative < np.array([r.low_entropy for r in rules])))
+    )
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": _spans(_SYMBOLS[data], offsets),
         "n_dup_lines": _dup_lines(data, offsets, found), "n_repeat_words": repeats, "base_failed": failed,
-        "kept": ~failed & (fits | ~judged), "band": band, "n_tokens": tokens, "chars_per_token": per_token,
-        "byte_chars_per_token": word_chars / np.maximum(byte_tokens, 1), "byte_fallback": share, "token_entropy": entropy,
+        "kept": ~failed & fits, "band": band, "n_tokens": tokens, "chars_per_token": per_token,
+        "byte_chars_per_token": per_byte_token, "byte_fallback": share, "token_entropy": entropy,
     }
 
 
@@ -205,9 +224,9 @@ def judge(
 
     Words are runs of bytes other than space and 0x09-0x0D. ``base_failed``: fewer than 10 words, or
     over 20 % of them in 5-word windows found twice or more (windows compared by 64-bit hash). A text that passes
-    is rejected if, by the public vocabularies ``pieces`` (with byte fallback) and ``ranks`` (byte-level),
-    its characters per token, byte-fallback share or token entropy leave the band of its language, or
-    for other languages (or null) that of its script. Fertility counts tokens word by word.
+    is rejected if, by the public vocabularies ``pieces`` (with byte fallback) or ``ranks`` (byte-level),
+    its characters per token, or by the first its byte-fallback share or token entropy, leave the band of its
+    language, or for other languages (or null) that of its script. Fertility counts tokens word by word.
 
     A null or empty text has no words and fails. Repeated rows get the same verdict each. Very
     long texts are whole blocks of their own. Columns called like a measure are replaced. An empty

@@ -348,6 +348,36 @@ def test_quality(inputs, name):
     assert not out.where("base_failed and kept").count()
 
 
+def test_both_vocabularies_decide_and_short_texts_are_judged(spark):
+    nbsp = "\u00a0"
+    texts = [
+        "one two three four five six seven eight nine ten",
+        " ".join(chr(0x4E00 + 37 * k) for k in range(12)),  # 12 tokens or so a script: bands of the other scripts
+        f"{nbsp} {nbsp}{nbsp} a{nbsp} {nbsp}b {nbsp}{nbsp}{nbsp} c d e f g h i",
+    ]
+    rows = [(k, t, "en" if k != 1 else None) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    plain = quality.Band((0.0, 100.0), 1.0, 0.0)
+    got = {r.doc_id: r for r in judged(df, bands={"en": plain, "Latn": plain, "": plain}).collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for k, t in enumerate(texts):
+        count = sum(len(library.encode(" " + w, add_special_tokens=False).ids) for w in words(t))
+        assert round(got[k].word_chars / got[k].byte_chars_per_token) == count and got[k].kept
+    first = got[0]
+    assert first.n_tokens < 40  # short, and still held to each limit alone
+    byte, piece = first.byte_chars_per_token, first.chars_per_token
+    for band in (
+        quality.Band((0.0, 100.0), 1.0, 0.0, low_byte_chars=byte + 0.01, low_entropy=1.1),
+        quality.Band((0.0, 100.0), 1.0, 0.0, low_chars=piece + 0.01, low_entropy=1.1),
+        quality.Band((0.0, max(byte, piece) - 0.01), 1.0, 0.0),
+        quality.Band((min(byte, piece) + 0.01, 100.0), 1.0, 0.0),
+    ):
+        rows = judged(df, bands={"en": band, "Latn": band, "": plain}).collect()
+        assert not next(r for r in rows if r.doc_id == 0).kept
+    low = quality.Band((0.0, 100.0), 1.0, 0.0, low_byte_chars=byte - 0.01, low_chars=piece - 0.01, low_entropy=1.1)
+    assert next(r for r in judged(df, bands={"en": low, "Latn": low, "": plain}).collect() if r.doc_id == 0).kept
+
+
 def test_quality_keeps_clean_documents_and_drops_broken_ones(spark, sf):
     small = sf.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{small}/documents.parquet").join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id")
@@ -356,6 +386,6 @@ def test_quality_keeps_clean_documents_and_drops_broken_ones(spark, sf):
     assert np.mean(clean) > 0.99 and np.mean(broken) < 0.6
 
 
-def test_queries_cover_the_ten_operators():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+def test_queries_cover_the_thirteen_operators():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)

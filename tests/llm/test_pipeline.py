@@ -22,6 +22,7 @@ def words(text):
 
 def plain_quality(docs):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    by_bytes = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = []
     for d in docs:
         w = words(d["text"])
@@ -36,8 +37,10 @@ def plain_quality(docs):
         entropy = -sum(n / len(tokens) * math.log2(n / len(tokens)) for n in Counter(tokens).values()) / math.log2(max(2, len(tokens)))
         share = sum(map(model.is_byte, tokens)) / len(tokens)
         low, high = band.chars_per_token
-        fits = low <= per <= high and share <= band.most_byte_fallback and entropy >= band.least_entropy and (per >= band.low_chars or entropy >= band.low_entropy)
-        if fits or len(tokens) < band.least_tokens:
+        byte_per = sum(map(len, w)) / sum(len(by_bytes.encode(" " + x, add_special_tokens=False).ids) for x in w)
+        few = per < band.low_chars or byte_per < band.low_byte_chars
+        fits = low <= min(per, byte_per) and max(per, byte_per) <= high and share <= band.most_byte_fallback and entropy >= band.least_entropy
+        if fits and not (few and entropy < band.low_entropy):
             out.append(d)
     return out
 
