@@ -1,20 +1,29 @@
 """Graphs as edge tables: degrees, shortest paths, closeness, pointer chains.
 
 Searches go level by level: one join of the newest nodes with the edges, with
-the candidates reduced to one per node before they are shuffled. The edges
-and each level are written to the shared folder, so plans stay short and a lost
+the candidates reduced to one per node before they are shuffled. The edges are
+written once, in buckets by their first node, so that no level shuffles
+them again; each level is written to the shared folder, so plans stay short and a lost
 executor does not undo earlier levels.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom import fixed_values as V
-from answerloom.plans.staging import cut_lineage
+from answerloom.plans.ranges import RANGE_BYTES, plan_bytes
+from answerloom.plans.staging import cut_in_buckets, cut_lineage
+
+#: A node of more edges has them in several parts of about as many, so that it is never one task's work.
+#: A front row is then copied once to this many rows that come of it.
+HUB_EDGES = 10_000
+_MOST_BUCKETS = 100_000  # Spark's own limit
 
 
 def edges_from(df: DataFrame, directed: bool = False, weight: str | None = None) -> DataFrame:
@@ -56,8 +65,36 @@ def _nodes(edges: DataFrame, directed: bool) -> DataFrame:
     return edges.select(F.col("src").alias("node")).distinct()
 
 
+@dataclass(frozen=True)
+class _Stored:
+    """Edges in buckets by (src, part), and ``hubs``: nodes with more than one part and how many.
+
+    There is at most one hub to ``HUB_EDGES`` edges.
+    """
+
+    edges: DataFrame
+    hubs: DataFrame
+
+    @classmethod
+    def of(cls, edges: DataFrame, hub_edges: int) -> _Stored:
+        edges = cut_lineage(edges)
+        out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub_edges)
+        hubs = cut_lineage(out.select("src", F.ceil(F.col("n") / hub_edges).cast("int").alias("parts")))
+        part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
+        dealt = edges.join(hubs, "src", "left").select(*edges.columns, part.alias("part"))
+        least = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the front may be larger than the edges
+        buckets = min(_MOST_BUCKETS, max(least, math.ceil(plan_bytes(edges) / RANGE_BYTES)))
+        return cls(cut_in_buckets(dealt, ["src", "part"], buckets), hubs)
+
+    def ahead(self, front: DataFrame) -> DataFrame:
+        """Rows of ``front``, whose nodes are called ``src``, with every edge from there. Only ``front`` is shuffled."""
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        front = front.join(self.hubs, "src", "left").select(*front.columns, parts)
+        return front.join(self.edges, ["src", "part"]).drop("part")
+
+
 def _levels(
-    edges: DataFrame,
+    stored: _Stored,
     sources: DataFrame,
     directed: bool = False,
     max_rounds: int | None = None,
@@ -65,10 +102,8 @@ def _levels(
 ) -> DataFrame:
     """Breadth-first levels, with one path per node, ties by the smallest predecessor.
 
-    A source that has reached every node is not followed further: its last
-    level would be the widest, and find nothing.
+    The search ends without another hop, which would be the widest and find nothing, once every source has reached every node.
     """
-    total = _nodes(edges, directed).count()
     level = cut_lineage(
         sources.select(
             "source",
@@ -78,14 +113,13 @@ def _levels(
         )
     )
     levels = [level]
-    reached = cut_lineage(sources.select("source", F.lit(1).cast("bigint").alias("n")))
+    reached = level.count()
+    most = reached * _nodes(stored.edges, directed).count()
     rounds = 0
-    while max_rounds is None or rounds < max_rounds:
+    while reached != most and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        active = level.join(reached.where(F.col("n") < total).select("source"), "source", "left_semi")
-        near = active.select("source", F.col("node").alias("pred"))
-        ahead = near.join(edges.select(F.col("src").alias("pred"), F.col("dst").alias("node")), "pred")
-        met = ahead.groupBy("source", "node").agg(F.min("pred").alias("pred"))
+        ahead = stored.ahead(level.select("source", F.col("node").alias("src")))
+        met = ahead.groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("pred"))
         # Without direction a neighbour is at most one level back.
         seen = levels if directed else levels[-2:]
         met = met.join(_union([s.select("source", "node") for s in seen]), ["source", "node"], "left_anti")
@@ -94,16 +128,15 @@ def _levels(
             met = met.join(so_far, ["source", "pred"]).withColumn("path", F.concat("path", F.array("node")))
         kept = ["path"] if paths else []
         level = cut_lineage(met.select("source", "node", F.lit(rounds).cast("bigint").alias("hops"), *kept))
-        here = level.groupBy("source").agg(F.count(F.lit(1)).alias("new"))
-        reached = reached.join(here, "source", "left")
-        reached = cut_lineage(reached.select("source", (F.col("n") + F.coalesce("new", F.lit(0))).alias("n")))
-        if level.isEmpty():
+        new = level.count()
+        if not new:
             break
+        reached += new
         levels.append(level)
     return _union(levels)
 
 
-def _distances(edges: DataFrame, sources: DataFrame, max_rounds: int | None) -> DataFrame:
+def _distances(stored: _Stored, sources: DataFrame, max_rounds: int | None) -> DataFrame:
     """Least ``way`` (distance, hops) per source and node: only nodes that improved are followed further.
 
     Hops break ties, so that steps of weight 0 lead away from the source and every path ends. A round
@@ -117,11 +150,8 @@ def _distances(edges: DataFrame, sources: DataFrame, max_rounds: int | None) ->
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
         step = F.struct((F.col("way.distance") + F.col("weight")).alias("distance"), (F.col("way.hops") + 1).alias("hops"))
-        offers = (
-            changed.join(edges, changed["node"] == edges["src"])
-            .groupBy("source", F.col("dst").alias("node"))
-            .agg(F.min(step).alias("offer"))
-        )
+        ahead = stored.ahead(changed.withColumnRenamed("node", "src"))
+        offers = ahead.groupBy("source", F.col("dst").alias("node")).agg(F.min(step).alias("offer"))
         held = _union([base, *recent]).groupBy("source", "node").agg(F.min("way").alias("way"))
         better = offers.join(held, ["source", "node"], "left").where("way IS NULL OR offer < way")
         changed = cut_lineage(better.select("source", "node", F.col("offer").alias("way")))
@@ -161,24 +191,26 @@ def shortest_paths(
     weight: str | None = None,
     directed: bool = False,
     max_rounds: int | None = None,
+    hub_edges: int = HUB_EDGES,
 ) -> DataFrame:
     """``(source, node, distance, path)`` for every node each source reaches.
 
     ``sources`` has a column ``source``. Distances are hops, or sums of a ``weight`` that is
     not negative (else ValueError). Among equal paths one of fewest hops is taken, then the smallest predecessor.
+    A node of over ``hub_edges`` edges is searched in parts; that changes no result.
     """
     sources = sources.select("source").distinct()
     if weight is None:
-        found = _levels(cut_lineage(edges), sources, directed=directed, max_rounds=max_rounds)
+        found = _levels(_Stored.of(edges, hub_edges), sources, directed=directed, max_rounds=max_rounds)
         return found.select("source", "node", F.col("hops").cast("double").alias("distance"), "path")
-    weighted = cut_lineage(edges.select("src", "dst", F.col(weight).cast("double").alias("weight")))
-    if not weighted.where("weight < 0 OR isnan(weight)").isEmpty():
+    stored = _Stored.of(edges.select("src", "dst", F.col(weight).cast("double").alias("weight")), hub_edges)
+    if not stored.edges.where("weight < 0 OR isnan(weight)").isEmpty():
         raise ValueError("weights must not be negative")
-    best = _distances(weighted, sources, max_rounds)
+    best = _distances(stored, sources, max_rounds)
     start = best.select("source", F.col("node").alias("src"), F.col("way").alias("w0"))
     end = best.select("source", F.col("node").alias("dst"), F.col("way").alias("w1"))
     tree = (
-        start.join(weighted, "src")
+        stored.ahead(start)
         .join(end, ["source", "dst"])
         .where("w0.distance + weight = w1.distance AND w0.hops + 1 = w1.hops AND dst != source")
         .groupBy("source", F.col("dst").alias("node"))
@@ -188,11 +220,11 @@ def shortest_paths(
     return paths.join(best, ["source", "node"]).select("source", "node", F.col("way.distance").alias("distance"), "path")
 
 
-def closeness(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
+def closeness(edges: DataFrame, sources: DataFrame, directed: bool = False, hub_edges: int = HUB_EDGES) -> DataFrame:
     """Closeness of the sources: nodes reached over total distance, scaled by the share of nodes reached."""
-    edges = cut_lineage(edges)
-    reached = _levels(edges, sources.select("source").distinct(), directed=directed, paths=False)
-    others = _nodes(edges, directed).agg(F.count(F.lit(1)) - 1).scalar()
+    stored = _Stored.of(edges, hub_edges)
+    reached = _levels(stored, sources.select("source").distinct(), directed=directed, paths=False)
+    others = _nodes(stored.edges, directed).agg(F.count(F.lit(1)) - 1).scalar()
     sums = reached.groupBy("source").agg(
         (F.count(F.lit(1)) - 1).alias("reached"), F.sum("hops").alias("total_distance")
     )

@@ -61,6 +61,36 @@ def test_weighted_paths_against_brute_force(spark):
         assert r.path[0] == r.source and r.path[-1] == r.node
 
 
+def test_a_hop_shuffles_only_the_newest_nodes(spark, edges):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stored = G._Stored.of(edges, 2)
+        assert {r.src: r.parts for r in stored.hubs.collect()} == {4: 2}
+        hop = stored.ahead(sources(spark, 1, 4).select("source", F.col("source").alias("src")))
+        assert sorted(tuple(r) for r in hop.select("src", "dst").collect()) == [(1, 2), (1, 5), (4, 3), (4, 5), (4, 6)]
+        again = stored.ahead(sources(spark, 1, 4).select("source", F.col("source").alias("src")))
+        plan = again._jdf.queryExecution().executedPlan().toString()
+        edge_side = plan[plan.rindex("+- Sort") :]
+        assert "Bucketed: true" in edge_side and "Exchange" not in edge_side
+        assert plan.count("Exchange hashpartitioning") == 3  # the newest nodes and the hubs, then the newest nodes by part
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("answerloom_")]
+
+
+@pytest.mark.parametrize("hub_edges", [1, 2, 100])
+def test_hubs_in_parts_change_nothing(spark, hub_edges):
+    rng = random.Random(5)
+    rows = [(0, k) for k in range(1, 40)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    weighted = [(a, b, float(rng.randint(0, 5))) for a, b in rows]
+    edges = G.edges_from(spark.createDataFrame(weighted, "a int, b int, w double"), weight="w")
+    start = sources(spark, 0, 7, 99)
+    for weight in (None, "weight"):
+        want = sorted(map(tuple, G.shortest_paths(edges, start, weight=weight).collect()))
+        assert sorted(map(tuple, G.shortest_paths(edges, start, weight=weight, hub_edges=hub_edges).collect())) == want
+    assert (99, 99, 0.0, [99]) in want
+
+
 def test_closeness(spark, edges):
     got = {r.source: r.closeness for r in G.closeness(edges, sources(spark, 1, 7, 9)).collect()}
     assert got[1] == pytest.approx(5 / 9 * 5 / 8)
