@@ -16,6 +16,9 @@ from answerloom.plans.staging import cut_lineage
 QUERY_BATCH = 1024
 BLOCK_ROWS = 2048
 DIGITS = 12  # scores closer than this count as equal
+_BLOCKS = 24  # blocks of a side, while the values of a block stay below the next number
+_BLOCK_VALUES = 1 << 20
+_STRIP_SCORES = 1 << 22
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -35,15 +38,53 @@ def _unit_rows(vectors) -> np.ndarray:
         return np.where(norms > 0, matrix / norms, np.nan)
 
 
+def _strips(rows: int, columns: int) -> range:
+    """Starts of strips of a matrix of scores, of which one at a time is in memory."""
+    return range(0, rows, _strip(columns))
+
+
+def _strip(columns: int) -> int:
+    return max(1, _STRIP_SCORES // max(1, columns))
+
+
 def _best(query_ids, matrix: np.ndarray, ids: np.ndarray, vectors, k: int) -> pd.DataFrame:
     """The k best of some vectors for each query."""
-    scores = np.round(_unit_rows(vectors) @ matrix.T, DIGITS)
-    found = []
-    for q, query_id in enumerate(query_ids):
-        known = np.flatnonzero(~np.isnan(scores[:, q]))
-        order = known[np.lexsort((ids[known], -scores[known, q]))[:k]]
-        found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[order], "cosine": scores[order, q]}))
-    return pd.concat(found)
+    units = _unit_rows(vectors)
+    known = ~np.isnan(units).any(axis=1)
+    units, ids, names = units[known], np.asarray(ids)[known], np.asarray(query_ids)
+    found = [(np.arange(0), np.arange(0), np.zeros(0))]
+    asked = np.flatnonzero(~np.isnan(matrix).any(axis=1)) if len(ids) else np.arange(0)
+    for start in _strips(len(asked), len(ids)):
+        rows = asked[start : start + _strip(len(ids))]
+        scores = matrix[rows] @ units.T
+        if k < len(ids):
+            # Scores that round to the k-th best one are within a digit of it.
+            least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] - 2 * 10.0**-DIGITS
+            q, v = np.nonzero(scores >= least[:, None])
+        else:
+            q, v = np.indices(scores.shape).reshape(2, -1)
+        cosines = np.round(scores[q, v], DIGITS)
+        order = np.lexsort((ids[v], -cosines, q))
+        q, v, cosines = q[order], v[order], cosines[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((rows[q[first]], v[first], cosines[first]))
+    q, v, cosines = (np.concatenate(c) for c in zip(*found))
+    return pd.DataFrame({"query_id": names[q], "vec_id": ids[v], "cosine": cosines})
+
+
+def _block_rows(total: int, least: int, size: int) -> int:
+    """Rows of a block in a comparison of all blocks with each other.
+
+    A row is copied once to each block that it meets, so blocks grow with the table, up to what a task holds, and the
+    copies stay few. ``size`` is the length of a vector.
+    """
+    return max(least, min(_BLOCK_VALUES // max(1, size), math.ceil(total / _BLOCKS)))
+
+
+def _dealt(df: DataFrame, tasks: int, *columns: str) -> DataFrame:
+    """Dealt out by ``columns`` for work that is heavy per group: a small shuffle is not put together in few tasks."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(tasks, max(least, df.sparkSession.sparkContext.defaultParallelism))), *columns)
 
 
 def most_similar(
@@ -60,7 +101,8 @@ def most_similar(
     ``queries`` has ``query_id`` and ``query``. Up to ``query_batch`` queries
     go with the tasks, the vectors are read where they lie, and each task
     passes on k rows per query. More queries than that are dealt out in
-    blocks, and blocks of queries meet blocks of vectors.
+    blocks, and blocks of queries meet blocks of vectors. ``query_batch`` and ``block_rows`` are the least rows of such
+    blocks: every query is compared with every vector, but copies of a row only grow as the number of blocks.
     """
     schema = T.StructType(
         [
@@ -90,8 +132,10 @@ def most_similar(
 
         results = slim.mapInPandas(search, schema)
     else:
-        query_blocks = math.ceil(queries.count() / query_batch)
-        vector_blocks = max(1, math.ceil(vectors.count() / block_rows))
+        size = len(few[0]["query"] or ())
+        asked_rows, vector_rows = queries.count(), vectors.count()
+        query_blocks = math.ceil(asked_rows / _block_rows(asked_rows, query_batch, size))
+        vector_blocks = max(1, math.ceil(vector_rows / _block_rows(vector_rows, block_rows, size)))
 
         def blocks(column: str, count: int) -> Column:
             return F.pmod(F.xxhash64(column), F.lit(count))
@@ -109,7 +153,8 @@ def most_similar(
             return _best(some["query_id"], _unit_rows(some["query"]), part["vec_id"].to_numpy(), part["embedding"], k)
 
         q, v = F.col("q").cast("bigint"), F.col("v").cast("bigint")
-        left, right = left.withColumns({"q": q, "v": v}), right.withColumns({"q": q, "v": v})
+        tasks = query_blocks * vector_blocks
+        left, right = (_dealt(side.withColumns({"q": q, "v": v}), tasks, "q", "v") for side in (left, right))
         results = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(meet, schema)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return results.withColumn("place", place).where(F.col("place") <= k)
@@ -146,21 +191,23 @@ def similar_pairs(
     Copies of a vector are one row, named by their smallest id, with their
     number. The angle is a distance, so two vectors within an angle r cannot
     lie in the regions of two pivots unless each is within 2r of the border;
-    only such regions are compared, in blocks of ``block_rows`` rows. The number of regions grows with the
+    only such regions are compared, in blocks of at least ``block_rows`` rows. The number of regions grows with the
     square root of the number of blocks. A low threshold has a wide reach: below about 0.7 (45 degrees) nearly all
-    regions meet, and the work is that of comparing all distinct vectors in blocks.
+    regions meet, and the work is that of comparing all distinct vectors in blocks. A vector is copied to each block that it
+    meets, so blocks grow with the table up to a bounded size.
     """
     single = cut_lineage(distinct_vectors(vectors, vector_id, vector))
     total = single.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], _pair_type(vectors.schema[vector_id].dataType))
+    block_rows = _block_rows(total, block_rows, len(single.select("embedding").first()[0] or ()))
     blocks = total // block_rows
     count = max(1, min(blocks, 16 * math.isqrt(blocks)))
     # Chosen by hash, out of a few times as many, so that no task sends on more than those.
     some = single.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, total))) < 8 * count + 16)
     pivots = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()
     count = len(pivots)
-    matrix = _unit_rows([p["embedding"] for p in pivots]) 
+    matrix = _unit_rows([p["embedding"] for p in pivots])
     reach = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
     region_type = T.StructType(
         [T.StructField("home", T.IntegerType()), T.StructField("others", T.ArrayType(T.IntegerType()))]
@@ -222,22 +269,30 @@ def similar_pairs(
         left, right = part[part["side"] == 0], part[part["side"] == 1]
         if left.empty or right.empty:
             return pd.DataFrame(columns=schema.names)
-        scores = np.round(_unit_rows(left["embedding"]) @ _unit_rows(right["embedding"]).T, DIGITS)
-        a, b = np.nonzero(scores >= threshold)
+        rows, columns, met = _unit_rows(left["embedding"]), _unit_rows(right["embedding"]).T, []
+        for start in _strips(len(rows), len(right)):
+            scores = rows[start : start + _strip(len(right))] @ columns
+            x, y = np.nonzero(scores >= threshold - 2 * 10.0**-DIGITS)
+            cosines = scores[x, y]  # as they are: a caller's own rounding must not be the second one
+            reached = np.round(cosines, DIGITS) >= threshold
+            met.append((x[reached] + start, y[reached], cosines[reached]))
+        a, b, cosines = (np.concatenate(c) for c in zip(*met))
         li, ri = left["vec_id"].to_numpy()[a], right["vec_id"].to_numpy()[b]
         same_block = int(part["left"].iloc[0]) == int(part["right"].iloc[0])
         keep = (li < ri) if same_block else (li != ri)
-        a, b, li, ri = a[keep], b[keep], li[keep], ri[keep]
+        a, b, cosines, li, ri = a[keep], b[keep], cosines[keep], li[keep], ri[keep]
         flip = li > ri
         lc, rc = left["copies"].to_numpy()[a], right["copies"].to_numpy()[b]
         return pd.DataFrame(
             {
                 "vec_id": np.where(flip, ri, li),
                 "other_id": np.where(flip, li, ri),
-                "cosine": scores[a, b],
+                "cosine": cosines,
                 "copies": np.where(flip, rc, lc),
                 "other_copies": np.where(flip, lc, rc),
             }
         )
 
-    return work.groupBy("region", "left", "right").applyInPandas(compare, schema)
+    tasks = sum(h * (h + 1) // 2 + h * g for h, g in zip(homes, guests))
+    dealt = _dealt(work, tasks, "region", "left", "right")
+    return dealt.groupBy("region", "left", "right").applyInPandas(compare, schema)

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,34 @@ def test_similar_pairs(vectors, threshold, monkeypatch):
     assert all((r.copies == 51) == (r.vec_id == 3) and (r.other_copies == 51) == (r.other_id == 3) for r in got)
 
 
+def test_blocks_grow_with_the_table_so_that_copies_stay_few(vectors):
+    copies = lambda rows, least: math.ceil(rows / E._block_rows(rows, least, 64))
+    assert copies(600, 32) == 19  # few rows stay in the blocks asked for
+    assert all(copies(n, 32) <= 40 for n in (2_000, 100_000, 600_000))
+    assert E._block_rows(10**9, 32, 64) * 64 <= 1 << 20  # a task's memory is bounded
+
+
+def test_blocks_in_strips(vectors, monkeypatch):
+    rows = vectors.where("vec_id < 200").collect()
+    ids, part = np.array([r.vec_id for r in rows]), pd.Series([r.embedding for r in rows])
+    unit = E._unit_rows(part)
+    monkeypatch.setattr(E, "_STRIP_SCORES", 500)
+    got = E._best(ids[:20], unit[:20], ids, part, 3).groupby("query_id")["vec_id"].apply(list)
+    for q in range(20):
+        assert got[q] == [i for _, i in sorted((-round(float(unit[q] @ u), 12), i) for i, u in zip(ids, unit))[:3]]
+    everything = E._best(ids[:2], unit[:2], ids, part, 500)
+    assert len(everything) == 2 * len(ids)
+
+
+def test_cosines_of_pairs_are_not_rounded(spark):
+    a, b = [1.0, 0.0], [0.9, 0.4358898943540674]
+    df = spark.createDataFrame([(1, a), (2, b)], "vec_id bigint, embedding array<double>")
+    ((got,),) = E.similar_pairs(df, 0.5).select("cosine").collect()
+    third = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [3.0, 1.0, 2.0])], "vec_id bigint, embedding array<double>")
+    ((other,),) = E.similar_pairs(third, 0.5).select("cosine").collect()
+    assert got == pytest.approx(0.9) and abs(other - 11 / 14) < 1e-15  # 12 digits are 3e-13 off
+
+
 def test_weights_of_0_end_and_negative_ones_raise(spark):
     edges = spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0), (2, 3, 0.0), (3, 1, 0.0), (1, 3, 0.0)], "src long, dst long, weight double")
     sources = spark.createDataFrame([(1,)], "source long")
