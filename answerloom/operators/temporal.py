@@ -89,6 +89,88 @@ def interval_join(
     return met.drop("__level", "__at", *(f"__{s}_{c}" for s in "lr" for c in ("low", "high", "level")))
 
 
+#: An inner cell of ranks holds this many cells of the level below, as a power of two.
+_CELL_BITS = 2
+
+
+def _cell(rank: Column, level: Column) -> Column:
+    return F.call_function("shiftright", rank, level * _CELL_BITS)
+
+
+def _cells_of_range(first: Column, last: Column, levels: int) -> Column:
+    """The fewest cells (level, at) that make up the ranks from first to last, which are 1 at least; none when first > last."""
+
+    def inside(level: Column) -> tuple[Column, Column]:
+        width = F.call_function("shiftleft", F.lit(1).cast("bigint"), level * _CELL_BITS)
+        return _cell(first + width - 1, level), _cell(last + 1, level) - 1
+
+    def listed(level: Column) -> Column:
+        (a, b), (c, d) = inside(level), inside(level + 1)
+        # Only up to a cell's worth of cells at each end is not in a larger one.
+        ends = F.array_distinct(F.concat(F.sequence(a, F.least(b, a + (1 << _CELL_BITS))), F.sequence(F.greatest(a, b - (1 << _CELL_BITS)), b)))
+        edge = F.filter(ends, lambda x: ~F.shiftright(x, _CELL_BITS).between(c, d))
+        cells = F.when(a <= b, edge).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(cells, lambda x: F.struct(level.alias("level"), x.alias("at")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), listed))
+
+
+def _cells_of_point(rank: Column, levels: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda n: F.struct(n.alias("level"), _cell(rank, n).alias("at")))
+
+
+def overlap_totals(
+    left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], measures: Mapping[str, tuple[str, Column]], closed: bool = False,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Each row of ``left`` that some interval of ``right`` overlaps, with ``measures`` (name to (``count``, ``sum``, ``min`` or ``max``, right column)) of those.
+
+    What overlaps is as in ``interval_join``, but pairs are never made, so the work does not grow with their number. The ends become
+    ranks. A right interval overlaps if it starts inside the left one, or else if the left one starts inside it after its own
+    start. Both say that a rank lies in a range of ranks: a rank lies in one cell per level, a range is made up of a few cells
+    per level, so each meets its cells by equality, after rows of a cell have been added up. Rows with equal ends are one.
+    """
+    made = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    again = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    names = [f"__m{i}" for i in range(len(measures))]
+    functions = [f for f, _ in measures.values()]
+
+    def together() -> list[Column]:
+        return [again[f](n).alias(n) for f, n in zip(functions, names)]
+
+    def ready(df: DataFrame, low: str, high: str) -> DataFrame:
+        a, b = (F.col(c).cast("double") + F.lit(0.0) for c in (low, high))  # one zero
+        return df.withColumns({"__low": a, "__high": b}).where(~F.isnan("__low") & ~F.isnan("__high") & (F.col("__low") <= F.col("__high") if closed else F.col("__low") < F.col("__high")))
+
+    l_rows = ready(left, *left_ends)
+    r_rows = cut_lineage(ready(right, *right_ends).groupBy("__low", "__high").agg(*[made[f](c).alias(n) for n, (f, c) in zip(names, measures.values())]))
+    l_once = cut_lineage(l_rows.select("__low", "__high").distinct())
+    ends = l_once.select(F.explode(F.array("__low", "__high")).alias("end")).unionByName(r_rows.select(F.explode(F.array("__low", "__high")).alias("end"))).distinct()
+    ranks = cut_lineage(running(ends, [], ["end"], {"rank": ("count", F.lit(1))}, ranges))
+    levels = max(1, math.ceil(ranks.count().bit_length() / _CELL_BITS))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        first = ranks.select(F.col("end").alias("__low"), F.col("rank").alias("__first"))
+        last = ranks.select(F.col("end").alias("__high"), F.col("rank").alias("__last"))
+        joined = rows.join(first, "__low").join(last, "__high")
+        return joined if closed else joined.withColumn("__last", F.col("__last") - 1)  # the last rank before the end
+
+    def listed(rows: DataFrame, starts: Column, holds: Column, *kept: str) -> DataFrame:
+        """Cells of two kinds: of the rows as starting points or, for the other side, as ranges that hold such."""
+        kinds = F.concat(
+            F.transform(starts, lambda c: F.struct(F.lit(0).alias("kind"), c["level"].alias("level"), c["at"].alias("at"))),
+            F.transform(holds, lambda c: F.struct(F.lit(1).alias("kind"), c["level"].alias("level"), c["at"].alias("at"))),
+        )
+        return rows.select(*kept, F.explode(kinds).alias("__cell")).select(*kept, "__cell.*")
+
+    first, last = F.col("__first"), F.col("__last")
+    cells = listed(ranked(r_rows), _cells_of_point(first, levels), _cells_of_range(first + 1, last, levels), *names)
+    cells = cut_lineage(cells.groupBy("kind", "level", "at").agg(*together()))
+    asked = listed(ranked(l_once), _cells_of_range(first, last, levels), _cells_of_point(first, levels), "__low", "__high")
+    totals = asked.join(cells, ["kind", "level", "at"]).groupBy("__low", "__high").agg(*together())
+    return l_rows.join(totals, ["__low", "__high"]).select(*left.columns, *[F.col(n).alias(m) for n, m in zip(names, measures)])
+
+
 def gap_sessions(
     df: DataFrame, keys: Sequence[str], time: str, gap_seconds: float, measures: Mapping[str, Column], order: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:

@@ -171,3 +171,31 @@ def test_keyed_budget_state(spark, visits, tmp_path):
 def test_slide_longer_than_window_raises(visits):
     with pytest.raises(ValueError, match="slide"):
         temporal.sliding_windows(visits, ["u"], "ts", 60, 90, {"n": F.lit(1)})
+
+
+@pytest.mark.parametrize("closed, ranges", [(False, None), (True, 5)])
+def test_overlap_totals_make_no_pairs(spark, closed, ranges):
+    rng = random.Random(4)
+    some = lambda n, most: [(i, float(a := rng.randrange(-40, 40)), a + rng.choice([0.0, 1.0, -1.0, rng.randrange(most) * 0.5])) for i in range(n)]
+    odd = [(900, None, 3.0), (901, float("nan"), 3.0), (902, -100.0, float("inf")), (903, 0.0, 0.0), (904, -0.0, 4.0)]
+    left, right = some(60, 90) + odd, some(300, 12) + odd
+    a = spark.createDataFrame(left, "l long, low double, high double")
+    b = spark.createDataFrame(right, "r long, from double, to double")
+    measures = {"n": ("count", F.lit(1)), "least": ("min", F.col("r")), "most": ("max", F.col("r")), "total": ("sum", F.col("r"))}
+    found = temporal.overlap_totals(a, b, ("low", "high"), ("from", "to"), measures, closed=closed, ranges=ranges)
+    got = {x.l: (x.n, x.least, x.most, x.total) for x in found.collect()}
+    fits = lambda x, y: x is not None and (x <= y if closed else x < y)
+    want = {}
+    for i, low, high in left:
+        met = [r for r, f, t in right if fits(low, high) and fits(f, t) and fits(f, high) and fits(low, t)]
+        if met:
+            want[i] = (len(met), min(met), max(met), sum(met))
+    assert got == want
+
+
+def test_overlap_totals_do_not_grow_with_the_pairs(spark):
+    # 9 * 10**10 pairs; joined, they would not end.
+    wide = spark.range(300_000).selectExpr("id AS l", "CAST(id % 1000 AS double) AS low", "CAST(id % 1000 + 1000000 AS double) AS high")
+    inner = spark.range(300_000).selectExpr("id AS r", "CAST(id + 2000 AS double) AS from", "CAST(id + 2001 AS double) AS to")
+    found = temporal.overlap_totals(wide, inner, ("low", "high"), ("from", "to"), {"n": ("count", F.lit(1)), "least": ("min", F.col("r"))})
+    assert found.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.max("least")).collect()[0][:] == (300_000, 300_000, 300_000, 0)
