@@ -1,6 +1,8 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from answerloom.functions import html_nodes as H
 from answerloom.functions.decode import decode_layers
 from answerloom.functions.html_nodes import shred
 from answerloom.functions.urls import default_submit_url, host, resolve_url, source_kind
@@ -207,3 +209,16 @@ def test_spans_end_with_their_table(spark):
     cells = P.page_tables(P.parse_pages(df)).collect()
     assert sorted((c.row_idx, c.col_idx, c.text) for c in cells if c.page_id == 1) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "a"), (1, 1, "c")]
     assert sum(1 for c in cells if c.page_id == 2 and c.text == "x") == 1200
+
+
+def test_pages_are_parsed_in_portions_by_size(spark, monkeypatch):
+    pages = ["<p>a</p>" * 10, None, "", "<b>x</b>" * 50, "<p>a<i>b</i>", "y"] * 3
+    whole = H._parsed(pa.array(pages)).to_pylist()
+    monkeypatch.setattr(H, "_PORTION_BYTES", 100)
+    portions = list(H._portions(pa.array(pages)))
+    assert len(portions) > 6 and max(sum(len(p or "") for p in x.to_pylist()) for x in portions) == 400  # one page alone
+    assert sum((x.to_pylist() for x in portions), []) == pages
+    assert [n for x in portions for n in H._parsed(x).to_pylist()] == whole
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id int, html string")
+    got = P.parse_pages(df).selectExpr("page_id", "size(nodes) AS n").orderBy("page_id").collect()
+    assert [r.n for r in got] == [None if p is None else len(n) for p, n in zip(pages, whole)]
