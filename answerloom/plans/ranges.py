@@ -85,7 +85,7 @@ def _with_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges
     The key is one struct, which equals itself also where it holds nulls, so
     windows, totals and the join after them share one partitioning.
     """
-    ranges = ranges or range_count(df.select(*order))
+    ranges = ranges or range_count(df)  # the whole rows move, not only their order
     if ranges == 1:
         return None
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))

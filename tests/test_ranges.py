@@ -106,3 +106,14 @@ def test_spread_leaves_large_input_alone(spark, sf, monkeypatch):
     assert R.spread(events).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(R, "RANGE_BYTES", 10)
     assert R.spread(events).rdd.getNumPartitions() == events.rdd.getNumPartitions()
+
+
+def test_ranges_are_counted_by_whole_rows(spark, tmp_path, monkeypatch):
+    spark.range(20_000).selectExpr("id % 3 AS k", "id AS at", "sha2(CAST(id AS string), 512) AS wide").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    asked, in_ranges = [], R.in_ranges
+    monkeypatch.setattr(R, "RANGE_BYTES", R.plan_bytes(df) // 3)
+    monkeypatch.setattr(R, "in_ranges", lambda df, order, n, *more: asked.append(n) or in_ranges(df, order, n, *more))
+    assert R.plan_bytes(df.select("at")) > 0
+    got = R.running(df.withColumn("n", F.lit(1)), ["k"], ["at"], {"upto": ("sum", F.col("n"))}).where("upto != floor(at / 3) + 1").count()
+    assert got == 0 and asked and asked[0] >= 3
