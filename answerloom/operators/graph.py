@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from answerloom import fixed_values as V
 from answerloom.plans.ranges import RANGE_BYTES, plan_bytes
-from answerloom.plans.staging import cut_in_buckets, cut_lineage
+from answerloom.plans.staging import cut_in_buckets, cut_lineage, staged
 
 #: A node of more edges has them in several parts of about as many, so that it is never one task's work.
 #: A front row is then copied once to this many rows that come of it.
@@ -32,22 +32,24 @@ def edges_from(df: DataFrame, directed: bool = False, weight: str | None = None)
     Of parallel edges the least ``weight`` is kept.
     """
     first, second = df.columns[:2]
-    ends = [F.col(first).alias("src"), F.col(second).alias("dst")]
-    if not directed:
-        both = F.array(F.struct(*ends), F.struct(F.col(second).alias("src"), F.col(first).alias("dst")))
-        kept = df.select(F.explode(both).alias("e"), *([F.col(weight).alias("weight")] if weight else []))
-        kept = kept.select("e.*", *(["weight"] if weight else []))
-    else:
-        kept = df.select(*ends, *([F.col(weight).alias("weight")] if weight else []))
+    kept = df.select(F.col(first).alias("src"), F.col(second).alias("dst"), *([F.col(weight).alias("weight")] if weight else []))
     kept = kept.where("src IS NOT NULL AND dst IS NOT NULL")
-    if weight:
-        return kept.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    return kept.distinct()
+    if not directed:  # both ways are one edge until they are told apart, so half the rows are shuffled and held
+        kept = kept.withColumns({"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")})
+    kept = kept.groupBy("src", "dst").agg(F.min("weight").alias("weight")) if weight else kept.distinct()
+    if directed:
+        return kept
+    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ways = F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back))
+    return kept.select(F.explode(ways).alias("e"), *(["weight"] if weight else [])).select("e.*", *(["weight"] if weight else []))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """Degree and degree centrality per node of an undirected edge table. A loop counts twice."""
-    counted = edges.groupBy(F.col("src").alias("node")).agg(
+    """Degree and degree centrality per node of an undirected edge table. A loop counts twice.
+
+    The edges are written first, so no task holds edges to tell apart and nodes to count at once.
+    """
+    counted = staged(edges).groupBy(F.col("src").alias("node")).agg(
         (F.count(F.lit(1)) + F.count_if(F.col("src") == F.col("dst"))).alias("degree")
     )
     others = counted.agg(F.count(F.lit(1)) - 1).scalar()
@@ -77,7 +79,7 @@ class _Stored:
 
     @classmethod
     def of(cls, edges: DataFrame, hub_edges: int) -> _Stored:
-        edges = cut_lineage(edges)
+        edges = staged(edges)  # read twice
         out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub_edges)
         hubs = cut_lineage(out.select("src", F.ceil(F.col("n") / hub_edges).cast("int").alias("parts")))
         part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
@@ -99,6 +101,7 @@ def _levels(
     directed: bool = False,
     max_rounds: int | None = None,
     paths: bool = True,
+    nodes: int | None = None,
 ) -> DataFrame:
     """Breadth-first levels, with one path per node, ties by the smallest predecessor.
 
@@ -114,7 +117,7 @@ def _levels(
     )
     levels = [level]
     reached = level.count()
-    most = reached * _nodes(stored.edges, directed).count()
+    most = reached * (_nodes(stored.edges, directed).count() if nodes is None else nodes)
     rounds = 0
     while reached != most and (max_rounds is None or rounds < max_rounds):
         rounds += 1
@@ -223,12 +226,12 @@ def shortest_paths(
 def closeness(edges: DataFrame, sources: DataFrame, directed: bool = False, hub_edges: int = HUB_EDGES) -> DataFrame:
     """Closeness of the sources: nodes reached over total distance, scaled by the share of nodes reached."""
     stored = _Stored.of(edges, hub_edges)
-    reached = _levels(stored, sources.select("source").distinct(), directed=directed, paths=False)
-    others = _nodes(stored.edges, directed).agg(F.count(F.lit(1)) - 1).scalar()
+    nodes = _nodes(stored.edges, directed).count()
+    reached = _levels(stored, sources.select("source").distinct(), directed=directed, paths=False, nodes=nodes)
     sums = reached.groupBy("source").agg(
         (F.count(F.lit(1)) - 1).alias("reached"), F.sum("hops").alias("total_distance")
     )
-    share = F.try_divide(F.col("reached"), others)
+    share = F.try_divide(F.col("reached"), F.lit(nodes - 1))
     return sums.select(
         "source",
         "reached",

@@ -43,6 +43,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` for what is read more than once; a plain scan of files, as that gives, is left as it is."""
+    return df if df._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRelation" else cut_lineage(df)
+
+
 def cut_in_buckets(df: DataFrame, columns: Sequence[str], buckets: int) -> DataFrame:
     """As ``cut_lineage``, in sorted buckets by ``columns``: joins on exactly these columns do not shuffle this table.
 

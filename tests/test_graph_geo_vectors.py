@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from answerloom.operators import geo as X
 from answerloom.operators import graph as G
 from answerloom.operators import vectors as E
+from answerloom.plans import staging
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,25 @@ def test_edges_and_degrees(edges):
     assert got[4] == (3, 3 / 8) and got[9][0] == 2 and len(got) == 9
 
 
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_edges_are_told_apart_once_for_both_ways(spark, weight):
+    rows = [(1, 2, 3.0), (2, 1, 2.0), (1, 2, 5.0), (3, 3, 1.0), (3, 3, 4.0), (5, 4, None), (None, 1, 1.0), (1, None, 1.0)]
+    edges = G.edges_from(spark.createDataFrame(rows, "a int, b long, w double"), weight=weight)
+    assert [f.dataType.simpleString() for f in edges.schema][:2] == ["bigint", "bigint"]
+    want = {(1, 2): 2.0, (2, 1): 2.0, (3, 3): 1.0, (4, 5): None, (5, 4): None}
+    got = edges.collect()
+    assert sorted(tuple(r)[:2] for r in got) == sorted(want)
+    assert weight is None or {(r.src, r.dst): r.weight for r in got} == want
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # both ways are made of edges told apart: half the rows are held
+
+
+def test_a_written_table_is_not_written_again(spark):
+    made = spark.range(10).selectExpr("id", "id % 3 AS k")
+    kept = staging.staged(made)
+    assert kept is not made and staging.staged(kept) is kept and staging.staged(kept.where("k = 1")).count() == 3
+
+
 def test_paths(spark, edges):
     got = {r.node: (r.distance, r.path) for r in G.shortest_paths(edges, sources(spark, 1)).collect()}
     assert got == {
