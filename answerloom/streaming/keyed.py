@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from answerloom import fixed_values as V
@@ -30,28 +31,55 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_PROVIDER, own)
 
 
+#: Sessions are dealt to so many keys of the state store, each with a map of its sessions: a call costs the same for one session as
+#: for hundreds. It decides where state lies, so a stream cannot go on under another number.
+SESSION_PARTS = 1024
+_NULL_PART = -1
+
+
 class _Budget(StatefulProcessor):
-    """Running use of a session; tells the bucket in which it reaches the line."""
+    """Running use of each session of a part; tells the bucket in which one reaches the line."""
 
-    def __init__(self, line: float) -> None:
-        self.line = line
+    def __init__(self, line: float, kind: str) -> None:
+        self.line, self.kind = line, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("use", "used bigint, crossed boolean")
+        self.state = handle.getMapState("use", f"session {self.kind}", "used bigint, crossed boolean")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import numpy as np
         import pandas as pd
 
-        used, crossed = self.state.get() if self.state.exists() else (0, False)
-        buckets = pd.concat(list(rows)).sort_values("bucket_start")  # sums of buckets that closed since the last batch
-        upto = used + buckets["more"].cumsum()
-        over = upto[upto >= self.line] if not crossed else upto[:0]
-        self.state.update((int(upto.iloc[-1]), bool(crossed or len(over))))
-        if len(over):
-            at = buckets.loc[[over.index[0]]] if buckets.index.is_unique else buckets[(upto >= self.line).to_numpy()].head(1)
-            total = int(over.iloc[0])
+        buckets = pd.concat(list(rows), ignore_index=True)  # sums of buckets that closed since the last batch
+        codes, names = pd.factorize(buckets["session"], use_na_sentinel=False)
+        order = np.lexsort((buckets["bucket_start"].to_numpy(), codes))
+        buckets, codes = buckets.iloc[order], codes[order]
+        ends = np.append(np.flatnonzero(np.diff(codes)), len(codes) - 1)
+        starts = np.append(0, ends[:-1] + 1)
+        names = [None] if key[0] == _NULL_PART else [n.to_pydatetime() if isinstance(n, pd.Timestamp) else n for n in pd.Index(names).astype(object)]
+        held = [self.state.getValue((n,)) for n in names]
+        used = np.array([h[0] if h else 0 for h in held], dtype="int64")
+        crossed = np.array([bool(h and h[1]) for h in held])
+        more = buckets["more"].to_numpy(dtype="int64")
+        total = np.cumsum(more)
+        upto = total + (used - (total - more)[starts])[codes]
+        over = np.flatnonzero((upto >= self.line) & ~crossed[codes])
+        reached, first = np.unique(codes[over], return_index=True)
+        now = crossed.copy()
+        now[reached] = True
+        for c in np.flatnonzero(~crossed):  # what a session uses after it has crossed changes nothing
+            self.state.updateValue((names[c],), (int(upto[ends[c]]), bool(now[c])))
+        if len(reached):
+            at = over[first]
+            places = buckets.iloc[at]
             yield pd.DataFrame(
-                {"session": [key[0]], "bucket_start": at["bucket_start"].to_numpy(), "bucket_end": at["bucket_end"].to_numpy(), "before": [total - int(at["more"].iloc[0])], "used": [total]}
+                {
+                    "session": [names[c] for c in reached],
+                    "bucket_start": places["bucket_start"].to_numpy(),
+                    "bucket_end": places["bucket_end"].to_numpy(),
+                    "before": upto[at] - more[at],
+                    "used": upto[at],
+                }
             )
 
     def close(self) -> None:
@@ -65,8 +93,8 @@ def stream_budget(
 
     Use is added up in the order of event time, not of arrival: rows up to ``delay`` late count where they belong, later ones are dropped.
     Tokens are summed per (session, bucket) before the shuffle, and a closed bucket is one row of its session, so a busy session
-    is no busier than another. The running total and whether the line is passed are a session's only state: a batch does the
-    same work whatever came before it. ``crossing_events`` finds the very event. Null tokens are 0; a null session is a session.
+    is no busier than another. The running total and whether the line is passed are a session's only state, read and written only where
+    the session has closed buckets: a batch does the same work whatever came before it. ``SESSION_PARTS`` keys hold the sessions. ``crossing_events`` finds the very event. Null tokens are 0; a null session is a session.
     """
     line = float(budget) * threshold if budget > 0 else float("-inf")
     kind = events.schema[session].dataType.simpleString()
@@ -74,7 +102,12 @@ def stream_budget(
     closed = timed.groupBy(F.col(session).alias("session"), F.window("__at", bucket).alias("w")).agg(F.coalesce(F.sum(tokens), F.lit(0)).cast("bigint").alias("more"))
     closed = closed.select("session", F.col("w.start").alias("bucket_start"), F.col("w.end").alias("bucket_end"), "more")
     out = f"session {kind}, bucket_start timestamp, bucket_end timestamp, before bigint, used bigint"
-    return closed.groupBy("session").transformWithStateInPandas(_Budget(line), out, "Append", "None")
+    # Null has a part of its own and, among whole numbers, a number in its place: beside a null pandas would make them floats.
+    part = F.when(F.col("session").isNull(), _NULL_PART).otherwise(F.pmod(F.xxhash64("session"), F.lit(SESSION_PARTS))).cast("int")
+    closed = closed.withColumn("part", part)
+    if isinstance(events.schema[session].dataType, T.IntegralType):
+        closed = closed.withColumn("session", F.coalesce("session", F.lit(0).cast(kind)))
+    return closed.groupBy("part").transformWithStateInPandas(_Budget(line, kind), out, "Append", "None")
 
 
 def crossing_events(

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,38 @@ def test_keyed_budget_state(spark, visits, tmp_path):
     assert keyed_rows and max(keyed_rows) <= 3
 
 
+class _Held(dict):
+    getValue, updateValue = dict.get, dict.__setitem__  # noqa: N815
+
+
+def test_keyed_budget_takes_many_sessions_at_a_call():
+    budget, hour = keyed._Budget(100.0, "bigint"), lambda h: pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)
+    budget.state = _Held({(2**60 + 1,): (90, False), (5,): (500, True)})
+
+    def call(part, *rows):
+        frame = pd.DataFrame([(s, hour(h), hour(h + 1), n) for s, h, n in rows], columns=["session", "bucket_start", "bucket_end", "more"])
+        return [tuple(r) for got in budget.handleInputRows((part,), iter([frame.iloc[:2], frame.iloc[2:]]), None) for r in got.itertuples(index=False)]
+
+    got = call(3, (7, 2, 60), (2**60 + 1, 1, 10), (7, 0, 30), (5, 0, 9), (7, 1, 20), (8, 0, 99), (7, 3, 70))
+    assert sorted(got) == [(7, hour(2), hour(3), 50, 110), (2**60 + 1, hour(1), hour(2), 90, 100)]
+    assert budget.state == {(2**60 + 1,): (100, True), (5,): (500, True), (7,): (180, True), (8,): (99, False)}
+    assert call(3, (7, 4, 1000)) == [] and call(3, (8, 5, 1)) == [(8, hour(5), hour(6), 99, 100)]
+    assert call(-1, (None, 0, 60)) == [] and call(-1, (None, 1, 60)) == [(None, hour(1), hour(2), 60, 120)]
+
+
+def test_keyed_budget_of_null_and_wide_sessions(spark, visits, tmp_path):
+    """A null session is a session, and the others stay whole numbers beside it."""
+    out, mark, wide = str(tmp_path / "out"), str(tmp_path / "mark"), 2**60 + 1
+    wider = visits.withColumn("u", F.when(F.col("u") == "hot", F.lit(None)).otherwise(wide + F.pmod(F.xxhash64("u"), F.lit(1000))).cast("bigint"))
+    arrive(spark, wider, str(tmp_path / "in"), lambda s: keyed.run_keyed(keyed.stream_budget(s, "u", "ts", "tokens", "1 minute", "2 hours", budget=1000), out, mark))
+    batch = sessions.token_budget(wider, "u", ["ts", "id"], "tokens", budget=1000).where("switched")
+    first = batch.groupBy("u").agg(F.min("ts").alias("ts")).collect()
+    last = visits.agg(F.max("ts")).first()[0] - dt.timedelta(hours=2, minutes=1)
+    want = {r.u: r.ts.replace(second=0, microsecond=0) for r in first if r.ts < last}
+    got = spark.read.parquet(out).select("session", F.col("bucket_start").cast("timestamp_ntz")).collect()
+    assert None in want and {r[0]: r[1] for r in got} == want and len(got) == len(want)
+
+
 def test_slide_longer_than_window_raises(visits):
     with pytest.raises(ValueError, match="slide"):
         temporal.sliding_windows(visits, ["u"], "ts", 60, 90, {"n": F.lit(1)})
