@@ -404,11 +404,13 @@ SELECT session, run, event_type AS step, min(ts) AS first_at, max(ts) AS last_at
 """,
 )
 def q1_table_function(spark, sf_dir):
+    # Some hundreds of instances, each with the days of many sessions one after another.
     sql = """
-SELECT * FROM step_runs(TABLE(SELECT user_id AS session, ts AS at, event_type AS step, date_trunc('day', ts) AS day, event_id FROM events)
-  PARTITION BY (session, day) ORDER BY (at, event_id))
+SELECT * FROM step_runs(TABLE(SELECT *, pmod(xxhash64(session, day), 1024) AS part FROM (
+    SELECT user_id AS session, ts AS at, event_type AS step, date_trunc('day', ts) AS day, event_id FROM events))
+  PARTITION BY part ORDER BY (session, day, at, event_id))
 """
-    return sql_with_functions(spark, {"events": table(spark, sf_dir, "events")}, {"step_runs": step_runs()}, sql)
+    return sql_with_functions(spark, {"events": table(spark, sf_dir, "events")}, {"step_runs": step_runs("session", "day")}, sql)
 
 
 @query(

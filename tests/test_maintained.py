@@ -55,3 +55,23 @@ def test_table_function(spark):
     with pytest.raises(ValueError, match="taken"):
         sql_with_functions(spark, {"t": df}, {"taken": step_runs()}, "SELECT 1")
     spark.sql("DROP TEMPORARY FUNCTION taken")
+
+
+def test_table_function_with_many_groups_in_an_instance(spark):
+    """Groups that follow each other in a partition are numbered anew, also where a batch ends inside one, and null ones."""
+    pick = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(pick.choice([1, 2**60 + 1, None]), k // 9000, start + dt.timedelta(seconds=k), pick.choice(["x", "x", "x", "y", None])) for k in range(27_000)]
+    rows += [(s, 9, start, "x") for s in range(10, 3000)]
+    df = spark.createDataFrame(rows, "session bigint, day int, at timestamp_ntz, step string")
+    sql = "SELECT * FROM step_runs(TABLE(SELECT *, 0 AS part FROM t) PARTITION BY part ORDER BY (session, day, at))"
+    want, last = [], {}
+    for s, day, at, step in rows:
+        g = (s, day)
+        if g in last and last[g][2] == step:
+            last[g][4], last[g][5] = at, last[g][5] + 1
+        else:
+            last[g] = [s, last[g][1] + 1 if g in last else 1, step, at, at, 1]
+            want.append(last[g])
+    got = sql_with_functions(spark, {"t": df}, {"step_runs": step_runs("session", "day")}, sql)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want))
