@@ -232,17 +232,25 @@ def promoted_table(df: DataFrame, cells: str, names: Sequence[str]) -> DataFrame
 
 
 def profile(df: DataFrame, exact: bool = False) -> DataFrame:
-    """Per column: type, rows, missing, distinct values, least and greatest value."""
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    parts = []
+    """Per column: type, rows, missing, distinct values, least and greatest value.
+
+    Exact distinct values are counted column by column: in one aggregate every row would be held once per column, with all columns.
+    """
+
+    def distinct(c: Column) -> Column:
+        if not exact:
+            return F.approx_count_distinct(c)
+        return df.select(c.alias("v")).distinct().agg(F.count("v")).scalar()
+
+    parts, counts = [], []
     for i, f in enumerate(df.schema):
         c = _quoted(f.name)
         parts += [
             F.count(c).alias(f"n{i}"),
-            distinct(c).alias(f"d{i}"),
             F.min(c).cast("string").alias(f"lo{i}"),
             F.max(c).cast("string").alias(f"hi{i}"),
         ]
+        (counts if exact else parts).append(distinct(c).alias(f"d{i}"))
     rows = F.array(
         *[
             F.struct(
@@ -258,7 +266,8 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
             for i, f in enumerate(df.schema)
         ]
     )
-    return df.agg(F.count(F.lit(1)).alias("rows"), *parts).select(F.explode(rows).alias("p")).select("p.*")
+    told = df.agg(F.count(F.lit(1)).alias("rows"), *parts).select("*", *counts)
+    return told.select(F.explode(rows).alias("p")).select("p.*")
 
 
 def sample_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:

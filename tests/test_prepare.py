@@ -69,6 +69,15 @@ def test_profile(spark):
     assert got == {"n": ("int", 3, 0, 2, "1", "2"), "s": ("string", 3, 1, 2, "a", "b")}
 
 
+def test_exact_profile_counts_column_by_column(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, "b", nan), (2, None, nan), (2, "a", 0.0), (3, "a", -0.0)], "n int, `s.t` string, d double")
+    made = P.profile(df, exact=True)
+    assert {r.column: (r.rows, r.missing, r.distinct) for r in made.collect()} == {"n": (4, 0, 3), "s.t": (4, 1, 2), "d": (4, 0, 2)}
+    assert "Expand" not in made._jdf.queryExecution().optimizedPlan().toString()  # which holds every row once per column
+    assert [(r.rows, r.missing, r.distinct) for r in P.profile(df.limit(0), exact=True).collect()] == [(0, 0, 0)] * 3
+
+
 def test_transform(spark):
     df = spark.createDataFrame([(" Ab ", "7", "x")], "a string, b string, c string")
     spec = P.RecordSpec(select=["b", "a"], rename={"b": "n"}, trim=["a"], lower=["a"], cast={"b": "int"})
