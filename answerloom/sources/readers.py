@@ -115,19 +115,21 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
         .select(F.col("_metadata.file_path").alias("file"), whole.alias("whole"), edge.alias("edge"))
         .groupBy("file")
         .agg(F.count_if("whole").alias("objects"), F.count_if("edge").alias("edges"))
-        .orderBy("file")
         .collect()
     )
     by_lines: dict[bool, list[str]] = {}
-    for row in files:
+    for row in sorted(files, key=lambda r: r.file):
         by_lines.setdefault(row.objects > 0 and row.edges == 0, []).append(row.file)
     if not by_lines:
         return (spark.read.schema(schema) if schema is not None else spark.read).json(path)
     reader = lambda lines: spark.read.option("multiLine", not lines)
-    if schema is None and len(by_lines) > 1:
-        kinds = [reader(lines).json(names).schema for lines, names in by_lines.items()]
+    if schema is None:
+        parts = [reader(lines).json(names) for lines, names in by_lines.items()]
+        kinds = [p.schema for p in parts]
         schema = reduce(_wider, kinds)
-    parts = [(reader(lines).schema(schema) if schema is not None else reader(lines)).json(names) for lines, names in by_lines.items()]
+        if all(kind == schema for kind in kinds):  # else all are read again, as what holds them all
+            return reduce(DataFrame.unionByName, parts)
+    parts = [reader(lines).schema(schema).json(names) for lines, names in by_lines.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -85,7 +85,7 @@ def s3_mixed(spark, sf_dir):
     lines = F.transform("rows", lambda r: F.to_json(r))
     parted = F.concat(F.get(lines, F.lit(0)), F.lit("\n\nbroken\n"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), "\n"))
     texts = grouped.select(F.when(F.col("part") % 2 == 0, F.to_json("rows")).otherwise(parted).alias("value"), "part")
-    texts.repartition("part").write.partitionBy("part").text(path)
+    texts.repartition(spark.sparkContext.defaultParallelism, "part").write.partitionBy("part").text(path)
     read = readers.read_json_records(spark, path + "/*/*.txt").where("c_custkey IS NOT NULL")
     return read.select(*customer.columns)
 

@@ -220,3 +220,15 @@ def test_errors_without_text_stop_no_other_source(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(manifest, "read_source", fail)
     _, status = manifest.ingest_manifest(spark, [str(tmp_path / "a.txt")])
     assert [(r.status, r.error) for r in status.collect()] == [("failed", "ValueError")]
+
+
+def test_json_of_one_schema_is_listed_once_per_form(spark, tmp_path, monkeypatch):
+    """Files of both forms with the same columns: what their schema was found on is what is read."""
+    for n in range(3):
+        put(tmp_path, f"a{n}.json", '[{"a": 1, "b": "x"},\n {"a": 2, "b": null}]')
+        put(tmp_path, f"l{n}.json", '{"a": 3, "b": "y"}\n{"a": 4, "b": "z"}\n')
+    calls, own = [], type(spark.read).json
+    monkeypatch.setattr(type(spark.read), "json", lambda self, *a, **k: calls.append(1) or own(self, *a, **k))
+    got = readers.read_json_records(spark, str(tmp_path / "*.json"))
+    assert sorted((r.a, r.b or "") for r in got.collect()) == sorted([(1, "x"), (2, ""), (3, "y"), (4, "z")] * 3)
+    assert len(calls) == 2
