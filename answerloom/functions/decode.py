@@ -21,7 +21,8 @@ def unescape_entities(text: pd.Series) -> pd.Series:
 
 
 _COMPLETE = "^(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)"
-_FOREIGN = "[^A-Za-z0-9+/=]+"
+# All but A-Za-z0-9+/= as ranges: Java's negated class takes about ten times as long where eight cores use it at once.
+_FOREIGN = r"[\x00-*,-.:-<>-@\[-`{-\x{10FFFF}]++"
 _HEAD = 1024
 
 
