@@ -7,7 +7,7 @@ adds it, so a page is parsed once for any number of them.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +63,11 @@ def page_tables(parsed: DataFrame, page: str = "page_id") -> DataFrame:
     return rows.select(page, "table_idx", "row_idx", F.explode("cols").alias("col_idx"), "is_header", "text")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def page_named_cells(parsed: DataFrame, page: str = "page_id") -> DataFrame:
     """Each cell below row 0 with the name that row 0 has in its column: (page, table_idx, row, col_idx, name, value).
 
@@ -70,10 +75,6 @@ def page_named_cells(parsed: DataFrame, page: str = "page_id") -> DataFrame:
     once, and nothing is shuffled.
     """
 
-    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-        """``use`` of a value that is worked out once."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     def placed(cell: Column, heads: Column) -> Column:
         def named(row: Column, col: Column) -> Column:
             above = F.filter(heads, lambda h: F.array_contains(h["cols"], col))
@@ -85,10 +86,10 @@ def page_named_cells(parsed: DataFrame, page: str = "page_id") -> DataFrame:
 
     def of_page(cells: Column, heads: Column) -> Column:
         own = lambda cell: F.filter(heads, lambda h: h["table_idx"] == cell["table_idx"])
-        return F.flatten(F.transform(cells, lambda cell: bound(own(cell), lambda found: placed(cell, found))))
+        return F.flatten(F.transform(cells, lambda cell: _bound(own(cell), lambda found: placed(cell, found))))
 
     heads = lambda cells: F.filter(cells, lambda c: F.array_contains(c["rows"], 0))
-    listed = bound(_table_cells(), lambda cells: bound(heads(cells), lambda found: of_page(cells, found)))
+    listed = _bound(_table_cells(), lambda cells: _bound(heads(cells), lambda found: of_page(cells, found)))
     return parsed.select(page, F.explode(listed).alias("c")).select(page, "c.*")
 
 
@@ -278,16 +279,25 @@ def css_values(selector: str, attribute: str = "text", pruned: bool = False) ->
     """
     steps = re.findall(r"(>)|((?:\[[^\]]*\]|[^\s>\[])+)", selector.strip())
     nodes = F.col(NODES)
-    found, direct = None, False
+    tests, direct = [], False
     for arrow, simple in steps:
         if arrow:
-            if found is None or direct:
+            if not tests or direct:
                 raise ValueError(f"selector not supported: {selector!r}")
             direct = True
             continue
-        found, direct = F.filter(nodes, _step(_simple_match(simple), found, direct, pruned)), False
-    if found is None or direct:
+        tests.append((_simple_match(simple), direct))
+        direct = False
+    if not tests or direct:
         raise ValueError(f"selector not supported: {selector!r}")
+
+    def picked(outer: Column | None, left: list) -> Column:
+        """The elements that pass the tests left; those of each step are found once a page, not once for every node tried against them."""
+        (match, child), *rest = left
+        found = F.filter(nodes, _step(match, outer, child, pruned))
+        return _bound(found, lambda inner: picked(inner, rest)) if rest else found
+
+    found = picked(None, tests)
     if attribute == "text":
         return F.transform(found, lambda n: H.stripped_text(H.subtree(nodes, n), pruned=pruned))
     return F.transform(found, lambda n: n["attrs"][attribute])
@@ -308,6 +318,17 @@ def css_select(
     return parsed.select(page, F.get(values, F.lit(0)).alias("value"))
 
 
+def css_parts(parsed: DataFrame, parts: dict[str, Column], first: Collection[str] = (), page: str = "page_id") -> DataFrame:
+    """Rows (page, part, pos, value) of several ``css_values`` from one parse of each page.
+
+    Of the parts in ``first`` the first value per page, or null, without its place.
+    """
+    values = {n: F.array(F.get(v, F.lit(0))) if n in first else v for n, v in parts.items()}
+    each = F.array(*[F.struct(F.lit(n).alias("part"), v.alias("values")) for n, v in values.items()])
+    listed = parsed.select(page, F.explode(each).alias("p")).select(page, "p.part", F.posexplode("p.values").alias("pos", "value"))
+    return listed.withColumn("pos", F.when(~F.col("part").isin(*first), F.col("pos"))) if first else listed
+
+
 def resolve_urls(df: DataFrame, base: str, ref: str, into: str = "resolved") -> DataFrame:
     """Adds the references of a column made absolute against another column."""
     return df.withColumn(into, resolve_url(F.col(base), F.col(ref)))

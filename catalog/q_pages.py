@@ -257,16 +257,10 @@ UNION ALL SELECT c_custkey, 'data', NULL, '/x/' || CAST(c_custkey AS VARCHAR) ||
 """,
 )
 def h9(spark, sf_dir):
-    def rows(parsed, **selected):
-        parts = F.array(*[F.struct(F.lit(n).alias("part"), v.alias("values")) for n, v in selected.items()])
-        listed = parsed.select("page_id", F.explode(parts).alias("p"))
-        return listed.select("page_id", "p.part", F.posexplode("p.values").alias("pos", "value"))
-
-    given = rows(_pages(spark, sf_dir), nav=P.css_values("nav > ul li a[href]", "href"), ad=P.css_values("body div.ad"))
-    made = _table_pages(spark, sf_dir)
-    first = P.css_select(made, "a.data.big", "href", multiple=False)
-    first = first.select("page_id", F.lit("data").alias("part"), F.lit(None).cast("int").alias("pos"), "value")
-    return given.unionByName(rows(made, dd=P.css_values("dl > dd"))).unionByName(first)
+    given = P.css_parts(_pages(spark, sf_dir), {"nav": P.css_values("nav > ul li a[href]", "href"), "ad": P.css_values("body div.ad")})
+    data = P.css_values("a.data.big", "href")
+    made = P.css_parts(_table_pages(spark, sf_dir), {"dd": P.css_values("dl > dd"), "data": data}, first=["data"])
+    return given.unionByName(made)
 
 
 @query(

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from answerloom.functions import decode
 from answerloom.functions import html_nodes as H
 from answerloom.functions.decode import decode_layers
@@ -138,6 +139,20 @@ def test_css(spark):
             P.css_select(pages, bad)
 
 
+def test_css_steps_are_found_once_a_page(spark):
+    """A page of many lists: finding every step anew for each node grows with the product of their numbers."""
+    lists = "".join(f"<ul><li><a href=h{i}>{i}</a></ul>" for i in range(400))
+    pages = parsed(spark, f"<nav>{lists}</nav><ul><li><a href=no>no</a></ul>", "<nav><ul><li><p><a href=x>y</a></ul></nav><a href=no>")
+    got = P.css_parts(pages, {"all": P.css_values("nav > ul li a[href]", "href"), "first": P.css_values("li > a")}, first=["first"])
+    rows = [tuple(r) for r in got.orderBy("page_id", "part", "pos").collect()]
+    assert rows == [(0, "all", i, f"h{i}") for i in range(400)] + [(0, "first", None, "0"), (1, "all", 0, "x"), (1, "first", None, None)]
+
+
+def test_css_query_parses_each_page_once(spark, sf):
+    plan = entry.queries()["H9_css_select"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # the given pages and the made ones
+
+
 def test_resolve(spark):
     base = "https://h.org/a/b/c.html?q=1#f"
     cases = {
