@@ -7,7 +7,7 @@ adds it, so a page is parsed once for any number of them.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +21,15 @@ from answerloom.plans.ranges import spread
 NODES = "nodes"
 
 
-def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds the ``nodes`` of each page. Write the result to a table to use it often."""
-    return spread(pages).withColumn(NODES, H.html_nodes(F.col(html)))
+CSS_FIELDS = ("pre", "last", "parent", "tag", "attrs", "text", "pruned")
+
+
+def parse_pages(pages: DataFrame, html: str = "html", fields: Sequence[str] | None = None) -> DataFrame:
+    """Adds the ``nodes`` of each page. Write the result to a table to use it often.
+
+    With ``fields`` the nodes have these alone; ``CSS_FIELDS`` are all that selectors need.
+    """
+    return spread(pages).withColumn(NODES, H.html_nodes(F.col(html), *([fields] if fields else [])))
 
 
 def shred_html(parsed: DataFrame, page: str = "page_id") -> DataFrame:

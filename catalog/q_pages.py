@@ -11,12 +11,12 @@ from catalog import query, table, wide_table
 from catalog.derived import TABLE_PAGES, derived
 
 
-def _pages(spark, sf_dir):
-    return P.parse_pages(table(spark, sf_dir, "pages"))
+def _pages(spark, sf_dir, fields=None):
+    return P.parse_pages(table(spark, sf_dir, "pages"), fields=fields)
 
 
-def _table_pages(spark, sf_dir):
-    return P.parse_pages(derived(spark, sf_dir, TABLE_PAGES))
+def _table_pages(spark, sf_dir, fields=None):
+    return P.parse_pages(derived(spark, sf_dir, TABLE_PAGES), fields=fields)
 
 
 @query(
@@ -257,9 +257,9 @@ UNION ALL SELECT c_custkey, 'data', NULL, '/x/' || CAST(c_custkey AS VARCHAR) ||
 """,
 )
 def h9(spark, sf_dir):
-    given = P.css_parts(_pages(spark, sf_dir), {"nav": P.css_values("nav > ul li a[href]", "href"), "ad": P.css_values("body div.ad")})
+    given = P.css_parts(_pages(spark, sf_dir, P.CSS_FIELDS), {"nav": P.css_values("nav > ul li a[href]", "href"), "ad": P.css_values("body div.ad")})
     data = P.css_values("a.data.big", "href")
-    made = P.css_parts(_table_pages(spark, sf_dir), {"dd": P.css_values("dl > dd"), "data": data}, first=["data"])
+    made = P.css_parts(_table_pages(spark, sf_dir, P.CSS_FIELDS), {"dd": P.css_values("dl > dd"), "data": data}, first=["data"])
     return given.unionByName(made)
 
 

@@ -148,6 +148,16 @@ def test_css_steps_are_found_once_a_page(spark):
     assert rows == [(0, "all", i, f"h{i}") for i in range(400)] + [(0, "first", None, "0"), (1, "all", 0, "x"), (1, "first", None, None)]
 
 
+def test_css_needs_its_fields_alone(spark):
+    html = "<div id=m class='a b'><p class=b>1</p><i><p class=c>2 <b>x</b></p></i></div><nav><p class=b>3</p></nav><p/>"
+    df = spark.createDataFrame([(0, html), (1, None), (2, "")], "page_id int, html string")
+    for selector, pruned in (("p", False), ("p", True), ("#m > p", False), ("div.a p.c", False), ("[class=b]", True)):
+        whole, narrow = (P.parse_pages(df, fields=f) for f in (None, P.CSS_FIELDS))
+        assert narrow.schema["nodes"].dataType.elementType.names == list(P.CSS_FIELDS)
+        got = [sorted(map(tuple, P.css_select(x, selector, pruned=pruned).collect())) for x in (whole, narrow)]
+        assert got[0] == got[1] != []
+
+
 def test_css_query_parses_each_page_once(spark, sf):
     plan = entry.queries()["H9_css_select"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2  # the given pages and the made ones
