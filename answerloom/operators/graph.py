@@ -4,7 +4,8 @@ Searches go level by level: one join of the newest nodes with the edges, with
 the candidates reduced to one per node before they are shuffled. The edges are
 written once, in buckets by their first node, so that no level shuffles
 them again; each level is written to the shared folder, so plans stay short and a lost
-executor does not undo earlier levels.
+executor does not undo earlier levels. Where only distances are wanted, 64 sources go
+together: a row is a node with a bit per source.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom import fixed_values as V
-from answerloom.plans.ranges import RANGE_BYTES, plan_bytes
+from answerloom.plans.ranges import RANGE_BYTES, plan_bytes, running
 from answerloom.plans.staging import cut_in_buckets, cut_lineage, staged
 
 #: A node of more edges has them in several parts of about as many, so that it is never one task's work.
 #: A front row is then copied once to this many rows that come of it.
 HUB_EDGES = 10_000
 _MOST_BUCKETS = 100_000  # Spark's own limit
+_HASHED_ROWS = 500_000  # front rows of a bucket that a task may hold in a hash table
+_WORD = 64  # sources that share a row of ``_waves``
 
 
 def edges_from(df: DataFrame, directed: bool = False, weight: str | None = None) -> DataFrame:
@@ -60,49 +63,50 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _nodes(edges: DataFrame, directed: bool) -> DataFrame:
-    """The nodes of an edge table; without direction every node is a ``src``."""
-    if directed:
-        return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return edges.select(F.col("src").alias("node")).distinct()
-
-
 @dataclass(frozen=True)
 class _Stored:
     """Edges in buckets by (src, part), and ``hubs``: nodes with more than one part and how many.
 
-    There is at most one hub to ``HUB_EDGES`` edges.
+    There is at most one hub to ``HUB_EDGES`` edges. ``firsts`` is the number of nodes with an edge from them.
     """
 
     edges: DataFrame
     hubs: DataFrame
+    buckets: int
+    firsts: int
 
     @classmethod
     def of(cls, edges: DataFrame, hub_edges: int) -> _Stored:
         edges = staged(edges)  # read twice
-        out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub_edges)
-        hubs = cut_lineage(out.select("src", F.ceil(F.col("n") / hub_edges).cast("int").alias("parts")))
+        out = cut_lineage(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")))
+        hubs = out.where(F.col("n") > hub_edges).select("src", F.ceil(F.col("n") / hub_edges).cast("int").alias("parts"))
+        hubs = cut_lineage(hubs)
         part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
         dealt = edges.join(hubs, "src", "left").select(*edges.columns, part.alias("part"))
         least = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the front may be larger than the edges
         buckets = min(_MOST_BUCKETS, max(least, math.ceil(plan_bytes(edges) / RANGE_BYTES)))
-        return cls(cut_in_buckets(dealt, ["src", "part"], buckets), hubs)
+        return cls(cut_in_buckets(dealt, ["src", "part"], buckets), hubs, buckets, out.count())
 
-    def ahead(self, front: DataFrame) -> DataFrame:
-        """Rows of ``front``, whose nodes are called ``src``, with every edge from there. Only ``front`` is shuffled."""
+    def ahead(self, front: DataFrame, rows: int | None = None) -> DataFrame:
+        """Rows of ``front``, whose nodes are called ``src``, with every edge from there. Only ``front`` is shuffled.
+
+        If it is said to have few ``rows`` to a bucket, they are looked up in a hash table and the edges are not sorted either.
+        """
         parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
         front = front.join(self.hubs, "src", "left").select(*front.columns, parts)
+        if rows is not None and rows <= self.buckets * _HASHED_ROWS:
+            front = front.hint("shuffle_hash")
         return front.join(self.edges, ["src", "part"]).drop("part")
 
 
-def _levels(
-    stored: _Stored,
-    sources: DataFrame,
-    directed: bool = False,
-    max_rounds: int | None = None,
-    paths: bool = True,
-    nodes: int | None = None,
-) -> DataFrame:
+def _node_count(stored: _Stored, directed: bool) -> int:
+    """Nodes of the stored edges; without direction every node is a ``src``."""
+    if directed:
+        return stored.edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().count()
+    return stored.firsts
+
+
+def _levels(stored: _Stored, sources: DataFrame, directed: bool = False, max_rounds: int | None = None) -> DataFrame:
     """Breadth-first levels, with one path per node, ties by the smallest predecessor.
 
     The search ends without another hop, which would be the widest and find nothing, once every source has reached every node.
@@ -112,25 +116,23 @@ def _levels(
             "source",
             F.col("source").alias("node"),
             F.lit(0).cast("bigint").alias("hops"),
-            *([F.array("source").alias("path")] if paths else []),
+            F.array("source").alias("path"),
         )
     )
     levels = [level]
-    reached = level.count()
-    most = reached * (_nodes(stored.edges, directed).count() if nodes is None else nodes)
+    reached = new = level.count()
+    most = reached * _node_count(stored, directed)
     rounds = 0
     while reached != most and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        ahead = stored.ahead(level.select("source", F.col("node").alias("src")))
+        ahead = stored.ahead(level.select("source", F.col("node").alias("src")), new)
         met = ahead.groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("pred"))
         # Without direction a neighbour is at most one level back.
         seen = levels if directed else levels[-2:]
         met = met.join(_union([s.select("source", "node") for s in seen]), ["source", "node"], "left_anti")
-        if paths:
-            so_far = level.select("source", F.col("node").alias("pred"), "path")
-            met = met.join(so_far, ["source", "pred"]).withColumn("path", F.concat("path", F.array("node")))
-        kept = ["path"] if paths else []
-        level = cut_lineage(met.select("source", "node", F.lit(rounds).cast("bigint").alias("hops"), *kept))
+        so_far = level.select("source", F.col("node").alias("pred"), "path")
+        met = met.join(so_far, ["source", "pred"]).withColumn("path", F.concat("path", F.array("node")))
+        level = cut_lineage(met.select("source", "node", F.lit(rounds).cast("bigint").alias("hops"), "path"))
         new = level.count()
         if not new:
             break
@@ -139,6 +141,34 @@ def _levels(
     return _union(levels)
 
 
+def _waves(stored: _Stored, sources: DataFrame, nodes: int, directed: bool = False) -> DataFrame:
+    """``(node, word, bits, hops)``: breadth-first levels, where the sources with a number in ``word`` share a row of a node.
+
+    ``sources`` has ``(source, word, bit)``. A hop makes a row per edge of a new node and word, however many sources met there,
+    and one row per node and word is left of them before the shuffle. The bits met in earlier levels are taken off in the same
+    grouping. The search ends as in ``_levels``.
+    """
+    level = cut_lineage(sources.select(F.col("source").alias("node"), "word", F.expr("shiftleft(1L, bit)").alias("bits")))
+    levels = [level]
+    reached = rows = level.count()
+    most = reached * nodes
+    none = F.lit(0).cast("bigint")
+    while reached != most:
+        ahead = stored.ahead(level.withColumnRenamed("node", "src"), rows)
+        met = ahead.select(F.col("dst").alias("node"), "word", "bits", none.alias("seen"))
+        # Without direction a neighbour is at most one level back.
+        seen = _union(levels if directed else levels[-2:]).select("node", "word", none.alias("bits"), F.col("bits").alias("seen"))
+        both = met.unionByName(seen).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("seen").alias("seen"))
+        new = both.select("node", "word", F.col("bits").bitwiseAND(F.bitwise_not("seen")).alias("bits")).where("bits != 0")
+        level = cut_lineage(new)
+        rows, found = level.agg(F.count(F.lit(1)), F.sum(F.bit_count("bits"))).first()
+        if not rows:
+            break
+        reached += found
+        levels.append(level)
+    return _union([w.withColumn("hops", F.lit(hops).cast("bigint")) for hops, w in enumerate(levels)])
+
+
 def _distances(stored: _Stored, sources: DataFrame, max_rounds: int | None) -> DataFrame:
     """Least ``way`` (distance, hops) per source and node: only nodes that improved are followed further.
 
@@ -148,12 +178,13 @@ def _distances(stored: _Stored, sources: DataFrame, max_rounds: int | None) -> D
     start = F.struct(F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("hops")).alias("way")
     changed = cut_lineage(sources.select("source", F.col("source").alias("node"), start))
     base, recent = changed, []
-    base_rows, recent_rows = changed.count(), 0
+    base_rows = rows = changed.count()
+    recent_rows = 0
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
         step = F.struct((F.col("way.distance") + F.col("weight")).alias("distance"), (F.col("way.hops") + 1).alias("hops"))
-        ahead = stored.ahead(changed.withColumnRenamed("node", "src"))
+        ahead = stored.ahead(changed.withColumnRenamed("node", "src"), rows)
         offers = ahead.groupBy("source", F.col("dst").alias("node")).agg(F.min(step).alias("offer"))
         held = _union([base, *recent]).groupBy("source", "node").agg(F.min("way").alias("way"))
         better = offers.join(held, ["source", "node"], "left").where("way IS NULL OR offer < way")
@@ -226,10 +257,19 @@ def shortest_paths(
 def closeness(edges: DataFrame, sources: DataFrame, directed: bool = False, hub_edges: int = HUB_EDGES) -> DataFrame:
     """Closeness of the sources: nodes reached over total distance, scaled by the share of nodes reached."""
     stored = _Stored.of(edges, hub_edges)
-    nodes = _nodes(stored.edges, directed).count()
-    reached = _levels(stored, sources.select("source").distinct(), directed=directed, paths=False, nodes=nodes)
-    sums = reached.groupBy("source").agg(
-        (F.count(F.lit(1)) - 1).alias("reached"), F.sum("hops").alias("total_distance")
+    nodes = _node_count(stored, directed)
+    sources = cut_lineage(sources.select("source").distinct())
+    place = F.col("place") - 1
+    numbered = running(sources, [], ["source"], {"place": ("count", F.lit(1))}).select(
+        "source", F.floor(place / _WORD).alias("word"), (place % _WORD).cast("int").alias("bit")
+    )
+    numbered = cut_lineage(numbered)
+    # The rows of a word are counted for all its bits at once.
+    bits = [F.sum(F.shiftright("bits", i).bitwiseAND(F.lit(1))) for i in range(max(1, min(_WORD, numbered.count())))]
+    counts = _waves(stored, numbered, nodes, directed).groupBy("word", "hops").agg(*[b.alias(f"b{i}") for i, b in enumerate(bits)])
+    counts = counts.select("word", "hops", F.posexplode(F.array(*[f"b{i}" for i in range(len(bits))])).alias("bit", "n"))
+    sums = counts.join(numbered, ["word", "bit"]).groupBy("source").agg(
+        (F.sum("n") - 1).alias("reached"), F.sum(F.col("n") * F.col("hops")).alias("total_distance")
     )
     share = F.try_divide(F.col("reached"), F.lit(nodes - 1))
     return sums.select(

@@ -118,6 +118,62 @@ def test_closeness(spark, edges):
     assert got[7] == pytest.approx(1 / 8) and got[9] == 0.0
 
 
+def test_sources_of_closeness_share_rows(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(rng.randrange(60), 100 + rng.randrange(80)) for _ in range(400)]
+    edges = staging.cut_lineage(G.edges_from(spark.createDataFrame(rows, "a int, b int")))
+    nodes = len({n for r in rows for n in r})
+    written, write = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: written.append(write(df)) or written[-1])
+    start = edges.select(F.col("src").alias("source")).distinct().where("source < 100")
+    assert start.count() > 50 and G.closeness(edges, start).count() == start.count()
+    assert max(w.count() for w in written) <= nodes  # not a row per source and node
+
+
+@pytest.mark.parametrize(("directed", "hub_edges"), [(False, 2), (True, 100)])
+def test_closeness_of_many_sources_against_brute_force(spark, directed, hub_edges):
+    rng = random.Random(7)
+    rows = [(rng.randrange(200), rng.randrange(200)) for _ in range(700)] + [(300 + i, 301 + i) for i in range(4)]
+    rows += [(0, 100 + i) for i in range(40)]
+    near: dict = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).update(() if directed else (a,))
+    starts, want = [*range(150), 302, 999], {None: (0, 0)}
+    for s in starts:
+        hops, front = {s: 0}, [s]
+        while front:
+            front = list({n for a in front for n in near.get(a, ())} - hops.keys())
+            hops |= dict.fromkeys(front, max(hops.values()) + 1)
+        want[s] = (len(hops) - 1, sum(hops.values()))
+    edges = G.edges_from(spark.createDataFrame(rows, "a int, b int"), directed=directed)
+    got = G.closeness(edges, sources(spark, *starts, 5, None), directed=directed, hub_edges=hub_edges).collect()
+    assert len(got) == len(want) and {r.source: (r.reached, r.total_distance) for r in got} == want
+    for r in got:
+        reached, total = want[r.source]
+        assert r.closeness == pytest.approx(reached / total * reached / (len(near) - 1) if total else 0.0)
+
+
+def test_closeness_of_no_sources(spark, edges):
+    assert G.closeness(edges, sources(spark, 1).where("source > 1")).collect() == []
+
+
+def test_few_new_nodes_are_looked_up_and_no_edge_is_sorted(spark, edges):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stored = G._Stored.of(edges, 2)
+        front = sources(spark, 1, 4).select("source", F.col("source").alias("src"))
+        for rows, join in [(2, "ShuffledHashJoin"), (stored.buckets * G._HASHED_ROWS + 1, "SortMergeJoin"), (None, "SortMergeJoin")]:
+            hop = stored.ahead(front, rows)
+            assert sorted(tuple(r) for r in hop.select("src", "dst").collect()) == [(1, 2), (1, 5), (4, 3), (4, 5), (4, 6)]
+            plan = stored.ahead(front, rows)._jdf.queryExecution().executedPlan().toString()
+            assert plan.index(join) < plan.index("Bucketed: true")
+            edge_side = plan[plan.index("answerloom_") - 200 : plan.index("Bucketed: true")]
+            assert "Exchange" not in edge_side and ("Sort" in edge_side) == (join == "SortMergeJoin")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("steps", [1, 3, 10])
 def test_chains(spark, steps):
     following = {0: 1, 1: 2, 2: 0, 3: 3, 4: None, 5: 99, 6: 4, 7: 6}
